@@ -10,8 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster the package is installed or sent with ``--py-files``; this covers drivers that only
+    extended their own ``sys.path``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    includes = getattr(spark.sparkContext, "_python_includes", None)
+    if includes is not None and root not in includes:
+        includes.append(root)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a test-data folder."""
+    importable(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
