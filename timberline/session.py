@@ -65,3 +65,12 @@ def spread(df: DataFrame, *keys: str, at_least: int = 0) -> DataFrame:
     """Repartition to the session's parallelism, by ``keys`` if given."""
     n = max(parallelism(df.sparkSession), at_least)
     return df.repartition(n, *[F.col(k) for k in keys]) if keys else df.repartition(n)
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread rows that come in fewer partitions than there are cores, before per-row Python work.
+
+    Tables stored in enough files are left as they are: no shuffle at scale.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
