@@ -19,7 +19,8 @@ _SEM, _STR = ("semantic_vector", 64), ("structural_vector", 14)
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(c, 6)
+    """Six digits; the small addend settles exact ties whichever way the sum was rounded."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-10, 6)
 
 
 def _posts(spark: SparkSession, d: str) -> DataFrame:

@@ -32,7 +32,7 @@ def _knn(sim: str, use: str, k: int, group: bool = True) -> str:
 with v as (select profile_id id, coalesce(timeline_id, '') g, coalesce(is_annotated, false) a, structural_vector::double[] v1, semantic_vector::double[] v2 from post_profile where {use}),
 p as (select q.id query_id, c.id candidate_id, round({sim}, 9) s from (select * from v where id % 100 = 0) q join (select * from v where a) c on q.id <> c.id and {apart}),
 r as (select *, row_number() over (partition by query_id order by s desc, candidate_id) rank from p)
-select query_id, candidate_id, cast(rank as int) rank, round(s, 6) similarity from r where rank <= {k}"""
+select query_id, candidate_id, cast(rank as int) rank, round(s + 1e-10, 6) similarity from r where rank <= {k}"""
 
 
 _C1, _C2 = "list_cosine_similarity(q.v1, c.v1)", "list_cosine_similarity(q.v2, c.v2)"
@@ -119,17 +119,18 @@ def oracle_sql() -> dict[str, str]:
     return {
         "knn_semantic_top1": """
 with p as (select q.vec_id query_id, c.vec_id candidate_id, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 9) s from embeddings q join embeddings c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and q.label <> c.label)
-select query_id, candidate_id, round(s, 6) similarity from p qualify row_number() over (partition by query_id order by s desc, candidate_id) = 1""",
+select query_id, candidate_id, round(s + 1e-10, 6) similarity from p qualify row_number() over (partition by query_id order by s desc, candidate_id) = 1""",
         "knn_semantic_top5": _knn(_C2, _U2, 5),
         "knn_same_group_allowed": _knn(_C2, _U2, 3, False),
         "knn_structural": _knn(_C1, _U1, 1),
         "knn_hybrid": _knn(_H, two, 3),
         "knn_hybrid_concat": _knn(_HC, two, 3),
-        "fold_similarity": f"with k as ({_knn(_H5, two, 1)}) select coalesce(timeline_id, '') fold, count(*) n_target, round(avg(similarity), 6) mean_similarity from k join post_profile on query_id = profile_id group by 1",
+        "fold_similarity": f"with k as ({_knn(_H5, two, 1)}) select coalesce(timeline_id, '') fold, count(*) n_target, round(avg(similarity) + 1e-10, 6) mean_similarity from k join post_profile on query_id = profile_id group by 1",
         "pairwise_similarity_stats": "with p as (select list_cosine_similarity(a.embedding::double[], b.embedding::double[]) s from embeddings a join embeddings b on a.vec_id < b.vec_id) select (select count(*) from embeddings) n, round(avg(s), 6) mean, round(stddev_pop(s), 6) std, round(min(s), 6) min, round(max(s), 6) max from p",
         "weighted_concat": f"""
-with v as (select profile_id, hybrid_vector h, list_concat(list_transform(structural_vector, lambda x: x * 0.5::double), list_transform(semantic_vector::double[], lambda x: x * 0.5::double)) w from post_profile where {two} and {_ok('hybrid_vector', 78)})
-select profile_id, round(list_max(list_transform(generate_series(1, 78), lambda i: abs(h[i] - w[i]))), 5) gap, round(sqrt(list_inner_product(h, h)), 6) norm, round(list_cosine_similarity(h, w), 6) cosine from v""",
+with v as materialized (select profile_id, list_transform(hybrid_vector, lambda x: coalesce(x, 0)) h, list_concat(list_transform(structural_vector, lambda x: coalesce(x, 0) * 0.5::double), list_transform(semantic_vector::double[], lambda x: coalesce(x, 0) * 0.5::double)) w from post_profile where {two} and {_ok('hybrid_vector', 78)}),
+x as (select *, list_sum(list_transform(h, lambda x: x * x)) hh, list_sum(list_transform(w, lambda x: x * x)) ww, list_sum(list_transform(generate_series(1, 78), lambda i: h[i] * w[i])) hw from v)
+select profile_id, round(list_max(list_transform(generate_series(1, 78), lambda i: abs(h[i] - w[i]))), 5) gap, round(sqrt(hh) + 1e-10, 6) norm, round(hw / sqrt(hh * ww) + 1e-10, 6) cosine from x""",
         "context_w0": _ctx(0),
         "context_w1": _ctx(1),
         "context_w2": _ctx(2),
@@ -137,8 +138,8 @@ select profile_id, round(list_max(list_transform(generate_series(1, 78), lambda
         "timeline_texts": "select timeline_id, count(*) n_posts, string_agg(coalesce(post, ''), chr(10) || chr(10) order by row_id) as text from post_data group by 1",
         "timeline_ids": "select timeline_id, count(distinct t) n_tables, count(*) n_rows from (select timeline_id, 0 t from timeline_data union all select timeline_id, 1 from post_data union all select timeline_id, 2 from task_c_baseline) where timeline_id is not null group by 1",
         "load_counts": f"with x as (select *, {_NUMBER.format(c='well_being_score')} w from post_data) select count(*) n_posts, count(distinct timeline_id) n_timelines, count(*) filter (where w is not null or (post_summary is not null and post_summary <> 'NONE')) n_annotated, count(*) filter (where length(coalesce(post, '')) = 0) n_empty from x",
-        "presence_profile": f"with {_PRES} select timeline_id, post_index, array_to_string(d, '') dims, n n_spans, round(ratio, 6) adaptive_ratio from pres",
-        "structural_vectors": f"with {_RAW} select profile_id, array_to_string(d, '') dims, round(w, 6) wellbeing_dim, round(r, 6) ratio_dim, case when n > 0 then round(w / n, 6) end wellbeing_unit, case when n > 0 then round(r / n, 6) end ratio_unit from nrm",
+        "presence_profile": f"with {_PRES} select timeline_id, post_index, array_to_string(d, '') dims, n n_spans, round(ratio + 1e-10, 6) adaptive_ratio from pres",
+        "structural_vectors": f"with {_RAW} select profile_id, array_to_string(d, '') dims, round(w + 1e-10, 6) wellbeing_dim, round(r + 1e-10, 6) ratio_dim, case when n > 0 then round(w / n + 1e-10, 6) end wellbeing_unit, case when n > 0 then round(r / n + 1e-10, 6) end ratio_unit from nrm",
         "profile_analysis": f"with {_RAW} select count(*) n_profiles, count(distinct d) n_distinct, round(avg(list_sum(d)), 6) avg_active, round(avg(wellbeing), 6) wellbeing_mean, round(stddev_pop(wellbeing), 6) wellbeing_std, min(wellbeing) wellbeing_min, max(wellbeing) wellbeing_max, round(avg(r), 6) ratio_mean, round(stddev_pop(r), 6) ratio_std from nrm",
         "accuracy_by_polarity": f"with {_LAB} select case when grouping(g) = 1 then 'all' else g end grp, count(*) n, count(*) filter (where gold = pred) n_correct, count(*) filter (where pred = 'UNKNOWN') n_unknown, round(count(*) filter (where gold = pred)::double / count(*), 6) accuracy from (select *, coalesce(polarity, '') g from pr) group by rollup(g)",
         "macro_f1": f"with {_LAB}, {_F1} select round(avg(fx), 6) macro_f1 from f",
@@ -154,15 +155,15 @@ union all select 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f1),
 union all select 'weighted avg', round(sum(p * s) / sum(s), 6), round(sum(r * s) / sum(s), 6), round(sum(f1 * s) / sum(s), 6), cast(sum(s) as bigint) from f
 union all select 'accuracy', null, null, round(count(*) filter (where gold = pred)::double / count(*), 6), count(*) from pr""",
         "running_accuracy": _running("(select span_id, coalesce(cast(gold_abcd_key = predicted_abcd_key as int), 0)::double h from evidence_span)", "span_id", "h", 25),
-        "pair_metrics_zero_shot": f"with {_mode('zero_shot')} select id result_id, round(cs, 6) cs, round(ct, 6) ct, round(ea, 6) ea from pm",
-        "pair_metrics_one_shot": f"with {_mode('one_shot')} select id result_id, round(cs, 6) cs, round(ct, 6) ct, round(ea, 6) ea from pm",
+        "pair_metrics_zero_shot": f"with {_mode('zero_shot')} select id result_id, round(cs + 1e-10, 6) cs, round(ct + 1e-10, 6) ct, round(ea + 1e-10, 6) ea from pm",
+        "pair_metrics_one_shot": f"with {_mode('one_shot')} select id result_id, round(cs + 1e-10, 6) cs, round(ct + 1e-10, 6) ct, round(ea + 1e-10, 6) ea from pm",
         "corpus_means": f"with {_mode('zero_shot')} select 'zero_shot' as mode, {_MEANS} from pm union all (with {_mode('one_shot')} select 'one_shot' as mode, {_MEANS} from pm)",
         "mode_delta": f"""
 with z as (with {_mode('zero_shot')} select {_MEANS} from pm), o as (with {_mode('one_shot')} select {_MEANS} from pm),
 x as (select unnest(['consistency', 'contradiction', 'evidence_alignment']) metric, unnest([z.consistency, z.contradiction, z.evidence_alignment]) zero_shot, unnest([o.consistency, o.contradiction, o.evidence_alignment]) one_shot from z, o)
 select metric, zero_shot, one_shot, round(one_shot - zero_shot, 6) delta, case when one_shot is null or zero_shot is null then null when (metric = 'contradiction' and one_shot < zero_shot) or (metric <> 'contradiction' and one_shot > zero_shot) then '+' else '-' end better from x""",
         "running_consistency": f"with {_mode('zero_shot')} " + _running("pm", "id", "cs", 10),
-        "timeline_metrics": "with gold as (select timeline_id, timeline_summary from timeline_data where timeline_summary is not null and timeline_summary <> 'NONE' qualify row_number() over (partition by timeline_id order by row_id desc) = 1), src as (select c.row_id, c.task_c_baseline_official_summaries p, timeline_summary from task_c_baseline c join gold using (timeline_id) where length(c.task_c_baseline_official_summaries) > 0)," + _pairs("src", "row_id", "p", "timeline_summary", None) + " select id delivery_id, round(cs, 6) cs, round(ct, 6) ct from pm",
+        "timeline_metrics": "with gold as (select timeline_id, timeline_summary from timeline_data where timeline_summary is not null and timeline_summary <> 'NONE' qualify row_number() over (partition by timeline_id order by row_id desc) = 1), src as (select c.row_id, c.task_c_baseline_official_summaries p, timeline_summary from task_c_baseline c join gold using (timeline_id) where length(c.task_c_baseline_official_summaries) > 0)," + _pairs("src", "row_id", "p", "timeline_summary", None) + " select id delivery_id, round(cs + 1e-10, 6) cs, round(ct + 1e-10, 6) ct from pm",
         "sentence_split": f"with s as (select doc_id, {_sentences('text')} s from documents) select doc_id, cast(generate_subscripts(s, 1) - 1 as int) pos, unnest(s) as sentence from s",
         "whitespace_normalize": f"select doc_id, {_collapse('text')} as text from documents",
         "span_highlight": f"""
