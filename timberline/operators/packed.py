@@ -155,6 +155,32 @@ class StartModel:
         return bool(b > f)
 
 
+_NUMBERED = ((r"\(", r"\)"), (r"\[", r"\]"), ("", r"\)"), ("", r"\."))
+
+
+def _numbered(text: str) -> list[str] | None:
+    """Items of a list whose numbers count up in one style, on one line or several; None if there is no second."""
+    for left, right in _NUMBERED:
+        m = re.match(rf"\s*{left}(\d{{1,3}}){right}\s", text)
+        if not m:
+            continue
+        cuts, at, n = [m.start()], m.end(), int(m.group(1))
+        while nxt := re.compile(rf"(?<=[\s;,|/]){left}{n + 1}{right}\s").search(text, at):
+            cuts.append(nxt.start())
+            at, n = nxt.end(), n + 1
+        if len(cuts) > 1:
+            return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+    return None
+
+
+def _item(piece: str) -> str:
+    """One item without number, delimiter behind it and quotes around it."""
+    s = _strip_lead(re.sub(r"(?:\s|;|,|\||//)+$", "", piece.strip()))
+    if s and s[0] in QUOTES and (got := _quoted(s, 0, "")) and got[1] == len(s):
+        return got[0].strip()
+    return s
+
+
 def _bare(value: str | None) -> str:
     v = (value or "").strip("\ufeff \t\r\n\v\f\xa0")
     return "" if v.upper() == "NONE" else v
@@ -167,6 +193,8 @@ def split_value(value: str | None, model: StartModel, firm: frozenset[str]) -> l
         return []
     if (got := _container(v)) is not None:
         return got
+    if (items := _numbered(v)) is not None:
+        return [t for i in items if (t := _item(i))]
     out: list[str] = []
     open_piece: list[str] | None = None
 
@@ -198,6 +226,8 @@ def _sure_texts(v: str) -> list[str] | None:
     """Texts of a value whose container leaves no doubt about its borders."""
     if (got := _container(v)) is not None:
         return got
+    if (items := _numbered(v)) is not None:
+        return [t for i in items if (t := _item(i))]
     parts = list(tokens(v))
     return [p for _, p, q in parts] if parts and all(q for _, _, q in parts) else None
 
@@ -263,7 +293,7 @@ def score_delimiters(values: DataFrame, model: StartModel) -> DataFrame:
         for pdf in batches:
             for field, v in zip(pdf["field"], pdf["value"]):
                 v = _bare(v)
-                if not v or _container(v) is not None:
+                if not v or _container(v) is not None or _numbered(v) is not None:
                     continue
                 by: dict[str, list[bool]] = {}
                 for before, piece, quoted in tokens(v):
