@@ -75,11 +75,12 @@ def retrieve(rows: DataFrame, id_col: str, group_col: str, is_query: Column, is_
     pool = base.where("c").withColumn("pb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     ask = base.where("q").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cols = ["qb", "pb", "id", "g", "v1", "v2"]
+    other = pool.select(*[F.col(c).alias(f"c_{c}") for c in cols])
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "candidate_id": [], "similarity": []})
-        c = c.sort_values("id", kind="stable")
+        c = c.rename(columns=lambda x: x.removeprefix("c_")).sort_values("id", kind="stable")
         ids, out = c["id"].to_numpy(), []
         group = pd.factorize(pd.concat([q["g"], c["g"]]))[0]
         gq, gc = group[: len(q)], group[len(q) :]
@@ -96,7 +97,7 @@ def retrieve(rows: DataFrame, id_col: str, group_col: str, is_query: Column, is_
             out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[r], "candidate_id": ids[top[r, j]], "similarity": got[r, j]}))
         return pd.concat(out)
 
-    found = ask.select(*cols).groupBy("qb", "pb").cogroup(pool.select(*cols).groupBy("qb", "pb")).applyInPandas(best, FOUND)
+    found = ask.select(*cols).groupBy("qb", "pb").cogroup(other.groupBy("c_qb", "c_pb")).applyInPandas(best, FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -126,20 +127,20 @@ def pairwise_stats(rows: DataFrame, vec: str, dim: int, block_rows: int = 4096)
     blocks = max(1, -(-n // block_rows))
     numbered = x.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
     left = numbered.withColumn("o", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))))
-    right = numbered.select("v", F.col("b").alias("o"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("b"))
+    right = numbered.select(F.col("v").alias("w"), F.col("b").alias("o2"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("b2"))
 
     def ends(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(c):
             return pd.DataFrame({"lo": [], "hi": []})
         same = a["b"].iloc[0] == a["o"].iloc[0]
-        u, w = _unit(a["v"]), _unit(c["v"])
+        u, w = _unit(a["v"]), _unit(c["w"])
         if same:
             p = (u @ u.T)[np.triu_indices(len(u), 1)]
         else:
             p = (u @ w.T).ravel()
         return pd.DataFrame({"lo": [p.min()], "hi": [p.max()]}) if len(p) else pd.DataFrame({"lo": [], "hi": []})
 
-    lim = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(ends, "lo double, hi double").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    lim = left.groupBy("b", "o").cogroup(right.groupBy("b2", "o2")).applyInPandas(ends, "lo double, hi double").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     mean = float((s @ s - n) / 2 / pairs) if n > 1 else None
     var = max(float((g @ g - n) / 2 / pairs) - mean * mean, 0.0) if n > 1 else None
     return lim.select(F.lit(n).cast("bigint").alias("n"), F.round(F.lit(mean).cast("double"), 6).alias("mean"), F.round(F.sqrt(F.lit(var).cast("double")), 6).alias("std"), F.round("lo", 6).alias("min"), F.round("hi", 6).alias("max"))
