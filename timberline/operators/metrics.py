@@ -23,7 +23,12 @@ def accuracy_by_group(conf: DataFrame) -> DataFrame:
     unknown = F.sum(F.when(F.col("predicted") == UNKNOWN, F.col("n")).otherwise(0))
     aggs = [F.sum("n").alias("n"), hit.alias("n_correct"), unknown.alias("n_unknown"), F.grouping("grp").alias("level")]
     out = conf.withColumn("grp", F.coalesce("grp", F.lit(""))).rollup("grp").agg(*aggs)
-    return out.select(F.when(F.col("level") == 1, "all").otherwise(F.col("grp")).alias("grp"), "n", "n_correct", "n_unknown", F.round(F.col("n_correct") / F.col("n"), 6).alias("accuracy"))
+    return out.select(F.when(F.col("level") == 1, "all").otherwise(F.col("grp")).alias("grp"), "n", "n_correct", "n_unknown", _six(F.col("n_correct") / F.col("n")).alias("accuracy"))
+
+
+def _six(c: Column) -> Column:
+    """Six digits; exact ties go up whichever way the sum was rounded."""
+    return F.round(c + 1e-10, 6)
 
 
 def per_label(conf: DataFrame, labels: tuple[str, ...] = ABCD_KEYS) -> DataFrame:
@@ -35,25 +40,25 @@ def per_label(conf: DataFrame, labels: tuple[str, ...] = ABCD_KEYS) -> DataFrame
     got = x.groupBy("label").agg(count(gold & pred).alias("tp"), count(~gold & pred).alias("fp"), count(gold & ~pred).alias("fn"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return got.select("label", "tp", "fp", "fn", F.round(ratio(tp, tp + fp), 6).alias("precision"), F.round(ratio(tp, tp + fn), 6).alias("recall"), F.round(ratio(2 * tp, 2 * tp + fp + fn), 6).alias("f1"), (tp + fn).alias("support"))
+    return got.select("label", "tp", "fp", "fn", _six(ratio(tp, tp + fp)).alias("precision"), _six(ratio(tp, tp + fn)).alias("recall"), _six(ratio(2 * tp, 2 * tp + fp + fn)).alias("f1"), (tp + fn).alias("support"))
 
 
 def macro_f1(conf: DataFrame, labels: tuple[str, ...] = ABCD_KEYS) -> DataFrame:
     """One row ``macro_f1``: mean over all fixed labels; an absent label counts as 0."""
     p = per_label(conf, labels)
     exact = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
-    return p.agg(F.round(F.avg(exact), 6).alias("macro_f1"))
+    return p.agg(_six(F.avg(exact)).alias("macro_f1"))
 
 
 def classification_report(conf: DataFrame, labels: tuple[str, ...] = ABCD_KEYS) -> DataFrame:
     """Long form: a row per label, then 'macro avg', 'weighted avg' and 'accuracy'."""
     p = per_label(conf, labels)
     rows = p.select("label", "precision", "recall", "f1", "support")
-    macro = p.agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("f1"), 6).alias("f1"), F.sum("support").alias("support"))
-    mean = lambda c: F.round(F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0)), 6).alias(c)
+    macro = p.agg(_six(F.avg("precision")).alias("precision"), _six(F.avg("recall")).alias("recall"), _six(F.avg("f1")).alias("f1"), F.sum("support").alias("support"))
+    mean = lambda c: _six(F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0))).alias(c)
     weighted = p.agg(mean("precision"), mean("recall"), mean("f1"), F.sum("support").alias("support"))
     right = F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")
-    overall = conf.agg(F.round(right, 6).alias("f1"), F.sum("n").alias("support")).select(F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"), "f1", "support")
+    overall = conf.agg(_six(right).alias("f1"), F.sum("n").alias("support")).select(F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"), "f1", "support")
     out = rows
     for name, df in (("macro avg", macro), ("weighted avg", weighted), ("accuracy", overall)):
         out = out.unionByName(df.select(F.lit(name).alias("label"), "precision", "recall", "f1", "support"))
@@ -74,7 +79,7 @@ def running(rows: DataFrame, order: str, value: Column, every: int, chunks: int
     inner = Window.partitionBy("c").orderBy("o")
     y = x.join(F.broadcast(before), "c")
     y = y.select((F.col("n0") + F.row_number().over(inner)).alias("position"), (F.col("s0") + F.sum("v").over(inner.rowsBetween(Window.unboundedPreceding, 0))).alias("s"))
-    return y.where(F.col("position") % every == 0).select("position", F.round(F.col("s") / F.col("position"), 6).alias("running"))
+    return y.where(F.col("position") % every == 0).select("position", _six(F.col("s") / F.col("position")).alias("running"))
 
 
 # -- sentence pairs
@@ -119,7 +124,7 @@ def pair_metrics(rows: DataFrame, key: str, predicted: str, gold: str, evidence:
 
 def corpus_means(per_row: DataFrame) -> DataFrame:
     """One row: means of cs and ct, mean of ea over rows that have one."""
-    return per_row.agg(F.count("*").alias("n_evaluated"), F.round(F.avg("cs"), 6).alias("consistency"), F.round(F.avg("ct"), 6).alias("contradiction"), F.round(F.avg(F.nanvl("ea", F.lit(None))), 6).alias("evidence_alignment"))
+    return per_row.agg(F.count("*").alias("n_evaluated"), _six(F.avg("cs")).alias("consistency"), _six(F.avg("ct")).alias("contradiction"), _six(F.avg(F.nanvl("ea", F.lit(None)))).alias("evidence_alignment"))
 
 
 def mode_delta(zero: DataFrame, one: DataFrame) -> DataFrame:
@@ -129,4 +134,4 @@ def mode_delta(zero: DataFrame, one: DataFrame) -> DataFrame:
     j = long(zero, "zero_shot").join(long(one, "one_shot"), "metric", "full_outer")
     d = F.col("one_shot") - F.col("zero_shot")
     better = F.when(F.col("metric") == "contradiction", d < 0).otherwise(d > 0)
-    return j.select("metric", "zero_shot", "one_shot", F.round(d, 6).alias("delta"), F.when(d.isNull(), None).when(better, "+").otherwise("-").alias("better"))
+    return j.select("metric", "zero_shot", "one_shot", _six(d).alias("delta"), F.when(d.isNull(), None).when(better, "+").otherwise("-").alias("better"))

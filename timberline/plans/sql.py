@@ -71,7 +71,7 @@ _STRICT = _EXACT + _NAMES + r" when regexp_matches(s, '\bA\b') then 'A' when reg
 _LAB = f"lab as (select *, {_UP} s from evidence_span), pr as (select span_id, gold_abcd_key gold, polarity, {_STRICT} pred from lab)"
 _F1 = """k as (select unnest(['A','B-O','B-S','C-O','C-S','D']) label),
 c as (select label, count(case when gold = label and pred = label then 1 end) tp, count(case when gold is distinct from label and pred = label then 1 end) fp, count(case when gold = label and pred is distinct from label then 1 end) fn from k, pr group by label),
-f as (select label, coalesce(round(case when tp + fp > 0 then tp::double / (tp + fp) end, 6), 0) p, coalesce(round(case when tp + fn > 0 then tp::double / (tp + fn) end, 6), 0) r, coalesce(round(case when 2 * tp + fp + fn > 0 then 2.0 * tp::double / (2 * tp + fp + fn) end, 6), 0) f1, coalesce(case when 2 * tp + fp + fn > 0 then 2.0 * tp::double / (2 * tp + fp + fn) end, 0) fx, tp + fn s from c)"""
+f as (select label, coalesce(round(case when tp + fp > 0 then tp::double / (tp + fp) end + 1e-10, 6), 0) p, coalesce(round(case when tp + fn > 0 then tp::double / (tp + fn) end + 1e-10, 6), 0) r, coalesce(round(case when 2 * tp + fp + fn > 0 then 2.0 * tp::double / (2 * tp + fp + fn) end + 1e-10, 6), 0) f1, coalesce(case when 2 * tp + fp + fn > 0 then 2.0 * tp::double / (2 * tp + fp + fn) end, 0) fx, tp + fn s from c)"""
 
 
 def _overlap(p: str, h: str) -> str:
@@ -95,11 +95,11 @@ def _mode(mode: str) -> str:
     return _pairs(f"(select * from task_b_results where length(gold_summary) > 0 and length({mode}_summary) > 0)", "result_id", f"{mode}_summary", "gold_summary", "evidence_texts")
 
 
-_MEANS = "count(*) n_evaluated, round(avg(cs), 6) consistency, round(avg(ct), 6) contradiction, round(avg(ea), 6) evidence_alignment"
+_MEANS = "count(*) n_evaluated, round(avg(cs) + 1e-10, 6) consistency, round(avg(ct) + 1e-10, 6) contradiction, round(avg(ea) + 1e-10, 6) evidence_alignment"
 
 
 def _running(src: str, order: str, v: str, every: int) -> str:
-    return f"select p as position, round(s / p, 6) running from (select row_number() over (order by {order}) p, sum({v}) over (order by {order} rows unbounded preceding) s from {src}) where p % {every} = 0"
+    return f"select p as position, round(s / p + 1e-10, 6) running from (select row_number() over (order by {order}) p, sum({v}) over (order by {order} rows unbounded preceding) s from {src}) where p % {every} = 0"
 
 
 def _block(title: str, polarity: str) -> str:
@@ -141,19 +141,19 @@ select profile_id, round(list_max(list_transform(generate_series(1, 78), lambda
         "presence_profile": f"with {_PRES} select timeline_id, post_index, array_to_string(d, '') dims, n n_spans, round(ratio + 1e-10, 6) adaptive_ratio from pres",
         "structural_vectors": f"with {_RAW} select profile_id, array_to_string(d, '') dims, round(w + 1e-10, 6) wellbeing_dim, round(r + 1e-10, 6) ratio_dim, case when n > 0 then round(w / n + 1e-10, 6) end wellbeing_unit, case when n > 0 then round(r / n + 1e-10, 6) end ratio_unit from nrm",
         "profile_analysis": f"with {_RAW} select count(*) n_profiles, count(distinct d) n_distinct, round(avg(list_sum(d)), 6) avg_active, round(avg(wellbeing), 6) wellbeing_mean, round(stddev_pop(wellbeing), 6) wellbeing_std, min(wellbeing) wellbeing_min, max(wellbeing) wellbeing_max, round(avg(r), 6) ratio_mean, round(stddev_pop(r), 6) ratio_std from nrm",
-        "accuracy_by_polarity": f"with {_LAB} select case when grouping(g) = 1 then 'all' else g end grp, count(*) n, count(*) filter (where gold = pred) n_correct, count(*) filter (where pred = 'UNKNOWN') n_unknown, round(count(*) filter (where gold = pred)::double / count(*), 6) accuracy from (select *, coalesce(polarity, '') g from pr) group by rollup(g)",
-        "macro_f1": f"with {_LAB}, {_F1} select round(avg(fx), 6) macro_f1 from f",
+        "accuracy_by_polarity": f"with {_LAB} select case when grouping(g) = 1 then 'all' else g end grp, count(*) n, count(*) filter (where gold = pred) n_correct, count(*) filter (where pred = 'UNKNOWN') n_unknown, round(count(*) filter (where gold = pred)::double / count(*) + 1e-10, 6) accuracy from (select *, coalesce(polarity, '') g from pr) group by rollup(g)",
+        "macro_f1": f"with {_LAB}, {_F1} select round(avg(fx) + 1e-10, 6) macro_f1 from f",
         "macro_f1_orders": """
 with r as (select o_orderpriority gold, case when o_totalprice < 100000 then '1-URGENT' when o_totalprice < 200000 then '2-HIGH' when o_totalprice < 300000 then '3-MEDIUM' when o_totalprice < 400000 then '5-LOW' else 'UNKNOWN' end pred from orders),
 k as (select unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW', '6-ABSENT']) as lab),
 c as (select lab, count(case when gold = lab and pred = lab then 1 end) tp, count(case when gold <> lab and pred = lab then 1 end) fp, count(case when gold = lab and pred <> lab then 1 end) fn from k, r group by lab)
-select round(avg(case when 2 * tp + fp + fn = 0 then 0.0 else 2.0 * tp::double / (2 * tp + fp + fn) end), 6) macro_f1 from c""",
+select round(avg(case when 2 * tp + fp + fn = 0 then 0.0 else 2.0 * tp::double / (2 * tp + fp + fn) end) + 1e-10, 6) macro_f1 from c""",
         "classification_report": f"""
 with {_LAB}, {_F1}
 select label, p as precision, r as recall, f1, s support from f
-union all select 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f1), 6), cast(sum(s) as bigint) from f
-union all select 'weighted avg', round(sum(p * s) / sum(s), 6), round(sum(r * s) / sum(s), 6), round(sum(f1 * s) / sum(s), 6), cast(sum(s) as bigint) from f
-union all select 'accuracy', null, null, round(count(*) filter (where gold = pred)::double / count(*), 6), count(*) from pr""",
+union all select 'macro avg', round(avg(p) + 1e-10, 6), round(avg(r) + 1e-10, 6), round(avg(f1) + 1e-10, 6), cast(sum(s) as bigint) from f
+union all select 'weighted avg', round(sum(p * s) / sum(s) + 1e-10, 6), round(sum(r * s) / sum(s) + 1e-10, 6), round(sum(f1 * s) / sum(s) + 1e-10, 6), cast(sum(s) as bigint) from f
+union all select 'accuracy', null, null, round(count(*) filter (where gold = pred)::double / count(*) + 1e-10, 6), count(*) from pr""",
         "running_accuracy": _running("(select span_id, coalesce(cast(gold_abcd_key = predicted_abcd_key as int), 0)::double h from evidence_span)", "span_id", "h", 25),
         "pair_metrics_zero_shot": f"with {_mode('zero_shot')} select id result_id, round(cs + 1e-10, 6) cs, round(ct + 1e-10, 6) ct, round(ea + 1e-10, 6) ea from pm",
         "pair_metrics_one_shot": f"with {_mode('one_shot')} select id result_id, round(cs + 1e-10, 6) cs, round(ct + 1e-10, 6) ct, round(ea + 1e-10, 6) ea from pm",
@@ -161,7 +161,7 @@ union all select 'accuracy', null, null, round(count(*) filter (where gold = pre
         "mode_delta": f"""
 with z as (with {_mode('zero_shot')} select {_MEANS} from pm), o as (with {_mode('one_shot')} select {_MEANS} from pm),
 x as (select unnest(['consistency', 'contradiction', 'evidence_alignment']) metric, unnest([z.consistency, z.contradiction, z.evidence_alignment]) zero_shot, unnest([o.consistency, o.contradiction, o.evidence_alignment]) one_shot from z, o)
-select metric, zero_shot, one_shot, round(one_shot - zero_shot, 6) delta, case when one_shot is null or zero_shot is null then null when (metric = 'contradiction' and one_shot < zero_shot) or (metric <> 'contradiction' and one_shot > zero_shot) then '+' else '-' end better from x""",
+select metric, zero_shot, one_shot, round(one_shot - zero_shot + 1e-10, 6) delta, case when one_shot is null or zero_shot is null then null when (metric = 'contradiction' and one_shot < zero_shot) or (metric <> 'contradiction' and one_shot > zero_shot) then '+' else '-' end better from x""",
         "running_consistency": f"with {_mode('zero_shot')} " + _running("pm", "id", "cs", 10),
         "timeline_metrics": "with gold as (select timeline_id, timeline_summary from timeline_data where timeline_summary is not null and timeline_summary <> 'NONE' qualify row_number() over (partition by timeline_id order by row_id desc) = 1), src as (select c.row_id, c.task_c_baseline_official_summaries p, timeline_summary from task_c_baseline c join gold using (timeline_id) where length(c.task_c_baseline_official_summaries) > 0)," + _pairs("src", "row_id", "p", "timeline_summary", None) + " select id delivery_id, round(cs + 1e-10, 6) cs, round(ct + 1e-10, 6) ct from pm",
         "sentence_split": f"with s as (select doc_id, {_sentences('text')} s from documents) select doc_id, cast(generate_subscripts(s, 1) - 1 as int) pos, unnest(s) as sentence from s",
