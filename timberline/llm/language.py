@@ -6,9 +6,9 @@ has the least logistic loss over all margins is chosen; a small gap to the secon
 A document is read sentence by sentence; the cheapest path through the sentences' losses, with a price per
 change of language, gives its segments.
 
-The classifiers are fitted on a bounded sample (``per_language`` documents of each labelled language, by id
-hash), first on whole documents and then twice on their sentences without those that clearly speak another
-language, since labels may be wrong and documents mixed. Everything else covers every document.
+The classifiers are fitted on a bounded sample of labelled documents (``mixed_rows`` in their natural mix and
+up to ``per_language`` of each label, by id hash), first on whole documents and then twice on their sentences
+without those that clearly speak another language, since labels may be wrong and documents mixed. Everything else covers every document.
 
 Defined results: null, empty and letterless texts have no language and are no case; a label that is null,
 blank or names no language is missing; other spellings, codes and regions of the right language are right.
@@ -220,12 +220,19 @@ class Model:
         return loss.argmin(1), two[:, 1] - two[:, 0]
 
 
-def train(texts: list[str], labels: list[str]) -> Model:
+def train(texts: list[str], labels: list[str], more: list[str] | None = None, more_labels: list[str] | None = None) -> Model:
+    """A model from documents in their natural mix (``texts``) and, beside them, of rarer labels (``more``).
+
+    The first fit takes the natural mix only: there, most texts of a language bear its label. Among the
+    documents of a rare label many may be texts of a frequent language with a wrong label, so those count
+    only where the first fit agrees with the label.
+    """
     code = codewords()
-    lang = np.array([LANGS.index(x) for x in labels], np.int64)
-    if not len(texts):
+    if not texts:
         return Model(np.zeros((SPACE, BITS), np.float32), code)
-    model = Model(fit_bits(texts, lang, code, rounds=3), code)
+    model = Model(fit_bits(texts, np.array([LANGS.index(x) for x in labels], np.int64), code, rounds=3), code)
+    texts, labels = texts + (more or []), labels + (more_labels or [])
+    lang = np.array([LANGS.index(x) for x in labels], np.int64)
     for gap_at in (8.0, 3.0):
         doc, _ = model.best(texts)
         parts = [(s, k) for t, k, d in zip(texts, lang, doc) if k == d for s in sentences(t)]
@@ -239,14 +246,16 @@ def train(texts: list[str], labels: list[str]) -> Model:
     return model
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 600) -> Model:
-    """A model from at most ``per_language`` labelled documents of each language; the bound is a parameter."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", mixed_rows: int = 4000, per_language: int = 300) -> Model:
+    """A model from ``mixed_rows`` labelled documents and up to ``per_language`` of each label; both bounds are parameters."""
     label = F.lower(F.regexp_replace(F.col(label_col), r"[\s​]", ""))
     code = F.coalesce(*[F.when(F.regexp_extract(label, r"^([^-_]*)", 1).isin(list(v)), F.lit(k)) for k, v in NAMES.items()])
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), code.alias("k")).where("t is not null and length(t) > 20 and k is not null")
-    w = Window.partitionBy("k").orderBy(F.xxhash64("i"))
-    got = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select("t", "k").orderBy("k", "t").collect()
-    return train([r["t"] for r in got], [r["k"] for r in got])
+    near = rows.withColumn("h", F.xxhash64("i"))
+    first = near.orderBy("h").limit(mixed_rows).select("t", "k").collect()
+    w = Window.partitionBy("k").orderBy(F.desc("h"))
+    more = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select("t", "k").orderBy("k", "t").collect()
+    return train([r["t"] for r in first], [r["k"] for r in first], [r["t"] for r in more], [r["k"] for r in more])
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", model: Model | None = None) -> DataFrame:
