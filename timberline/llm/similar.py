@@ -31,6 +31,10 @@ from timberline.llm.vamana import Graph
 from timberline.session import parallelism
 
 HOT, HOT_ROWS = 200, 64
+#: Production parameters of a full search, and of one for near vectors only (cosine 0.9 and more), which
+#: share their nearest cells far more often.
+FULL = {"cell_rows": 12000, "max_cells": 5, "margin": 0.25, "degree": 24, "beam": 40}
+NEAR = {"cell_rows": 6000, "max_cells": 3, "margin": 0.12, "degree": 20, "beam": 24}
 EDGES = "id bigint, other bigint, cosine double"
 
 
@@ -82,12 +86,16 @@ def _expand(ids: np.ndarray, group: np.ndarray, members: list[np.ndarray], near:
     return src, dst, cos
 
 
-def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_cosine: float | None = None, cell_rows: int = 6000, fit_rows: int = 8192, max_cells: int = 3, margin: float = 0.12, degree: int = 20, beam: int = 24) -> DataFrame:
+def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_cosine: float | None = None, fit_rows: int = 8192, cell_rows: int | None = None, max_cells: int | None = None, margin: float | None = None, degree: int | None = None, beam: int | None = None) -> DataFrame:
     """``id, other, cosine, rank``: the k most similar other rows of each row, best first.
 
-    ``min_cosine`` leaves out neighbours below it, before they are moved; the ranks stay the same.
+    ``min_cosine`` leaves out neighbours below it, before they are moved; the ranks stay the same. The other
+    parameters default to ``FULL``, or to ``NEAR`` when only near vectors are asked for.
     """
     spark = df.sparkSession
+    given = {"cell_rows": cell_rows, "max_cells": max_cells, "margin": margin, "degree": degree, "beam": beam}
+    preset = (NEAR if min_cosine is not None and min_cosine >= 0.9 else FULL) | {k: v for k, v in given.items() if v is not None}
+    cell_rows, max_cells, margin, degree, beam = (preset[k] for k in given)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim))
     hashed = rows.select("id", F.xxhash64("vec").alias("h"))
     per = hashed.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("rep"))

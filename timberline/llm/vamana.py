@@ -21,7 +21,7 @@ def _key(sims: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 24, alpha: float = 1.2, seed: int = 7, batch: int = 384, pivots: int = 128) -> None:
+    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 24, alpha: float = 1.2, seed: int = 7, batch: int = 256, pivots: int = 128) -> None:
         self.x = np.ascontiguousarray(x, np.float32)
         self.n = len(x)
         self.degree, self.beam, self.alpha, self.batch, self.pivots = degree, beam, alpha, batch, pivots
@@ -130,11 +130,11 @@ class Graph:
         """
         beam = beam or self.beam
         b = len(q)
-        seen = np.zeros((b, self.n), bool)
+        seen = np.zeros(b * self.n, bool)
         keys = np.full((b, beam), _NONE, np.int64)
         r, c = np.nonzero(start >= 0)
         node = start[r, c]
-        seen[r, node] = True
+        seen[r * self.n + node] = True
         first = np.full(start.shape, _NONE, np.int64)
         first[r, c] = _key(np.einsum("ij,ij->i", self.x[node], q[r]), node)
         first.sort(axis=1)
@@ -143,26 +143,34 @@ class Graph:
         w = min(beam, first.shape[1])
         keys[:, beam - w :] = first[:, first.shape[1] - w :]
         live = np.arange(b)
+        mine = keys
         while len(live):
-            mine = keys[live]
+            # the best entry still to be expanded, of each live query
             pick = beam - 1 - (mine[:, ::-1] & 1).argmax(1)
-            at = mine[np.arange(len(live)), pick]
+            spot = np.arange(len(live)) * beam + pick
+            at = mine.ravel().take(spot)
             ok = (at & 1) == 1
-            live, at, mine, pick = live[ok], at[ok], mine[ok], pick[ok]
-            if not len(live):
-                break
-            mine[np.arange(len(live)), pick] -= 1
-            near = self.nbr[(at & _ID) >> 1]
-            r, c = np.nonzero((near >= 0) & ~seen[live[:, None], near])
-            found = near[r, c]
-            seen[live[r], found] = True
-            k = _key(np.einsum("ij,ij->i", self.x[found], q[live[r]]), found)
-            good = k > mine[r, 0]
-            fresh = np.full(near.shape, _NONE, np.int64)
-            fresh[r[good], c[good]] = k[good]
+            if not ok.all():
+                keys[live[~ok]] = mine[~ok]
+                live, at, mine, pick = live[ok], at[ok], mine[ok], pick[ok]
+                if not len(live):
+                    break
+                spot = np.arange(len(live)) * beam + pick
+            mine.ravel()[spot] -= 1
+            near = self.nbr.take((at & _ID) >> 1, axis=0)
+            place = near + (live * self.n)[:, None]
+            hit = np.flatnonzero((near >= 0) & ~seen.take(place, mode="clip"))
+            where = place.ravel().take(hit)
+            seen[where] = True
+            found = near.ravel().take(hit)
+            row = hit // near.shape[1]
+            k = _key(np.einsum("ij,ij->i", self.x.take(found, axis=0), q.take(live.take(row), axis=0)), found)
+            good = k > mine[:, 0].take(row)
+            fresh = np.zeros(near.shape, np.int64)
+            fresh.ravel()[hit[good]] = k[good]
             both = np.concatenate([mine, fresh], 1)
             both.sort(axis=1)
-            keys[live] = both[:, -beam:]
+            mine = np.ascontiguousarray(both[:, -beam:])
         keys = keys[:, ::-1]
         real = keys > _NONE
         ids = np.where(real, (keys & _ID) >> 1, -1).astype(np.int32)
