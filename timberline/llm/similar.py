@@ -33,7 +33,7 @@ from timberline.session import parallelism
 HOT, HOT_ROWS = 200, 64
 #: Production parameters of a full search, and of one for near vectors only (cosine 0.9 and more), which
 #: share their nearest cells far more often.
-FULL = {"cell_rows": 12000, "max_cells": 5, "margin": 0.25, "degree": 24, "beam": 40}
+FULL = {"cell_rows": 12000, "max_cells": 4, "margin": 0.22, "degree": 24, "beam": 36}
 NEAR = {"cell_rows": 6000, "max_cells": 3, "margin": 0.12, "degree": 20, "beam": 24}
 EDGES = "id bigint, other bigint, cosine double"
 
