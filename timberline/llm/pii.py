@@ -79,9 +79,10 @@ _HOUSE_NAME = r"(?:[A-Z][\w'’-]+ (?:House|Cottage|Lodge|Farm|Hall|Manor|Villa|
 _NUM = r"\d{1,4} ?(?:bis|ter)?[a-z]?(?:[-/]\w{1,3})?"
 _EN_ADDRESS = re.compile(rf"(?<![\w/-])(?:{_UNIT}?(?:\d{{1,4}}[a-z]?,? |{_HOUSE_NAME})|{_UNIT})(?:(?:St\.? )?[\w'’-]+ ){{1,3}}(?:{'|'.join(_STREET_EN)})\b", re.I)
 _HOUSE_ADDRESS = re.compile(rf"\b{_UNIT}?[A-Z][\w'’-]+ (?:House|Cottage|Lodge|Farm|Hall|Manor|Villa|Barn|Mill), (?:(?:St\.? )?[\w'’.-]+ ){{1,3}}(?:{'|'.join(_STREET_EN)})\b", re.I)
-_LEAD_ADDRESS = re.compile(rf"(?<![\w'’])(?:(?:{_NUM}),? )?(?:{'|'.join(re.escape(x) for x in sorted(_STREET_LEAD, key=len, reverse=True))})\.? ?(?:(?:de|des|du|del|della|delle|dei|di|da|do|dos|das|la|le|los|las|al)\s|d['’]|l['’])*(?:[\w'’-]+[ ,]{{0,2}}){{1,4}}?(?:дом |д\. ?|n[º°.]? ?)?\d{{1,4}}", re.I)
+_LEAD_ADDRESS = re.compile(rf"(?<![\w'’])(?:(?:{_NUM}),? )?(?:{'|'.join(re.escape(x) for x in sorted(_STREET_LEAD, key=len, reverse=True))})\.? ?(?:(?:de|des|du|del|della|delle|dei|di|da|do|dos|das|la|le|los|las|al)\s|d['’]|l['’])*(?:[\w'’-]+[ ,]{{0,2}}){{1,4}}?(?:дом |д\. ?|n[º°.]? ?)?\d{{1,4}}(?!\d)", re.I)
 _NUM_LEAD_ADDRESS = re.compile(r"(?<![\w/-])\d{1,4}(?: ?(?:bis|ter|quater|[a-z]))?,? (?:rue|avenue|impasse|boulevard|chemin|allée|place|quai|cours|passage|route) (?:(?:de|des|du|la|le|les) |d['’]|l['’])*[\w'’-]+", re.I)
-_TAIL_ADDRESS = re.compile(rf"(?<![\w/-])[A-ZÀ-Ýa-z][\w-]*?(?:{'|'.join(_STREET_TAIL)})\.? \d{{1,4}}", re.I)
+_TAIL_ADDRESS = re.compile(rf"(?<![\w/-])[A-ZÀ-Ýa-z][\w-]*?(?:{'|'.join(_STREET_TAIL)})\.? \d{{1,4}}(?!\d)", re.I)
+_TOWN = re.compile(r"(?:, ?|\n)(?:(?:[A-ZÀ-Ý][\w-]+(?: [A-ZÀ-Ý][\w-]+(?=[,.\n]|$))?)(?:(?:, | )ZZ ?\d{1,5}(?: \d[A-Z]{2})?)?|\d{5} [A-ZÀ-Ý][\w-]+)")
 _RU_ADDRESS = re.compile(r"(?<![\w-])(?:[А-ЯЁ][а-яё-]+ (?:переулок|проезд|улица|проспект|бульвар|площадь|набережная|шоссе)|(?:ул\.|улица|пр\.|пр-т|проспект|пер\.|переулок|пл\.|площадь|бульвар|набережная|шоссе) ?[А-ЯЁ][\w -]*?),? (?:дом |д\. ?)?\d{1,4}", re.I)
 
 _TITLE = r"(?:Dr|Dra|Prof|Mr|Mrs|Ms|Miss|Herr|Frau|Sr|Sra|Srta|Mme|Mlle|Dhr|Mevr|Mevrouw|Sig|Sig\.ra|Dott|Senhor|Senhora|Señor|Señora|господин|госпожа)\.?"
@@ -216,11 +217,17 @@ class Finder:
     def _addresses(self, text: str, home: bool) -> Iterator[tuple[int, int, str]]:
         for p in (_EN_ADDRESS, _HOUSE_ADDRESS, _NUM_LEAD_ADDRESS, _RU_ADDRESS):
             for m in p.finditer(text):
-                yield m.start(), m.end(), "street_address"
+                yield m.start(), self._with_town(text, m.end()), "street_address"
         if home:
             for p in (_LEAD_ADDRESS, _TAIL_ADDRESS):
                 for m in p.finditer(text):
-                    yield m.start(), m.end(), "street_address"
+                    yield m.start(), self._with_town(text, m.end()), "street_address"
+
+    @staticmethod
+    def _with_town(text: str, end: int) -> int:
+        """The end with town and postcode, where they follow."""
+        m = _TOWN.match(text, end)
+        return m.end() if m else end
 
     # -- names
 
