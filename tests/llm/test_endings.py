@@ -16,7 +16,7 @@ def texts(n, seed=0):
 
 @pytest.fixture(scope="module")
 def model():
-    e, g = np.zeros((len(endings.LENGTHS), endings.SIZE), np.int64), np.zeros((len(endings.LENGTHS), endings.SIZE), np.int64)
+    e, g = np.zeros((endings.TABLES, endings.SIZE), np.int64), np.zeros((endings.TABLES, endings.SIZE), np.int64)
     endings.count([endings.clean(t) for t in texts(800)], e, g)
     return endings.Endings(e, g)
 

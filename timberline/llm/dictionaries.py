@@ -7,6 +7,7 @@ so its size does not depend on the data.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,23 +36,25 @@ for _k, _v in SEEDS.items():
     for _w in _v.split():
         _SEED_OF.setdefault(_w, []).append(LANGS.index(_k))
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 
 
 def words(text: str) -> list[str]:
-    return [w.replace("’", "'").lower() for w in _WORD.findall(text)]
+    return _WORD.findall(text.replace("’", "'").lower())
 
 
 def seed_language(ws: list[str]) -> int:
     """The language the seeds settle clearly, or -1."""
     score = [0.0] * len(LANGS)
     for w in ws:
-        for k in _SEED_OF.get(w, ()):
-            score[k] += 1.0 / len(_SEED_OF[w])
+        if (of := _SEED_OF.get(w)) is not None:
+            for k in of:
+                score[k] += 1.0 / len(of)
     best, second = sorted(score, reverse=True)[:2]
     return score.index(best) if best >= 3 and best >= 1.8 * second else -1
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
@@ -62,12 +65,14 @@ def fit_language(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((BUCKETS, len(LANGS)), np.int64)
         for pdf in batches:
+            hits: list[list[int]] = [[] for _ in LANGS]
             for t in pdf["text"]:
                 ws = words(t) if t else []
                 k = seed_language(ws)
                 if k >= 0:
-                    for w in ws:
-                        n[bucket(w), k] += 1
+                    hits[k] += map(bucket, ws)
+            for k, h in enumerate(hits):
+                n[:, k] += np.bincount(np.array(h, np.int64), minlength=BUCKETS)
         at = np.nonzero(n.any(1))[0]
         yield pd.DataFrame({"bucket": at, **{k: n[at, i] for i, k in enumerate(LANGS)}})
 
@@ -89,15 +94,13 @@ class Languages:
         self.score[table.sum(1) < 2] = 0.0
         # a language that hardly occurs in the corpus has no counts to judge by
         self.score[:, total < 200] = np.minimum(self.score[:, total < 200], 0.0)
+        for w, of in _SEED_OF.items():
+            self.score[bucket(w), of] += 0.5
 
     def of(self, text: str) -> tuple[int, float, int]:
         """(language, gap to the second, number of words)."""
         ws = words(text)
-        s = np.zeros(len(LANGS))
-        for w in ws:
-            s += self.score[bucket(w)]
-            for k in _SEED_OF.get(w, ()):
-                s[k] += 0.5
+        s = self.score.take([bucket(w) for w in ws], axis=0).sum(0) if ws else np.zeros(len(LANGS))
         second, best = np.partition(s, -2)[-2:]
         return int(s.argmax()), float(best - second), len(ws)
 
@@ -134,6 +137,8 @@ REFUSED = {
 }
 _CUES = {k: re.compile("|".join(v)) for k, v in REFUSAL_CUES.items()}
 _OBJECTS = {k: re.compile(v) for k, v in REFUSED.items()}
+#: A piece of every cue above: a text without any needs no closer look. Fixed value.
+_HINT = re.compile(r"sorry|afraid|unable|not able|not in a pos|comfortable|can't|cannot|can not|won't|will not|could not|don't feel|do not feel|refus|rather|prefer|declin|pass on|as an? |goes against|for me|lo siento|no pue|no me es|no podr|como |lament|disculp|désol|je ne|je pr|je re|il m'est|en tant|leid|ich |leider|als |descul|não|sinto|mi dispi|non |spiac|come |spijt|ik |helaas|извин|прост|не |сожал|как языков")
 _QUOTED = re.compile(r"\"[^\"]{2,300}\"|“[^”]{2,300}”|«[^»]{2,300}»|„[^“]{2,300}“")
 
 
@@ -143,7 +148,10 @@ def unquoted(text: str) -> str:
 
 def is_refusal(text: str) -> bool:
     """A sentence outside quotes declines the task, in any of the languages."""
-    t = unquoted(text.replace("’", "'")).lower()
+    t = text.replace("’", "'").lower()
+    if not _HINT.search(t):
+        return False
+    t = unquoted(t)
     for k, cue in _CUES.items():
         for m in cue.finditer(t):
             around = t[max(0, m.start() - 60) : m.end() + 120]

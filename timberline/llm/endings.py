@@ -2,8 +2,9 @@
 
 For every position of every text the characters before it, read backwards, form contexts of several
 lengths; each is counted as followed by an end (a full stop or other closing mark, then space or nothing)
-or by a continuation. Counts live in hashed tables of one size, whatever the corpus. For the final context
-of a text the chance of an end is interpolated from short to long contexts.
+or by a continuation. Counts live in hashed tables of one size, whatever the corpus; each context is counted
+in two places and the emptier one is read, so that contexts seldom share a count. For the final context of a
+text the chance of an end is interpolated from short to long contexts.
 
 ``log_odds`` compares continuation with end: log P(context | cut) - log P(context | whole), positive where
 the text stops where texts go on.
@@ -19,9 +20,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-LENGTHS = (3, 5, 8, 12, 18, 26)
-SIZE = 1 << 17
+LENGTHS = (3, 5, 8, 12, 17)
+BITS = 18
+SIZE = 1 << BITS
+TABLES = 2 * len(LENGTHS)
 _P = np.uint64(1099511628211)
+_BACK = np.uint64(pow(1099511628211, -1, 1 << 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _CLOSE = "\"'”’»)]}"
@@ -54,26 +58,28 @@ def final_context(text: str) -> tuple[str, str]:
     return (stripped if t != text or stripped != t else t), "open"
 
 
-def _hashes(texts: list[str], at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts joined, and a prefix hash over them."""
-    joined = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    return joined, np.cumsum(joined)
+class _Rolling:
+    """Hashes of the k characters before any position: differences of one weighted prefix sum, mod 2**64."""
 
+    def __init__(self, codes: np.ndarray) -> None:
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(len(codes), _P, np.uint64))
+            self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power)])
+            self.back = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(codes), _BACK, np.uint64))])
 
-def _context_buckets(codes: np.ndarray, ends: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the k characters before each of ``ends`` and whether so many exist within the text."""
-    ok = ends - starts >= k
-    e = np.where(ok, ends, k)
-    h = np.zeros(len(e), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(1, k + 1):
-            h = h * _P + codes[e - j]
-        h = (h ^ (h >> np.uint64(31))) * _MIX
-    return (h >> np.uint64(64 - 17)).astype(np.int64), ok
+    def buckets(self, ends: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The two buckets (2 x n) of the context before each of ``ends``, and whether so many characters stand there."""
+        ok = ends - starts >= k
+        e = np.where(ok, ends, k)
+        with np.errstate(over="ignore"):
+            h = (self.prefix.take(e) - self.prefix.take(e - k)) * self.back.take(e)
+            h = (h ^ (h >> np.uint64(31))) * _MIX
+            h = (h ^ (h >> np.uint64(29))) * _MIX
+        return np.stack([h >> np.uint64(64 - BITS), (h >> np.uint64(64 - 2 * BITS)) & np.uint64(SIZE - 1)]).astype(np.int64), ok
 
 
 def count(texts: list[str], ends_n: np.ndarray, goes_n: np.ndarray) -> None:
-    """Add the contexts of cleaned texts to the tables (lengths x SIZE)."""
+    """Add the contexts of cleaned texts to the tables (TABLES x SIZE)."""
     texts = [t.lower() for t in texts if len(t) >= 8]
     if not texts:
         return
@@ -89,13 +95,16 @@ def count(texts: list[str], ends_n: np.ndarray, goes_n: np.ndarray) -> None:
     closing = np.isin(nxt, np.array([0, 32, *map(ord, "\"'”’»)]")], np.uint64))
     digit = np.concatenate([[False], (codes[:-1] >= 48) & (codes[:-1] <= 57)])
     is_end = stop & closing & ~digit
+    rolling = _Rolling(codes)
+    use = np.flatnonzero((codes != 0) & ~dots & ~np.concatenate([[False], stop[:-1]]))
+    first, end = starts[use], is_end[use]
     for li, k in enumerate(LENGTHS):
-        pos = np.arange(n)
-        use = (codes != 0) & ~dots & ~np.concatenate([[False], stop[:-1]])
-        b, ok = _context_buckets(codes, pos[use], starts[use], k)
-        e = is_end[use][ok]
-        ends_n[li] += np.bincount(b[ok][e], minlength=SIZE).astype(np.int64)
-        goes_n[li] += np.bincount(b[ok][~e], minlength=SIZE).astype(np.int64)
+        b, ok = rolling.buckets(use, first, k)
+        e = end[ok]
+        for j in (0, 1):
+            at = b[j][ok]
+            ends_n[2 * li + j] += np.bincount(at[e], minlength=SIZE)
+            goes_n[2 * li + j] += np.bincount(at[~e], minlength=SIZE)
 
 
 class Endings:
@@ -112,9 +121,12 @@ class Endings:
         end = (np.arange(len(tails)) + 1) * LENGTHS[-1]
         size = np.minimum([len(c) for c in contexts], LENGTHS[-1])
         p = np.full(len(tails), self.base)
+        rolling = _Rolling(codes)
         for li, k in enumerate(LENGTHS):
-            b, ok = _context_buckets(codes, end, end - size, k)
-            e, g = self.ends[li][b], self.goes[li][b]
+            b, ok = rolling.buckets(end, end - size, k)
+            e1, g1, e2, g2 = (t[2 * li + j].take(b[j]) for j in (0, 1) for t in (self.ends, self.goes))
+            one = e1 + g1 <= e2 + g2
+            e, g = np.where(one, e1, e2), np.where(one, g1, g2)
             p = np.where(ok, (e + self.pull * p) / (e + g + self.pull), p)
         return np.log(self.base) - np.log(np.maximum(p, 1e-9))
 
@@ -124,21 +136,21 @@ def fit(texts: DataFrame) -> Endings:
     slices = 16
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = np.zeros((len(LENGTHS), SIZE), np.int64)
-        g = np.zeros((len(LENGTHS), SIZE), np.int64)
+        e = np.zeros((TABLES, SIZE), np.int64)
+        g = np.zeros((TABLES, SIZE), np.int64)
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
                 count([clean(t) for t in pdf["text"].iloc[lo : lo + 1000] if t], e, g)
-        both = np.stack([e, g]).astype(np.int32).reshape(2, len(LENGTHS), slices, -1)
-        yield pd.DataFrame([(li * slices + s, both[:, li, s].tobytes()) for li in range(len(LENGTHS)) for s in range(slices)], columns=["slice", "n"])
+        both = np.stack([e, g]).astype(np.int32).reshape(2, TABLES, slices, -1)
+        yield pd.DataFrame([(li * slices + s, both[:, li, s].tobytes()) for li in range(TABLES) for s in range(slices)], columns=["slice", "n"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b, np.int32).astype(np.int64) for b in pdf["n"])
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "n": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
     got = texts.mapInPandas(run, "slice int, n binary").groupBy("slice").applyInPandas(add, "slice int, n binary").collect()
-    table = np.zeros((len(LENGTHS) * slices, 2, SIZE // slices), np.float32)
+    table = np.zeros((TABLES * slices, 2, SIZE // slices), np.float32)
     for r in got:
         table[r["slice"]] = np.frombuffer(r["n"], np.int32).reshape(2, -1)
-    table = table.reshape(len(LENGTHS), slices, 2, -1)
-    return Endings(table[:, :, 0].reshape(len(LENGTHS), -1).copy(), table[:, :, 1].reshape(len(LENGTHS), -1).copy())
+    table = table.reshape(TABLES, slices, 2, -1)
+    return Endings(table[:, :, 0].reshape(TABLES, -1).copy(), table[:, :, 1].reshape(TABLES, -1).copy())

@@ -154,10 +154,11 @@ def fit_bits(texts: list[str], langs: np.ndarray, code: np.ndarray, rounds: int
             m = np.add.reduceat(w[flat], begin, axis=0) * scale[:, None]
             y = code[langs[part]]
             g = y / (1 + np.exp(np.clip(y * m, -30, 30))) * scale[:, None] * rate
-            uniq, inv = np.unique(flat, return_inverse=True)
-            rows = np.repeat(np.arange(len(part)), n)
-            for b in range(BITS):
-                w[uniq, b] += np.bincount(inv, g[rows, b], len(uniq)).astype(np.float32)
+            order = np.argsort(flat, kind="stable")
+            ordered = flat[order]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            rows = np.repeat(np.arange(len(part)), n)[order]
+            w[ordered[first]] += np.add.reduceat(g.take(rows, axis=0), first, axis=0)
         if r >= rounds // 2:
             mean += w
             kept += 1

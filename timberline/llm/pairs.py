@@ -76,6 +76,9 @@ class Copies:
         a, p = plain(answer).encode(), plain(prompt).encode()
         if len(a) < 8 or len(p) < 8:
             return 0.0
+        said = a.split()
+        if len(said) > 6 and sum(map(set(p.split()).__contains__, said)) < 0.4 * len(said):
+            return 0.0  # most words are new, so most bytes are: no need to compress
         with_prompt = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(p, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **self.args)
         fixed = 12.0
         alone = max(len(self.alone.compress(a)) - fixed, 4.0)
@@ -123,7 +126,7 @@ def flag_pairs(results: DataFrame, prompts: DataFrame) -> DataFrame:
                         a, p = languages.of(answer_words(text)), spoken[post]
                         if a[0] != p[0] and a[1] > 3.0 and p[1] > 3.0 and a[2] >= 3 and p[2] >= 3:
                             defect = "other_language"
-                    if defect is None and (broken or ending == "broken" or (ending in ("open", "dots") and score > 0.0)):
+                    if defect is None and (broken or ending == "broken" or (ending in ("open", "dots") and score > -1.0)):
                         defect = "truncated"
                 defects.append(defect)
                 shares.append(share)
