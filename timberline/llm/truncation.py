@@ -3,7 +3,7 @@
 The ending model (``endings``) gives each value the log-odds that its final context is one where texts go
 on. The threshold is set per column, source, language and length: where many values of one length (a field
 limit) look cut, the prior that another of that length is cut rises, elsewhere it stays at the source's
-share for such lengths.
+share for such lengths. How often the source's cut and whole texts lack a full stop or end in dots counts too.
 
 Defined results: null and blank values are no cases; a value that ends in a replacement character was cut
 inside one; an ellipsis is judged by what stands before it; whole texts that lack only the last full stop,
@@ -58,13 +58,19 @@ def _priors(pdf: pd.DataFrame) -> pd.DataFrame:
     n, cut = np.zeros(top), np.zeros(top)
     n[size], cut[size] = pdf["n"], pdf["n_cut"]
     share = (cut.sum() + 0.5) / (n.sum() + 1)
-    near_n = np.convolve(n, np.ones(17), "same")
-    near_cut = np.convolve(cut, np.ones(17), "same")
-    around = (near_n - n) / 16
+    around = (np.convolve(n, np.ones(17), "same") - n) / 16
     spike = (n >= 12) & (n > 3 * around + 5)
+    # a limit says nothing about the lengths beside it
+    near_n = np.convolve(np.where(spike, 0, n), np.ones(17), "same")
+    near_cut = np.convolve(np.where(spike, 0, cut), np.ones(17), "same")
     p = np.where(spike, (cut + share) / (n + 1), (near_cut + 4 * share) / (near_n + 4))
     p = np.clip(p, 1e-4, 1 - 1e-3)
-    return pd.DataFrame({"field": pdf["field"].iloc[0], "source": pdf["source"].iloc[0], "n_chars": size, "prior": np.log(p / (1 - p))[size]})
+    out = pd.DataFrame({"field": pdf["field"].iloc[0], "source": pdf["source"].iloc[0], "n_chars": size, "prior": np.log(p / (1 - p))[size]})
+    n_cut, n_whole = pdf["n_cut"].sum(), pdf["n"].sum() - pdf["n_cut"].sum()
+    for kind in ("open", "dots"):  # how the source's cut and whole texts end
+        c, w = pdf[f"{kind}_cut"].sum(), pdf[kind].sum() - pdf[f"{kind}_cut"].sum()
+        out[f"{kind}_odds"] = np.log((c + 1) / (n_cut + 3)) - np.log((w + 1) / (n_whole + 3))
+    return out
 
 
 def find_cuts(parts: list[tuple[DataFrame, str, str, str]], more_texts: DataFrame | None = None) -> DataFrame:
@@ -75,10 +81,13 @@ def find_cuts(parts: list[tuple[DataFrame, str, str, str]], more_texts: DataFram
     scored = score_endings(values, model)
     # lengths beyond 16384 share a bin, so a histogram has a fixed number of bins at most
     size = F.least(F.col("n_chars"), F.lit(16384)).alias("n_chars")
-    hist = scored.groupBy("field", "source", size).agg(F.count("*").alias("n"), F.sum((F.col("score") > 0).cast("int")).alias("n_cut"))
-    prior = hist.groupBy("field", "source").applyInPandas(_priors, "field string, source string, n_chars int, prior double")
+    cut = F.col("score") > 0
+    of_kind = [F.count_if((F.col("ending") == k) & c).alias(k + name) for k in ("open", "dots") for name, c in (("", F.lit(True)), ("_cut", cut))]
+    hist = scored.groupBy("field", "source", size).agg(F.count("*").alias("n"), F.count_if(cut).alias("n_cut"), *of_kind)
+    prior = hist.groupBy("field", "source").applyInPandas(_priors, "field string, source string, n_chars int, prior double, open_odds double, dots_odds double")
     got = scored.withColumn("bin", F.least(F.col("n_chars"), F.lit(16384))).join(prior.withColumnRenamed("n_chars", "bin"), ["field", "source", "bin"])
-    odds = F.col("score") + F.col("prior")
+    manner = F.when(F.col("ending") == "open", F.col("open_odds")).when(F.col("ending") == "dots", F.col("dots_odds")).otherwise(0.0)
+    odds = F.col("score") + F.col("prior") + manner
     return got.select("field", "row_id", "source", "lang", "n_chars", (odds > 0).alias("is_cut"), odds.alias("log_odds"))
 
 
