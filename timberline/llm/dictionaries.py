@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -137,23 +138,46 @@ REFUSED = {
 }
 _CUES = {k: re.compile("|".join(v)) for k, v in REFUSAL_CUES.items()}
 _OBJECTS = {k: re.compile(v) for k, v in REFUSED.items()}
-#: A piece of every cue above: a text without any needs no closer look. Fixed value.
-_HINT = re.compile(r"sorry|afraid|unable|not able|not in a pos|comfortable|can't|cannot|can not|won't|will not|could not|don't feel|do not feel|refus|rather|prefer|declin|pass on|as an? |goes against|for me|lo siento|no pue|no me es|no podr|como |lament|disculp|désol|je ne|je pr|je re|il m'est|en tant|leid|ich |leider|als |descul|não|sinto|mi dispi|non |spiac|come |spijt|ik |helaas|извин|прост|не |сожал|как языков")
+#: A piece of every cue above, by language: only languages with a hint in the text are looked at closely. Fixed values.
+HINTS = {
+    "en": "sorry|afraid|unable|not able|not in a pos|comfortable|can't|cannot|can not|won't|will not|could not|don't feel|do not feel|refus|rather|prefer|declin|pass on|as an ai|as a language|as an artificial|as a large|as an language|goes against|for me",
+    "es": "lo siento|no puedo|no me es|no podr|prefiero|como modelo|como un modelo|lament|disculp",
+    "fr": "désol|je ne|je pr|je re|il m'est|en tant",
+    "de": "leid|ich |leider|als ki|als sprach",
+    "pt": "descul|não |prefiro|lamento|como modelo|como um modelo|sinto",
+    "it": "dispiace|non |preferisco|come modello|spiacente",
+    "nl": "spijt|ik |helaas|als taal|sorry, ",
+    "ru": "извин|прост|не могу|не смогу|не буду|сожал|как языков",
+}
+
+
+def _hint_automaton() -> ahocorasick.Automaton:
+    auto = ahocorasick.Automaton()
+    for k, v in HINTS.items():
+        for h in v.split("|"):
+            auto.add_word(h, (*auto.get(h, ()), k))
+    auto.make_automaton()
+    return auto
+
+
+_AUTO = _hint_automaton()
+_MARKS = re.compile("[\"“«„]")
 _QUOTED = re.compile(r"\"[^\"]{2,300}\"|“[^”]{2,300}”|«[^»]{2,300}»|„[^“]{2,300}“")
 
 
 def unquoted(text: str) -> str:
-    return _QUOTED.sub(" ", text)
+    return _QUOTED.sub(" ", text) if _MARKS.search(text) else text
 
 
 def is_refusal(text: str) -> bool:
     """A sentence outside quotes declines the task, in any of the languages."""
     t = text.replace("’", "'").lower()
-    if not _HINT.search(t):
+    hinted = {k for _, ks in _AUTO.iter(t) for k in ks}
+    if not hinted:
         return False
     t = unquoted(t)
-    for k, cue in _CUES.items():
-        for m in cue.finditer(t):
+    for k in hinted:
+        for m in _CUES[k].finditer(t):
             around = t[max(0, m.start() - 60) : m.end() + 120]
             rest = around.replace(m.group(), " ", 1) if k != "en" else around
             if _OBJECTS[k].search(rest):

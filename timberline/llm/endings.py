@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 
 LENGTHS = (3, 5, 8, 12, 17)
 BITS = 18
+#: Characters at a text's end that are looked at: more than the longest context and any closing marks.
+REACH = 160
 SIZE = 1 << BITS
 TABLES = 2 * len(LENGTHS)
 _P = np.uint64(1099511628211)
@@ -39,11 +41,12 @@ _DOTS = re.compile(r"(?:\.\.\.+|…)$")
 def clean(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
-    return re.sub(r"\s+", " ", text).strip()
+    return " ".join(text.split())
 
 
 def final_context(text: str) -> tuple[str, str]:
-    """(text without its closing marks, 'end' | 'dots' | 'open' | 'broken') of a cleaned text."""
+    """(last words without their closing marks, 'end' | 'dots' | 'open' | 'broken') of a cleaned text."""
+    text = text[-REACH:]
     if text.endswith("�"):
         return text.rstrip("�"), "broken"
     t = _TAIL.sub("", text)

@@ -54,6 +54,8 @@ def open_wrapper(answer: str) -> tuple[str, bool]:
 
 
 def is_empty(text: str) -> bool:
+    if "<" not in text and len(re.findall(r"[^\W_]{2,}", text[:80])) > 5:
+        return False
     bare = re.sub(r"<[^<>]{1,12}>", " ", text)
     bare = re.sub(r"[^\w]+", " ", bare).strip()
     return not re.search(r"[^\W_]", bare) or bool(_HOLLOW.match(text.strip(" \t\r\n[](){}\"'.*-_")))
@@ -70,15 +72,21 @@ class Copies:
         self.level = level
         self.args = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(level=level, **self.args)
+        self.last: tuple[str, str, set[str]] = ("", "", set())
 
     def share(self, prompt: str, answer: str) -> float:
         """0: nothing of the answer stands in the prompt; 1: all of it."""
-        a, p = plain(answer).encode(), plain(prompt).encode()
+        if self.last[0] != prompt:
+            p = plain(prompt)
+            self.last = (prompt, p, set(p.split()))
+        _, p, known_words = self.last
+        a = plain(answer)
         if len(a) < 8 or len(p) < 8:
             return 0.0
         said = a.split()
-        if len(said) > 6 and sum(map(set(p.split()).__contains__, said)) < 0.4 * len(said):
+        if len(said) > 6 and sum(map(known_words.__contains__, said)) < 0.4 * len(said):
             return 0.0  # most words are new, so most bytes are: no need to compress
+        a, p = a.encode(), p.encode()
         with_prompt = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(p, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **self.args)
         fixed = 12.0
         alone = max(len(self.alone.compress(a)) - fixed, 4.0)
