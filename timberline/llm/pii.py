@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 #: Bound of the name lexicon (the most frequent names of the corpus).
 MAX_NAMES = 100_000
 
@@ -250,11 +250,13 @@ class Finder:
         right += ["<e>"] * (2 - len(right))
         return f"l1 {left[1]}", f"l2 {left[0]} {left[1]}", f"r1 {right[0]}", f"r2 {right[0]} {right[1]}"
 
-    def _fits(self, text: str, start: int, end: int) -> bool:
+    def _fits(self, text: str, start: int, end: int, strict: bool = False) -> bool:
         if self.contexts is None:
             return False
         l1, l2, r1, r2 = self._context_keys(text, start, end)
         n = self.contexts
+        if strict:
+            return bool(n[_bucket(l2)] > 0 and n[_bucket(r2)] > 0)
         if l1 == "l1 <s>" or l1[3:] in ("and", "y", "e", "en", "und", "et", "и"):
             return n[_bucket(r2)] > 0
         return n[_bucket(l1)] > 0 and n[_bucket(r1)] > 0 and (n[_bucket(l2)] > 0 or n[_bucket(r2)] > 0)
@@ -301,9 +303,11 @@ class Finder:
                 continue
             cased = all(s[0].isupper() for s in shape)
             if len(parts) == 1 and not sure:
-                if not cased or (shape[0].isupper() and len(shape[0]) > 1 and text.isupper()):
-                    slot = any(m.end(1) >= end and m.start(1) <= start for p in _SLOTS[:3] for m in p.finditer(text[: end + 2]))
-                    if not slot:
+                sides = (text[max(0, start - 12) : start], text[end : end + 12])
+                shouted = shape[0].isupper() and len(shape[0]) > 1 and any(re.search(r"[A-ZА-Я]", x) and not re.search(r"[a-zа-я]{2}", x) for x in sides)
+                if not cased or shouted:
+                    # written like the common word: only between words that stand around names
+                    if not self._fits(text, start, end, strict=True):
                         continue
                 initial = re.match(r" [A-ZÀ-Ý]\.(?!\w)", text[end:])
                 if text[start] != text[parts[0][0]] or initial:
@@ -420,7 +424,7 @@ def fit(texts: DataFrame, min_slots: int = 2, max_names: int = MAX_NAMES) -> tup
         yield pd.DataFrame({"bucket": list(n), "n": list(n.values())}).astype("int64")
 
     got = texts.select("text").mapInPandas(contexts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    table_ = np.zeros(BUCKETS, np.int64)
+    table_ = np.zeros(BUCKETS, np.int32)
     for r in got:
         table_[r["bucket"]] = r["n"]
     # what surrounds names again and again, not what stood there by chance
