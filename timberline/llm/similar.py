@@ -4,8 +4,9 @@
    frequent) are kept once; their rows' neighbours are other copies, lowest ids first. All other
    copies meet in the same cell and are folded there. No group of copies is gathered in one task.
 2. *Cells.* Spherical k-means on at most ``fit_rows`` rows (chosen by id hash; the bound is a
-   parameter) gives centroids, one per ``cell_rows`` rows. Each vector goes to its nearest cell and,
-   when nearly as close, to further ones, up to ``max_cells``. Every row is indexed.
+   parameter) gives centroids, one per ``cell_rows`` rows. Each vector is searched in its nearest cell and,
+   when nearly as close, in further ones, up to ``max_cells``; it is indexed in the first ``index_cells`` of
+   them. Every row is indexed.
 3. *Graph.* Each cell holds a robust-pruned directed graph (``vamana.Graph``); every vector of the cell
    is searched in it by beam search. A cell far over ``cell_rows`` is cut into blocks, each with its own
    graph, and the cell's vectors are searched in every block.
@@ -33,8 +34,8 @@ from timberline.session import parallelism
 HOT, HOT_ROWS = 200, 64
 #: Production parameters of a full search, and of one for near vectors only (cosine 0.9 and more), which
 #: share their nearest cells far more often.
-FULL = {"cell_rows": 12000, "max_cells": 4, "margin": 0.22, "degree": 24, "beam": 36}
-NEAR = {"cell_rows": 6000, "max_cells": 3, "margin": 0.12, "degree": 20, "beam": 24}
+FULL = {"cell_rows": 12000, "max_cells": 4, "index_cells": 3, "margin": 0.22, "degree": 24, "beam": 36}
+NEAR = {"cell_rows": 6000, "max_cells": 3, "index_cells": 3, "margin": 0.12, "degree": 20, "beam": 24}
 EDGES = "id bigint, other bigint, cosine double"
 
 
@@ -86,16 +87,16 @@ def _expand(ids: np.ndarray, group: np.ndarray, members: list[np.ndarray], near:
     return src, dst, cos
 
 
-def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_cosine: float | None = None, fit_rows: int = 8192, cell_rows: int | None = None, max_cells: int | None = None, margin: float | None = None, degree: int | None = None, beam: int | None = None) -> DataFrame:
+def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_cosine: float | None = None, fit_rows: int = 8192, cell_rows: int | None = None, max_cells: int | None = None, index_cells: int | None = None, margin: float | None = None, degree: int | None = None, beam: int | None = None) -> DataFrame:
     """``id, other, cosine, rank``: the k most similar other rows of each row, best first.
 
     ``min_cosine`` leaves out neighbours below it, before they are moved; the ranks stay the same. The other
     parameters default to ``FULL``, or to ``NEAR`` when only near vectors are asked for.
     """
     spark = df.sparkSession
-    given = {"cell_rows": cell_rows, "max_cells": max_cells, "margin": margin, "degree": degree, "beam": beam}
+    given = {"cell_rows": cell_rows, "max_cells": max_cells, "index_cells": index_cells, "margin": margin, "degree": degree, "beam": beam}
     preset = (NEAR if min_cosine is not None and min_cosine >= 0.9 else FULL) | {k: v for k, v in given.items() if v is not None}
-    cell_rows, max_cells, margin, degree, beam = (preset[k] for k in given)
+    cell_rows, max_cells, index_cells, margin, degree, beam = (preset[k] for k in given)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim))
     hashed = rows.select("id", F.xxhash64("vec").alias("h"))
     per = hashed.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
@@ -147,7 +148,7 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5,
                     go = p < parts[cell]
                     cells.append(cell[go] * 4096 + p)
                     rows_.append(at[go])
-                    home.append(block[go] == p)
+                    home.append((block[go] == p) & (j < index_cells))
             r = np.concatenate(rows_)
             data = x.astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells), pa.int64()), pa.array(ids[r]), pa.array(h[r]), pa.array(np.concatenate(home)), pa.array([data[i].tobytes() for i in r], pa.binary())], names=["cell", "id", "h", "home", "unit"])
