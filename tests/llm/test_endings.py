@@ -95,3 +95,31 @@ def test_flag_pairs(spark):
         assert out[i, "zero_shot"] == want, (i, want, out[i, "zero_shot"])
     assert all(v is None for k, v in out.items() if k[1] == "one_shot") and out[500, "zero_shot"] is None
     assert pairs.flag_pairs(r.where("false"), p).count() == 0
+
+
+def test_every_context_has_its_own_count(spark):
+    """More contexts than the hashed tables have places: scores as from plain counts."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzабвгдежз"
+    corpus = ["".join(rng.choices(letters, k=rng.randint(150, 250))) + "." for _ in range(6000)]
+    answers = [t.rstrip(".") for t in corpus[:20]] + [t[:120] for t in corpus[20:40]] + ["".join(rng.choices(letters, k=100)) for _ in range(20)]
+    rows = [(i, f"P{i}", t, None, None, None) for i, t in enumerate(answers)] + [(1000 + i, "none", None, None, None, t) for i, t in enumerate(corpus)]
+    r = spark.createDataFrame(rows, "result_id bigint, post_id string, zero_shot_summary string, one_shot_summary string, retrieved_timeline string, gold_summary string")
+    p = spark.createDataFrame([], "row_id bigint, post_id string, post string")
+    got = {x["result_id"]: x["log_odds"] for x in pairs.flag_pairs(r, p).where("result_id < 1000").collect()}
+    want_of = {t[-k:] for t in answers for k in endings.LENGTHS}
+    n, ends = dict.fromkeys(want_of, 0), dict.fromkeys(want_of, 0)
+    base = [0, 0]
+    for t in answers + corpus:
+        for at in range(len(t)):
+            base[0] += at >= 3
+            base[1] += at >= 3 and t[at] == "."
+            for k in endings.LENGTHS:
+                if at >= k and (c := t[at - k : at]) in n:
+                    n[c] += 1
+                    ends[c] += t[at] == "."
+    for i, t in enumerate(answers):
+        q = base[1] / base[0]
+        for k in endings.LENGTHS:
+            q = (ends[t[-k:]] + 1.5 * q) / (n[t[-k:]] + 1.5)
+        assert got[i] == pytest.approx(np.log(base[1] / base[0]) - np.log(q), abs=1e-6), i

@@ -2,9 +2,12 @@
 
 For every position of every text the characters before it, read backwards, form contexts of several
 lengths; each is counted as followed by an end (a full stop or other closing mark, then space or nothing)
-or by a continuation. Counts live in hashed tables of one size, whatever the corpus; each context is counted
-in two places and the emptier one is read, so that contexts seldom share a count. For the final context of a
-text the chance of an end is interpolated from short to long contexts.
+or by a continuation. Every context has its own count, in a table shuffled by the context's 64-bit key, and
+the final contexts of the values are joined to it. For the final context of a text the chance of an end is
+interpolated from short to long contexts.
+
+``Endings`` is the same model in memory, for a few thousand texts: its hashed tables have one size, each
+context is counted in two places and the emptier one is read.
 
 ``log_odds`` compares continuation with end: log P(context | cut) - log P(context | whole), positive where
 the text stops where texts go on.
@@ -19,6 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from timberline.session import materialize
 
 LENGTHS = (3, 5, 8, 12, 17)
 BITS = 18
@@ -26,6 +32,10 @@ BITS = 18
 REACH = 160
 SIZE = 1 << BITS
 TABLES = 2 * len(LENGTHS)
+#: Keys that a task holds before it adds them up or passes them on; a bound of memory, not of what is counted.
+HELD = 1 << 22
+#: Weight of the shorter context's estimate.
+PULL = 1.5
 _P = np.uint64(1099511628211)
 _BACK = np.uint64(pow(1099511628211, -1, 1 << 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -66,26 +76,33 @@ class _Rolling:
 
     def __init__(self, codes: np.ndarray) -> None:
         with np.errstate(over="ignore"):
+            codes = (codes + np.uint64(1)) * _MIX
+            codes = (codes ^ (codes >> np.uint64(32))) * _MIX
             power = np.cumprod(np.full(len(codes), _P, np.uint64))
             self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power)])
             self.back = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(codes), _BACK, np.uint64))])
 
-    def buckets(self, ends: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The two buckets (2 x n) of the context before each of ``ends``, and whether so many characters stand there."""
+    def keys(self, ends: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit key of the context of k characters before each of ``ends``, and whether so many stand there."""
         ok = ends - starts >= k
         e = np.where(ok, ends, k)
         with np.errstate(over="ignore"):
-            h = (self.prefix.take(e) - self.prefix.take(e - k)) * self.back.take(e)
+            h = (self.prefix.take(e) - self.prefix.take(e - k)) * self.back.take(e) + np.uint64(k)
             h = (h ^ (h >> np.uint64(31))) * _MIX
             h = (h ^ (h >> np.uint64(29))) * _MIX
+        return h, ok
+
+    def buckets(self, ends: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The two buckets (2 x n) of the context before each of ``ends``, and whether so many characters stand there."""
+        h, ok = self.keys(ends, starts, k)
         return np.stack([h >> np.uint64(64 - BITS), (h >> np.uint64(64 - 2 * BITS)) & np.uint64(SIZE - 1)]).astype(np.int64), ok
 
 
-def count(texts: list[str], ends_n: np.ndarray, goes_n: np.ndarray) -> None:
-    """Add the contexts of cleaned texts to the tables (TABLES x SIZE)."""
+def _places(texts: list[str]) -> tuple[_Rolling, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Hashes of cleaned texts, the positions that count, where their texts start, and whether an end stands there."""
     texts = [t.lower() for t in texts if len(t) >= 8]
     if not texts:
-        return
+        return None
     joined = "\x00".join(texts) + "\x00"
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
     n = len(codes)
@@ -98,9 +115,15 @@ def count(texts: list[str], ends_n: np.ndarray, goes_n: np.ndarray) -> None:
     closing = np.isin(nxt, np.array([0, 32, *map(ord, "\"'”’»)]")], np.uint64))
     digit = np.concatenate([[False], (codes[:-1] >= 48) & (codes[:-1] <= 57)])
     is_end = stop & closing & ~digit
-    rolling = _Rolling(codes)
     use = np.flatnonzero((codes != 0) & ~dots & ~np.concatenate([[False], stop[:-1]]))
-    first, end = starts[use], is_end[use]
+    return _Rolling(codes), use, starts[use], is_end[use]
+
+
+def count(texts: list[str], ends_n: np.ndarray, goes_n: np.ndarray) -> None:
+    """Add the contexts of cleaned texts to the tables (TABLES x SIZE)."""
+    if (got := _places(texts)) is None:
+        return
+    rolling, use, first, end = got
     for li, k in enumerate(LENGTHS):
         b, ok = rolling.buckets(use, first, k)
         e = end[ok]
@@ -110,8 +133,37 @@ def count(texts: list[str], ends_n: np.ndarray, goes_n: np.ndarray) -> None:
             goes_n[2 * li + j] += np.bincount(at[~e], minlength=SIZE)
 
 
+class _Tally:
+    """Occurrences of keys, added up now and then."""
+
+    def __init__(self) -> None:
+        self.raw: list[np.ndarray] = []
+        self.keys, self.n, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.raw.append(keys)
+        self.size += len(keys)
+        if self.size >= HELD:
+            self.sum()
+
+    def sum(self) -> None:
+        keys, n = np.unique(np.concatenate([*self.raw, np.zeros(0, np.uint64)]), return_counts=True)
+        self.raw, self.size = [], 0
+        keys, n = np.concatenate([self.keys, keys]), np.concatenate([self.n, n])
+        order = keys.argsort(kind="stable")  # two sorted runs
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        self.keys, self.n = keys[first], np.add.reduceat(n, first) if len(first) else n
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        self.sum()
+        got = self.keys.astype(np.int64), self.n
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return got
+
+
 class Endings:
-    def __init__(self, ends: np.ndarray, goes: np.ndarray, pull: float = 1.5) -> None:
+    def __init__(self, ends: np.ndarray, goes: np.ndarray, pull: float = PULL) -> None:
         self.ends, self.goes, self.pull = ends, goes, pull
         total = ends[0].sum() + goes[0].sum()
         self.base = float(max(ends[0].sum(), 1) / max(total, 1))
@@ -134,26 +186,69 @@ class Endings:
         return np.log(self.base) - np.log(np.maximum(p, 1e-9))
 
 
-def fit(texts: DataFrame) -> Endings:
-    """Counts over all texts of a one-column frame ``text``; summed per table slice on the executors."""
-    slices = 16
+def count_contexts(texts: DataFrame) -> DataFrame:
+    """``key, n, ends``: how often each context stands in the texts of a one-column frame ``text``, and before an end.
+
+    Under key 0: all positions with a context of the shortest length.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = np.zeros((TABLES, SIZE), np.int64)
-        g = np.zeros((TABLES, SIZE), np.int64)
+        every, ends = _Tally(), _Tally()
+        total = np.zeros(2, np.int64)
+
+        def taken() -> Iterator[pd.DataFrame]:
+            for i, tally in enumerate((every, ends)):
+                keys, n = tally.take()
+                yield pd.DataFrame({"key": keys, "n": n * (i == 0), "ends": n * (i == 1)})
+
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
-                count([clean(t) for t in pdf["text"].iloc[lo : lo + 1000] if t], e, g)
-        both = np.stack([e, g]).astype(np.int32).reshape(2, TABLES, slices, -1)
-        yield pd.DataFrame([(li * slices + s, both[:, li, s].tobytes()) for li in range(TABLES) for s in range(slices)], columns=["slice", "n"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.int32).astype(np.int64) for b in pdf["n"])
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "n": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
-
-    got = texts.mapInPandas(run, "slice int, n binary").groupBy("slice").applyInPandas(add, "slice int, n binary").collect()
-    table = np.zeros((TABLES * slices, 2, SIZE // slices), np.float32)
-    for r in got:
-        table[r["slice"]] = np.frombuffer(r["n"], np.int32).reshape(2, -1)
-    table = table.reshape(TABLES, slices, 2, -1)
-    return Endings(table[:, :, 0].reshape(TABLES, -1).copy(), table[:, :, 1].reshape(TABLES, -1).copy())
+                if (got := _places([clean(t) for t in pdf["text"].iloc[lo : lo + 1000] if t])) is None:
+                    continue
+                rolling, use, first, end = got
+                for k in LENGTHS:
+                    h, ok = rolling.keys(use, first, k)
+                    every.add(h[ok])
+                    ends.add(h[ok & end])
+                    if k == LENGTHS[0]:
+                        total += (ok.sum(), (ok & end).sum())
+                if len(every.keys) >= HELD:
+                    yield from taken()
+        yield from taken()
+        yield pd.DataFrame({"key": [0], "n": [total[0]], "ends": [total[1]]})
+
+    return texts.mapInPandas(run, "key bigint, n bigint, ends bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+
+
+def tail_of(context: str) -> str:
+    """What the model reads of a final context."""
+    return context.lower()[-LENGTHS[-1] :]
+
+
+def _tail_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per tail and length that it has; the shortest length stands for a tail that has none."""
+    for pdf in batches:
+        tails = pdf["tail"].to_numpy(object)
+        if not len(tails):
+            continue
+        codes = np.frombuffer("".join(t.rjust(LENGTHS[-1], "\x00") for t in tails).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        end = (np.arange(len(tails)) + 1) * LENGTHS[-1]
+        rolling = _Rolling(codes)
+        for k in LENGTHS:
+            h, ok = rolling.keys(end, end - np.array([len(t) for t in tails]), k)
+            yield pd.DataFrame({"tail": tails, "k": k, "key": pd.arrays.IntegerArray(h.astype(np.int64), ~ok)})[ok | (k == LENGTHS[0])]
+
+
+def log_odds(tails: DataFrame, texts: DataFrame) -> tuple[DataFrame, float]:
+    """``tail, log_odds`` of every tail of a frame ``tail``, by exact counts over all of ``texts``; and the share of ends."""
+    asked = tails.select("tail").where("tail is not null").distinct().mapInPandas(_tail_keys, "tail string, k int, key bigint")
+    total = tails.sparkSession.range(1).select(F.lit(None).cast("string").alias("tail"), F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("key"))
+    of_k = [F.sum(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_{k}") for k in (0, *LENGTHS) for c in ("n", "ends")]
+    found = materialize(asked.unionByName(total).join(count_contexts(texts), "key", "left").groupBy("tail").agg(*of_k), "endings")
+    whole = found.where("tail is null").first()
+    base = max(whole["ends_0"] or 0, 1) / max(whole["n_0"] or 0, 1)
+    p = F.lit(base)
+    for k in LENGTHS:
+        n, ends = (F.coalesce(F.col(f"{c}_{k}"), F.lit(0)) for c in ("n", "ends"))
+        p = (ends + F.lit(PULL) * p) / (n + F.lit(PULL))
+    return found.where("tail is not null").select("tail", (F.lit(float(np.log(base))) - F.log(F.greatest(p, F.lit(1e-9)))).alias("log_odds")), base

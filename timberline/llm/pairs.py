@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm import dictionaries, endings
+from timberline.session import materialize
 
 DEFECTS = ("empty", "truncated", "refusal", "copied", "other_language")
 #: An answer is copied when this share of what it says alone is already said by the prompt.
@@ -106,20 +107,16 @@ def flag_pairs(results: DataFrame, prompts: DataFrame) -> DataFrame:
     """``result_id, shot, defect, copied_share, log_odds`` of every pair; defect is null for a sound answer."""
     answers = results.select(F.explode(F.array("zero_shot_summary", "one_shot_summary", "gold_summary")).alias("text")).where("text is not null")
     posts = prompts.select(F.col("post").alias("text")).where("text is not null")
-    words = dictionaries.fit_language(answers.unionByName(posts))
-    model = endings.fit(answers)
-    shared = results.sparkSession.sparkContext.broadcast((words, model))
+    shared = results.sparkSession.sparkContext.broadcast(dictionaries.fit_language(answers.unionByName(posts)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, ends = shared.value
-        languages, copies = dictionaries.Languages(table), Copies()
+        languages, copies = dictionaries.Languages(shared.value), Copies()
         for pdf in batches:
             opened = [open_wrapper(a or "") for a in pdf["answer"]]
             ctx = [endings.final_context(endings.clean(t)) for t, _ in opened]
-            odds = ends.log_odds([c for c, _ in ctx])
             spoken: dict[str, tuple[int, float, int]] = {}
             defects, shares = [], []
-            for (text, broken), post, (_, ending), score in zip(opened, pdf["post"], ctx, odds):
+            for (text, _), post in zip(opened, pdf["post"]):
                 share, defect = 0.0, None
                 if is_empty(text):
                     defect = "empty"
@@ -134,13 +131,15 @@ def flag_pairs(results: DataFrame, prompts: DataFrame) -> DataFrame:
                         a, p = languages.of(answer_words(text)), spoken[post]
                         if a[0] != p[0] and a[1] > 3.0 and p[1] > 3.0 and a[2] >= 3 and p[2] >= 3:
                             defect = "other_language"
-                    if defect is None and (broken or ending == "broken" or (ending in ("open", "dots") and score > -1.0)):
-                        defect = "truncated"
                 defects.append(defect)
                 shares.append(share)
-            yield pd.DataFrame({"result_id": pdf["result_id"], "shot": pdf["shot"], "defect": defects, "copied_share": shares, "log_odds": odds})
+            kinds = ["broken" if broken else ending for (_, broken), (_, ending) in zip(opened, ctx)]
+            yield pd.DataFrame({"result_id": pdf["result_id"], "shot": pdf["shot"], "defect": defects, "copied_share": shares, "ending": kinds, "tail": [endings.tail_of(c) for c, _ in ctx]})
 
-    return pairs(results, prompts).mapInPandas(run, "result_id bigint, shot string, defect string, copied_share double, log_odds double")
+    seen = materialize(pairs(results, prompts).mapInPandas(run, "result_id bigint, shot string, defect string, copied_share double, ending string, tail string"), "pairs")
+    odds, _ = endings.log_odds(seen, answers)
+    cut = (F.col("ending") == "broken") | (F.col("ending").isin("open", "dots") & (F.col("log_odds") > -1.0))
+    return seen.join(odds, "tail", "left").select("result_id", "shot", F.coalesce("defect", F.when(cut, "truncated")).alias("defect"), "copied_share", "log_odds")
 
 
 def answer_words(text: str) -> str:

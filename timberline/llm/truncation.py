@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm import dictionaries, endings
+from timberline.session import materialize
 
-OUT = "field string, row_id bigint, source string, lang string, n_chars int, ending string, score double"
+OUT = "field string, row_id bigint, source string, lang string, n_chars int, ending string, tail string"
 
 
 def long_values(parts: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
@@ -33,22 +34,20 @@ def long_values(parts: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     return out
 
 
-def score_endings(values: DataFrame, model: endings.Endings) -> DataFrame:
-    shared = values.sparkSession.sparkContext.broadcast(model)
+def score_endings(values: DataFrame, corpus: DataFrame) -> DataFrame:
+    """How each value ends and the log-odds that texts go on there, counted over the texts of ``corpus``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for pdf in batches:
             texts = [endings.clean(t or "") for t in pdf["text"]]
             ctx = [endings.final_context(t) for t in texts]
-            odds = m.log_odds([c for c, _ in ctx])
-            kind = [k for _, k in ctx]
-            whole = -np.log(1 / m.base)
-            score = np.where([k == "broken" for k in kind], 50.0, np.where([k == "end" for k in kind], whole, odds))
             lang = [dictionaries.seed_language(dictionaries.words(t[:400])) for t in texts]
-            yield pd.DataFrame({"field": pdf["field"], "row_id": pdf["row_id"], "source": pdf["source"], "lang": [dictionaries.LANGS[k] if k >= 0 else "" for k in lang], "n_chars": [len(t or "") for t in pdf["text"]], "ending": kind, "score": score})
+            yield pd.DataFrame({"field": pdf["field"], "row_id": pdf["row_id"], "source": pdf["source"], "lang": [dictionaries.LANGS[k] if k >= 0 else "" for k in lang], "n_chars": [len(t or "") for t in pdf["text"]], "ending": [k for _, k in ctx], "tail": [endings.tail_of(c) for c, _ in ctx]})
 
-    return values.where("text is not null and trim(text) <> ''").mapInPandas(run, OUT)
+    seen = materialize(values.where("text is not null and trim(text) <> ''").mapInPandas(run, OUT), "values")
+    odds, base = endings.log_odds(seen, corpus)
+    score = F.when(F.col("ending") == "broken", 50.0).when(F.col("ending") == "end", float(np.log(base))).otherwise(F.col("log_odds"))
+    return materialize(seen.join(odds, "tail", "left").select("field", "row_id", "source", "lang", "n_chars", "ending", score.alias("score")), "scored")
 
 
 def _priors(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -77,8 +76,7 @@ def find_cuts(parts: list[tuple[DataFrame, str, str, str]], more_texts: DataFram
     """``field, row_id, source, lang, n_chars, is_cut, log_odds`` of every value that is not null or blank."""
     values = long_values(parts)
     corpus = values.select("text").where("text is not null")
-    model = endings.fit(corpus if more_texts is None else corpus.unionByName(more_texts))
-    scored = score_endings(values, model)
+    scored = score_endings(values, corpus if more_texts is None else corpus.unionByName(more_texts))
     # lengths beyond 16384 share a bin, so a histogram has a fixed number of bins at most
     size = F.least(F.col("n_chars"), F.lit(16384)).alias("n_chars")
     cut = F.col("score") > 0
