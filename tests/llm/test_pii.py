@@ -78,3 +78,22 @@ def test_frame(spark):
     assert red["post", 0] == "My name is [PERSON_NAME], in case anyone forgot. I met [PERSON_NAME] again."
     empty = pii.long_texts([(df.where("false"), "row_id", ("post",))])
     assert pii.find_pii(empty).count() == 0
+
+
+def test_names_introduced_once(spark):
+    once = ["My name is Brunhild Osterlund, and I am tired.", "Dr. Quillfeather changed my dose.", "My name is Wanda Zabriskie, as before.", "I met Alder Lane on a walk. Honestly, Kofi called from work."]
+    texts = [(i, t) for i, t in enumerate(once)] + [(100 + i, f"My name is {n}, in case anyone forgot. Honestly, I met {n} again.") for i, n in enumerate(["Wanda", "Kofi"] * 10)]
+    df = spark.createDataFrame(texts, "row_id bigint, post string")
+    got = {i: [] for i, _ in texts}
+    for r in pii.find_pii(pii.long_texts([(df, "row_id", ("post",))])).collect():
+        if r["kind"] == "person_name":
+            got[r["row_id"]].append(dict(texts)[r["row_id"]][r["start_at"] : r["end_at"]])
+    assert [got[i] for i in range(4)] == [["Brunhild Osterlund"], ["Quillfeather"], ["Wanda Zabriskie"], ["Kofi"]]
+    assert all(len(got[i]) == 2 for i in range(100, 120))
+
+
+def test_lexicon_keeps_every_word_of_a_slot(spark):
+    plain = [(i, "the mark on the wall is still there after all") for i in range(600)]
+    df = spark.createDataFrame([*plain, (1000, "My name is Brunhild, hello."), (1001, "Dr. Mark called.")], "row_id bigint, post string")
+    chunks = pii._chunked(pii.long_texts([(df, "row_id", ("post",))]))
+    assert {r["word"]: (r["kind"], r["plain"]) for r in pii.lexicon_of(chunks).collect()} == {"brunhild": ("unsure", False), "mark": ("common", True)}

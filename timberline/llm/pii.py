@@ -7,7 +7,9 @@ phone number, identity number, street address or person name and validate it.
 The name lexicon and the contexts of names are learned from the corpus itself, over all rows: words that
 stand in naming slots ("my name is ...", "Dr. ...") are counted against their use as plain lower-case
 words; what stands around sure names is counted in tables of a fixed number of hashed buckets. A word that
-is also a common one ("Will", "Hope") counts as a name only in a context that sure names have too.
+is also a common one ("Will", "Hope"), or stands in one naming slot only, counts as a name elsewhere only in
+a context that sure names have too. What stands in a naming slot is a mention by itself, unless it is a word
+of plain use. The lexicon is a table of any size; each chunk of texts is given the names that occur in it.
 
 Defined results: null and empty texts hold no mention and stay as they are; offsets count code points;
 of overlapping finds the one of the stronger kind stays; repeated rows give repeated mentions under their
@@ -17,9 +19,10 @@ own id; extra columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,11 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.session import materialize
+
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 BUCKETS = 1 << 20
-#: Bound of the name lexicon (the most frequent names of the corpus).
-MAX_NAMES = 100_000
+#: Texts that share one lookup in the name lexicon.
+CHUNK = 2048
 
 # Cue words and formats.
 _AT = ("@", "(at)", "[at]", "{at}", " at ", "mailto:")
@@ -42,6 +47,9 @@ _HOME_CUES = ("vivo en", "j'habite", "j’habite", "ich wohne", "ik woon", "abit
 _ID_CUES = ("passport", "identity", "insurance", "health", "national id", "id:", "identidad", "identidade", "identité", "ausweis", "documento", "burgernummer", "паспорт", "снилс", "social security", "medicare", "patient")
 _PHONE_CUES = ("call", "text me", "tel", "phone", "voicemail", "ring", "teléfono", "telefon", "telefone", "téléphone", "телефон", "llama", "chiama", "bel", "number is", "nummer", "numéro", "номер", "numero è", "mobile", "whatsapp")
 
+#: Titles and street words are no names, even in a naming slot.
+_NO_NAME = frozenset("dr dra prof mr mrs ms miss herr frau sr sra srta mme mlle dhr mevr mevrouw sig dott senhor senhora señor señora господин госпожа".split()) | frozenset(_STREET_EN)
+
 _DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)"
 _SPOKEN = re.compile(rf"\b{_DIGIT_WORD}(?:[ -]{_DIGIT_WORD}){{6,}}\b", re.I)
 _L, _R = r"(?<![\w@.,/+-])", r"(?![\w@]|[.,/-]\d)"
@@ -104,6 +112,7 @@ _SLOTS = [re.compile(p) for p in (
     rf"\b[Ff]orms go to ({_NAME_SEQ}),",
 )]
 _TOKEN = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
+_WITHIN = re.compile(r"[^\W\d_],? $")
 _STOP_NAME = frozenset("i i'm the my a an it he she we they you and or but in on at to for of this that today sunday monday tuesday wednesday thursday friday saturday de la los del della di da dos van der den von ter ten al el bin le".split())
 
 
@@ -114,7 +123,11 @@ def fold(text: str) -> str:
 
 
 def _names_of(seq: str) -> list[str]:
-    return [t for t in _TOKEN.findall(seq) if len(t) > 1 and t.lower() not in _STOP_NAME and not re.fullmatch(_PART, t.lower())]
+    return [t for t in _TOKEN.findall(seq) if _may_be_name(t)]
+
+
+def _may_be_name(token: str) -> bool:
+    return len(token) > 1 and token.lower() not in _STOP_NAME and not re.fullmatch(_PART, token.lower())
 
 
 def _own(token: str) -> str:
@@ -122,7 +135,7 @@ def _own(token: str) -> str:
 
 
 def count_words(texts: Iterator[str | None]) -> Counter:
-    """(word, use) counts: ``slot`` in a naming slot, ``low`` as a lower-case word, ``cap`` capitalized."""
+    """(word, use) counts: ``slot`` in a naming slot, ``low`` as a lower-case word, ``cap`` capitalized, ``mid`` so within a sentence."""
     n: Counter = Counter()
     for t in texts:
         if not t:
@@ -139,6 +152,8 @@ def count_words(texts: Iterator[str | None]) -> Counter:
                 n[_own(w), "low"] += 1
             elif not w.isupper():
                 n[_own(w).lower(), "cap"] += 1
+                if _WITHIN.search(t, max(0, m.start() - 3), m.start()):
+                    n[_own(w).lower(), "mid"] += 1
     return n
 
 
@@ -147,10 +162,14 @@ def _bucket(key: str) -> int:
 
 
 class Finder:
-    """All mentions in a text, given what the corpus taught."""
+    """All mentions in a text, given what the corpus taught.
+
+    ``common``: unsure words that hardly ever stand in a naming slot; names only where capitalized within a sentence. ``plain``: words that a slot alone doesn't make a name.
+    """
 
-    def __init__(self, sure: frozenset[str], unsure: frozenset[str], contexts: np.ndarray | None = None) -> None:
+    def __init__(self, sure: frozenset[str], unsure: frozenset[str], contexts: np.ndarray | None = None, common: frozenset[str] = frozenset(), plain: frozenset[str] | None = None) -> None:
         self.sure, self.unsure, self.contexts = sure, unsure, contexts
+        self.common, self.plain = common, unsure if plain is None else plain
         auto = ahocorasick.Automaton()
         for word in _AT:
             auto.add_word(word, ("at", len(word)))
@@ -233,7 +252,7 @@ class Finder:
 
     def _is_name(self, word: str) -> bool:
         w = _own(word).lower()
-        return w in self.sure or w in self.unsure
+        return w in self.sure or w in self.unsure and w not in self.common
 
     def _context_keys(self, text: str, start: int, end: int) -> tuple[str, str, str, str]:
         before = text[max(0, start - 60) : start]
@@ -289,10 +308,21 @@ class Finder:
                 start -= m.end() - m.start()
             yield start, end, parts
 
-    def _names(self, text: str, hits: list[tuple[int, int]], learn: bool = False) -> Iterator[tuple[int, int, str]]:
+    def _slot_hits(self, text: str) -> set[tuple[int, int]]:
+        """The words in naming slots, without those of plain use and what belongs to a street."""
+        out = set()
+        for p in _SLOTS:
+            for m in p.finditer(text):
+                for w in _TOKEN.finditer(m.group(1)):
+                    word = _own(w.group())
+                    if _may_be_name(word) and word[0].isupper() and word.lower() not in self.plain and word.lower() not in _NO_NAME:
+                        out.add((m.start(1) + w.start(), m.start(1) + w.start() + len(word)))
+        return out
+
+    def _names(self, text: str, hits: list[tuple[int, int]], learn: bool = False, given: set[tuple[int, int]] = frozenset()) -> Iterator[tuple[int, int, str]]:
         for start, end, parts in self._sequences(text, hits):
             words = [_own(text[s:e]).lower() for s, e in parts]
-            sure = [w for w in words if w in self.sure]
+            sure = [w for w, at in zip(words, parts) if w in self.sure or at in given]
             shape = [text[s:e] for s, e in parts]
             follow = re.match(rf"\.? (?:{'|'.join(_STREET_EN)}|inn|choir|bus stop|house|cottage|hall)\b", text[end : end + 14], re.I)
             if follow or re.search(r"\d[a-z]?,? $", text[max(0, start - 6) : start]):
@@ -302,6 +332,8 @@ class Finder:
                     yield start, end, "person_name"
                 continue
             cased = all(s[0].isupper() for s in shape)
+            if not sure and any(w in self.common for w in words) and not self._fits(text, start, end, strict=True):
+                continue
             if len(parts) == 1 and not sure:
                 sides = (text[max(0, start - 12) : start], text[end : end + 12])
                 shouted = shape[0].isupper() and len(shape[0]) > 1 and any(re.search(r"[A-ZА-Я]", x) and not re.search(r"[a-zа-я]{2}", x) for x in sides)
@@ -321,6 +353,12 @@ class Finder:
                 end += m.end()
             yield start, end, "person_name"
 
+    def _plainly(self, text: str, start: int, end: int) -> bool:
+        """A common word, not written like a name within a sentence."""
+        if _own(text[start:end]).lower() not in self.common:
+            return False
+        return not text[start].isupper() or text[start:end].isupper() or not _WITHIN.search(text, max(0, start - 3), start)
+
     def name_hits(self, text: str, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         for s, e in sorted(anchors, key=lambda x: (x[0], -x[1])):
@@ -368,8 +406,10 @@ class Finder:
         if street:
             home = True
             add(iter(sorted(self._addresses(text, home), key=lambda x: (x[0], -x[1]))))
-        if names:
-            add(self._names(text, self.name_hits(text, names)))
+        given = self._slot_hits(text)
+        if names or given:
+            known = [h for h in self.name_hits(text, names) if all(h[1] <= s or h[0] >= e for s, e in given) and not self._plainly(text, *h)]
+            add(self._names(text, sorted({*known, *given}), given=given))
         return sorted(found)
 
     def context_counts(self, texts: Iterator[str | None]) -> Counter:
@@ -379,7 +419,8 @@ class Finder:
                 continue
             low = fold(text)
             anchors = [(end + 1 - size, end + 1) for end, (kind, size) in self.auto.iter(low) if kind.startswith("name")]
-            for s, e, _ in self._names(text, self.name_hits(text, anchors), learn=True):
+            hits = [h for h in self.name_hits(text, anchors) if not self._plainly(text, *h)]
+            for s, e, _ in self._names(text, hits, learn=True):
                 for key in self._context_keys(text, s, e):
                     n[_bucket(key)] += 1
         return n
@@ -395,8 +436,19 @@ def long_texts(parts: list[tuple[DataFrame, str, tuple[str, ...]]]) -> DataFrame
     return out
 
 
-def fit(texts: DataFrame, min_slots: int = 2, max_names: int = MAX_NAMES) -> tuple[frozenset[str], frozenset[str], np.ndarray]:
-    """Name lexicon and name contexts over all texts. To the driver: at most ``max_names`` words, BUCKETS counts."""
+def _chunked(texts: DataFrame) -> DataFrame:
+    """``field, row_id, text, chunk``, written down so that the chunks stay the same."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), CHUNK):
+                yield pdf.iloc[lo : lo + CHUNK].assign(chunk=uuid.uuid4().hex)
+
+    return materialize(texts.select("field", "row_id", "text").mapInPandas(run, "field string, row_id bigint, text string, chunk string"), "texts")
+
+
+def lexicon_of(texts: DataFrame, min_slots: int = 2) -> DataFrame:
+    """``word, kind, plain``: every word of a naming slot; a sure, an unsure or a common one, and whether of plain use."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
@@ -408,41 +460,80 @@ def fit(texts: DataFrame, min_slots: int = 2, max_names: int = MAX_NAMES) -> tup
         yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["word", "use", "n"])
 
     counts = texts.select("text").mapInPandas(words, "word string, use string, n bigint").groupBy("word")
-    table = counts.agg(*(F.sum(F.when(F.col("use") == u, F.col("n")).otherwise(0)).alias(u) for u in ("slot", "low", "cap")))
-    rows = table.where((F.col("slot") >= min_slots) & (F.length("word") > 1)).orderBy(F.desc("slot"), "word").limit(max_names).collect()
-    sure = frozenset(r["word"] for r in rows if r["low"] <= 0.5 * r["slot"] and r["slot"] >= 0.04 * r["cap"])
-    unsure = frozenset(r["word"] for r in rows) - sure
-    # a plain word that a slot caught by chance is mostly used in lower case, or capitalized elsewhere
-    unsure = frozenset(r["word"] for r in rows if r["word"] in unsure and r["slot"] >= 0.002 * (r["low"] + r["cap"]))
-    shared = texts.sparkSession.sparkContext.broadcast((sure, unsure))
-
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = Finder(*shared.value)
-        n: Counter = Counter()
+    table = counts.agg(*(F.sum(F.when(F.col("use") == u, F.col("n")).otherwise(0)).alias(u) for u in ("slot", "low", "cap", "mid")))
+    slot, low, cap = F.col("slot"), F.col("low"), F.col("cap")
+    # a word that a slot caught by chance is mostly used in lower case, or capitalized elsewhere
+    plain = (low > 0.5 * cap) | (slot + F.col("mid") < 0.2 * cap)
+    hardly = (slot < 0.002 * (low + cap)) | ((slot < min_slots) & plain)
+    kind = F.when((slot >= min_slots) & (low <= 0.5 * slot) & (slot >= 0.04 * cap), "sure").when(hardly, "common").otherwise("unsure")
+    seen = table.where((slot > 0) & (F.length("word") > 1) & ((slot >= min_slots) | ~F.col("word").isin(*_NO_NAME)))
+    return materialize(seen.select("word", kind.alias("kind"), ((kind != "sure") & plain).alias("plain")), "lexicon")
+
+
+def _words_in(text: str) -> set[str]:
+    """All that a name of the lexicon can match in a text."""
+    out = set(_TOKEN.findall(fold(text)))
+    return out | {w[: m.start()] for w in out for m in re.finditer("['’]s", w)}
+
+
+def look_up(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The rows of the lexicon for each chunk whose texts have the word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n.update(f.context_counts(pdf["text"]))
-        yield pd.DataFrame({"bucket": list(n), "n": list(n.values())}).astype("int64")
+            for chunk, texts in pdf.groupby("chunk")["text"]:
+                words: set[str] = set()
+                for t in texts:
+                    words |= _words_in(t)
+                yield pd.DataFrame({"chunk": chunk, "word": sorted(words)}, columns=["chunk", "word"])
+
+    words = chunks.select("chunk", "text").mapInPandas(run, "chunk string, word string").distinct()
+    return materialize(words.join(lexicon, "word").select("chunk", "word", "kind", "plain"), "names")
+
+
+def _finder(names: pd.DataFrame, contexts: np.ndarray | None = None) -> Finder:
+    of = {k: frozenset(names["word"][names["kind"] == k]) for k in ("sure", "unsure", "common")}
+    return Finder(of["sure"], of["unsure"] | of["common"], contexts, of["common"], frozenset(names["word"][names["plain"].astype(bool)]))
+
+
+def contexts_of(chunks: DataFrame, names: DataFrame) -> np.ndarray:
+    """What stands around sure names again and again. To the driver: BUCKETS counts."""
 
-    got = texts.select("text").mapInPandas(contexts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    def run(texts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        n = _finder(own).context_counts(iter(texts["text"]))
+        return pd.DataFrame({"bucket": list(n), "n": list(n.values())}).astype("int64")
+
+    got = chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInPandas(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     table_ = np.zeros(BUCKETS, np.int32)
     for r in got:
         table_[r["bucket"]] = r["n"]
     # what surrounds names again and again, not what stood there by chance
     table_[table_ < max(2, int(table_.sum() * 2e-6))] = 0
-    return sure, unsure, table_
+    return table_
+
+
+def fit(texts: DataFrame, min_slots: int = 2) -> tuple[DataFrame, np.ndarray]:
+    """Name lexicon and name contexts over all texts."""
+    chunks = _chunked(texts)
+    lexicon = lexicon_of(chunks, min_slots)
+    return lexicon, contexts_of(chunks, look_up(chunks, lexicon))
+
+
+def _each_chunk(texts: DataFrame, model: tuple | None, run: Callable[[Finder, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    chunks = _chunked(texts)
+    names = look_up(chunks, model[0] if model else lexicon_of(chunks))
+    shared = texts.sparkSession.sparkContext.broadcast(model[1] if model else contexts_of(chunks, names))
+    return chunks.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInPandas(lambda pdf, own: run(_finder(own, shared.value), pdf), schema)
 
 
 def find_pii(texts: DataFrame, model: tuple | None = None) -> DataFrame:
     """``field, row_id, kind, start_at, end_at`` of every mention."""
-    shared = texts.sparkSession.sparkContext.broadcast(model or fit(texts))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = Finder(*shared.value)
-        for pdf in batches:
-            rows = [(a, i, k, s, e) for a, i, t in zip(pdf["field"], pdf["row_id"], pdf["text"]) for s, e, k in f.find(t)]
-            yield pd.DataFrame(rows, columns=["field", "row_id", "kind", "start_at", "end_at"])
+    def run(f: Finder, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(a, i, k, s, e) for a, i, t in zip(pdf["field"], pdf["row_id"], pdf["text"]) for s, e, k in f.find(t)]
+        return pd.DataFrame(rows, columns=["field", "row_id", "kind", "start_at", "end_at"])
 
-    return texts.mapInPandas(run, "field string, row_id bigint, kind string, start_at int, end_at int")
+    return _each_chunk(texts, model, run, "field string, row_id bigint, kind string, start_at int, end_at int")
 
 
 def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -455,13 +546,10 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(texts: DataFrame, model: tuple | None = None) -> DataFrame:
     """``field, row_id, text, redacted, n_mentions``: mentions replaced by placeholders of their type."""
-    shared = texts.sparkSession.sparkContext.broadcast(model or fit(texts))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = Finder(*shared.value)
-        for pdf in batches:
-            spans = [f.find(t) for t in pdf["text"]]
-            pdf = pdf.assign(redacted=[redact_text(t, s) for t, s in zip(pdf["text"], spans)], n_mentions=[len(s) for s in spans])
-            yield pdf[["field", "row_id", "text", "redacted", "n_mentions"]]
+    def run(f: Finder, pdf: pd.DataFrame) -> pd.DataFrame:
+        spans = [f.find(t) for t in pdf["text"]]
+        pdf = pdf.assign(redacted=[redact_text(t, s) for t, s in zip(pdf["text"], spans)], n_mentions=[len(s) for s in spans])
+        return pdf[["field", "row_id", "text", "redacted", "n_mentions"]]
 
-    return texts.mapInPandas(run, "field string, row_id bigint, text string, redacted string, n_mentions int")
+    return _each_chunk(texts, model, run, "field string, row_id bigint, text string, redacted string, n_mentions int")
