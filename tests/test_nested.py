@@ -59,3 +59,14 @@ def test_frame_with_nulls_repeats_and_clashing_columns(spark):
     posts = tables["posts"].collect()
     assert {tuple(r["parent"]) for r in posts} == {(0,)} and {r["post_index"] for r in posts} == {"3", "9", "10"}
     assert {(tuple(r["parent"]), r["text"]) for r in tables["spans"].collect()} >= {((0, 0), "x"), ((0, 1), "q")}
+
+
+def test_deep_wrappers_strings_and_several_values():
+    deep = DOC
+    for i in range(40):
+        deep = [deep] if i % 2 else {"export": deep}
+    assert labels(json.dumps(deep)) == labels(json.dumps(DOC))
+    assert labels(json.dumps({"body": json.dumps({"inner": json.dumps([DOC])}), "note": "{no json"})) == labels(json.dumps(DOC))
+    lines = "\n".join(json.dumps(x) for x in (DOC, {"version": 2}, {"timeline_id": "t2"}, {"data": [{"timeline_id": "t3"}]}))
+    assert [d for p, d in labels(lines) if p == nested.TIMELINE_PATH] == [[0], [1], [2]]
+    assert labels(json.dumps(DOC) + ' {"timeline_id": "cut') == labels(json.dumps(DOC))

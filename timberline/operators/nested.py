@@ -12,8 +12,8 @@ Levels and labels::
                                        s: place among the spans of that key
 
 Defined results: null, blank and invalid payloads give no node; a byte-order mark, white space or
-text before or after the JSON is passed over; containers that are null, missing or of another
-shape hold nothing; JSON inside a string field is opened; a span without text is no node and takes
+text before, between or after JSON values is passed over, and timelines count through all values;
+containers that are null, missing or of another shape hold nothing; JSON inside a string field is opened; a span without text is no node and takes
 no place; a span under an unknown key has the key ''. Repeated rows give repeated nodes under their
 own row id. Extra columns are not read.
 """
@@ -63,31 +63,28 @@ def _is_timeline(x: object) -> bool:
     return isinstance(x, dict) and any(_plain(k) in ("timeline-id", "posts") for k in x)
 
 
-def _timelines(x: object, depth: int = 0) -> list[dict]:
-    """Timelines in reading order, under any wrapper objects and lists."""
-    x = _opened(x)
-    if depth > 6:
-        return []
-    if _is_timeline(x):
-        return [x]
-    if isinstance(x, list):
-        return [t for e in x for t in _timelines(e, depth + 1)]
-    if isinstance(x, dict):
-        return [t for e in x.values() if isinstance(e, (dict, list)) for t in _timelines(e, depth + 1)]
-    return []
+def _timelines(x: object) -> list[dict]:
+    """Timelines in reading order, under any wrapper objects, lists and strings."""
+    found, open_ = [], [x]
+    while open_:
+        x = _opened(open_.pop())
+        if _is_timeline(x):
+            found.append(x)
+        elif isinstance(x, (list, dict)):
+            open_ += reversed(x if isinstance(x, list) else list(x.values()))
+    return found
 
 
 def parse_payload(text: str | None) -> list[dict]:
-    """Timelines of a raw payload. JSON that starts but does not parse makes the payload void."""
-    at = 0
+    """Timelines of all JSON values of a raw payload. What comes from JSON that does not parse on is void."""
+    at, found = 0, []
     while text and (m := _JSON_START.search(text, at)):
         try:
             value, at = _decoder.raw_decode(text, m.start())
         except (ValueError, RecursionError):
-            return []
-        if found := _timelines(value):
-            return found
-    return []
+            break
+        found += _timelines(value)
+    return found
 
 
 def _elements(value: object) -> list:
