@@ -123,3 +123,19 @@ def test_every_context_has_its_own_count(spark):
         for k in endings.LENGTHS:
             q = (ends[t[-k:]] + 1.5 * q) / (n[t[-k:]] + 1.5)
         assert got[i] == pytest.approx(np.log(base[1] / base[0]) - np.log(q), abs=1e-6), i
+
+
+def test_long_limits_are_told_from_other_long_texts(spark):
+    whole = texts(400, 21)
+    filler = " ".join(texts(600, 22))
+    longer = [filler[: filler.rindex(".", 0, 16_500 + 37 * i) + 1] for i in range(40)]
+    cut = [("ab" * i + filler)[:20_000].rstrip(". ").ljust(20_000, "h") for i in range(40)]
+    stop = filler[:19_999].rstrip(".") + "."
+    stop = stop.rjust(20_000, "x")
+    rows = [(i, "lim", t) for i, t in enumerate(whole + longer + cut + [stop])]
+    df = spark.createDataFrame(rows, "row_id bigint, source string, v string")
+    got = {r["row_id"]: r for r in truncation.find_cuts([(df, "row_id", "source", "v")]).collect()}
+    odds = [got[i]["log_odds"] for i in range(len(rows))]
+    assert got[480]["n_chars"] == 20_000 and got[440]["n_chars"] == 20_000
+    assert max(odds[400:440]) < max(odds[:400]) + 1.0 and odds[480] > max(odds[400:440]) + 3.0
+    assert len(got) == len(rows)

@@ -1,7 +1,7 @@
 """Texts cut off before their end, and how often each source cuts.
 
 The ending model (``endings``) gives each value the log-odds that its final context is one where texts go
-on. The threshold is set per column, source, language and length: where many values of one length (a field
+on. The threshold is set per column, source and length, not per language: where many values of one length (a field
 limit) look cut, the prior that another of that length is cut rises, elsewhere it stays at the source's
 share for such lengths. How often the source's cut and whole texts lack a full stop or end in dots counts too.
 
@@ -41,7 +41,7 @@ def score_endings(values: DataFrame, corpus: DataFrame) -> DataFrame:
         for pdf in batches:
             texts = [endings.clean(t or "") for t in pdf["text"]]
             ctx = [endings.final_context(t) for t in texts]
-            lang = [dictionaries.seed_language(dictionaries.words(t[:400])) for t in texts]
+            lang = [dictionaries.seed_language(dictionaries.words(t)) for t in texts]
             yield pd.DataFrame({"field": pdf["field"], "row_id": pdf["row_id"], "source": pdf["source"], "lang": [dictionaries.LANGS[k] if k >= 0 else "" for k in lang], "n_chars": [len(t or "") for t in pdf["text"]], "ending": [k for _, k in ctx], "tail": [endings.tail_of(c) for c, _ in ctx]})
 
     seen = materialize(values.where("text is not null and trim(text) <> ''").mapInPandas(run, OUT), "values")
@@ -52,19 +52,23 @@ def score_endings(values: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def _priors(pdf: pd.DataFrame) -> pd.DataFrame:
     """Prior log-odds of a cut for each length of one field and source, from a histogram of lengths."""
-    size = pdf["n_chars"].to_numpy()
-    top = int(size.max()) + 1
-    n, cut = np.zeros(top), np.zeros(top)
-    n[size], cut[size] = pdf["n"], pdf["n_cut"]
+    pdf = pdf.sort_values("n_chars")
+    size, n, cut = pdf["n_chars"].to_numpy(), pdf["n"].to_numpy(float), pdf["n_cut"].to_numpy(float)
+    lo, hi = np.searchsorted(size, size - 8), np.searchsorted(size, size + 8, "right")
+
+    def near(x: np.ndarray) -> np.ndarray:
+        """Sums over the 17 lengths around each."""
+        total = np.concatenate([[0.0], np.cumsum(x)])
+        return total[hi] - total[lo]
+
     share = (cut.sum() + 0.5) / (n.sum() + 1)
-    around = (np.convolve(n, np.ones(17), "same") - n) / 16
+    around = (near(n) - n) / 16
     spike = (n >= 12) & (n > 3 * around + 5)
     # a limit says nothing about the lengths beside it
-    near_n = np.convolve(np.where(spike, 0, n), np.ones(17), "same")
-    near_cut = np.convolve(np.where(spike, 0, cut), np.ones(17), "same")
+    near_n, near_cut = near(np.where(spike, 0, n)), near(np.where(spike, 0, cut))
     p = np.where(spike, (cut + share) / (n + 1), (near_cut + 4 * share) / (near_n + 4))
     p = np.clip(p, 1e-4, 1 - 1e-3)
-    out = pd.DataFrame({"field": pdf["field"].iloc[0], "source": pdf["source"].iloc[0], "n_chars": size, "prior": np.log(p / (1 - p))[size]})
+    out = pd.DataFrame({"field": pdf["field"].iloc[0], "source": pdf["source"].iloc[0], "n_chars": size, "prior": np.log(p / (1 - p))})
     n_cut, n_whole = pdf["n_cut"].sum(), pdf["n"].sum() - pdf["n_cut"].sum()
     for kind in ("open", "dots"):  # how the source's cut and whole texts end
         c, w = pdf[f"{kind}_cut"].sum(), pdf[kind].sum() - pdf[f"{kind}_cut"].sum()
@@ -77,13 +81,11 @@ def find_cuts(parts: list[tuple[DataFrame, str, str, str]], more_texts: DataFram
     values = long_values(parts)
     corpus = values.select("text").where("text is not null")
     scored = score_endings(values, corpus if more_texts is None else corpus.unionByName(more_texts))
-    # lengths beyond 16384 share a bin, so a histogram has a fixed number of bins at most
-    size = F.least(F.col("n_chars"), F.lit(16384)).alias("n_chars")
     cut = F.col("score") > 0
     of_kind = [F.count_if((F.col("ending") == k) & c).alias(k + name) for k in ("open", "dots") for name, c in (("", F.lit(True)), ("_cut", cut))]
-    hist = scored.groupBy("field", "source", size).agg(F.count("*").alias("n"), F.count_if(cut).alias("n_cut"), *of_kind)
+    hist = scored.groupBy("field", "source", "n_chars").agg(F.count("*").alias("n"), F.count_if(cut).alias("n_cut"), *of_kind)
     prior = hist.groupBy("field", "source").applyInPandas(_priors, "field string, source string, n_chars int, prior double, open_odds double, dots_odds double")
-    got = scored.withColumn("bin", F.least(F.col("n_chars"), F.lit(16384))).join(prior.withColumnRenamed("n_chars", "bin"), ["field", "source", "bin"])
+    got = scored.join(prior, ["field", "source", "n_chars"])
     manner = F.when(F.col("ending") == "open", F.col("open_odds")).when(F.col("ending") == "dots", F.col("dots_odds")).otherwise(0.0)
     odds = F.col("score") + F.col("prior") + manner
     return got.select("field", "row_id", "source", "lang", "n_chars", (odds > 0).alias("is_cut"), odds.alias("log_odds"))
