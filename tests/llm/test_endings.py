@@ -139,3 +139,14 @@ def test_long_limits_are_told_from_other_long_texts(spark):
     assert got[480]["n_chars"] == 20_000 and got[440]["n_chars"] == 20_000
     assert max(odds[400:440]) < max(odds[:400]) + 1.0 and odds[480] > max(odds[400:440]) + 3.0
     assert len(got) == len(rows)
+
+
+def test_copies_whose_words_are_cut_differently():
+    post = "I walked to work on Tuesday and then I sat by the canal with my old friend Jonathan. The cat slept all day in the house, and nobody remembered the appointment with the dentist until the evening came around again."
+    split = " ".join(w[: len(w) // 2] + "​" + w[len(w) // 2 :] if len(w) > 3 else w for w in post.split())
+    glued = "".join(w + " " * (i % 3 == 2) for i, w in enumerate(post.split()))
+    copies = pairs.Copies()
+    assert copies.share(post, split) >= pairs.COPIED
+    assert copies.share(post, glued) > 0.5
+    assert copies.share(post, "The writer describes quiet hours at home, relief about a visit, and some lingering worry over tasks left undone.") < 0.3
+    assert copies.share("", split) == 0.0

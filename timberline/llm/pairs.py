@@ -73,22 +73,19 @@ class Copies:
         self.level = level
         self.args = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(level=level, **self.args)
-        self.last: tuple[str, str, set[str]] = ("", "", set())
+        self.last: tuple[str, zstandard.ZstdCompressor | None] = ("", None)
 
     def share(self, prompt: str, answer: str) -> float:
         """0: nothing of the answer stands in the prompt; 1: all of it."""
         if self.last[0] != prompt:
             p = plain(prompt)
-            self.last = (prompt, p, set(p.split()))
-        _, p, known_words = self.last
+            own = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(p.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **self.args) if len(p) >= 8 else None
+            self.last = (prompt, own)
+        with_prompt = self.last[1]
         a = plain(answer)
-        if len(a) < 8 or len(p) < 8:
+        if len(a) < 8 or with_prompt is None:
             return 0.0
-        said = a.split()
-        if len(said) > 6 and sum(map(known_words.__contains__, said)) < 0.4 * len(said):
-            return 0.0  # most words are new, so most bytes are: no need to compress
-        a, p = a.encode(), p.encode()
-        with_prompt = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(p, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **self.args)
+        a = a.encode()
         fixed = 12.0
         alone = max(len(self.alone.compress(a)) - fixed, 4.0)
         known = max(len(with_prompt.compress(a)) - fixed, 0.0)
