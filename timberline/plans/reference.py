@@ -74,7 +74,11 @@ def knn_hybrid_concat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fold_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Leave one timeline out: per fold its queries and their mean similarity to the best example outside."""
+    """Leave one timeline out: per fold its queries and their mean similarity to the best example outside.
+
+    As in the SQL, the queries are the query set of the searches (``profile_id % 100 == 0``), about 1 % of the
+    targets: ``n_target`` counts queries, and a fold without one has no row.
+    """
     p = table(spark, d, "post_profile").select("profile_id", F.coalesce("timeline_id", F.lit("")).alias("fold"))
     top = _knn(spark, d, "hybrid", 1)
     return top.join(p, F.col("query_id") == F.col("profile_id")).groupBy("fold").agg(F.count("*").alias("n_target"), r6(F.avg("similarity")).alias("mean_similarity"))
