@@ -260,3 +260,20 @@ def test_prompt_blocks(spark):
     ev, ctx = df.select(prompts.evidence_block(F.col("s")), prompts.context_block(F.col("b"), F.col("a"))).collect()[0]
     assert ev == 'Adaptive evidence:\n  - Affect (A): "calm"\nMaladaptive evidence:\n  None identified'
     assert ctx == "Earlier posts in this timeline:\n  - b1"
+
+
+def test_pair_metrics_by_a_backend(spark):
+    class FromTable:
+        def score(self, premises, hypotheses):
+            contra = {("g1", "s1"): 0.1, ("g2", "s1"): 0.7, ("g1", "s2"): 0.2, ("g2", "s2"): 0.3, ("g1", "s3"): 0.05, ("g2", "s3"): 0.0}
+            entail = {("h1", "s1"): 0.9, ("h1", "s2"): 0.1, ("h1", "s3"): 0.2, ("h2", "s1"): 0.3, ("h2", "s2"): 0.4, ("h2", "s3"): 0.35}
+            keys = [(p.rstrip(". "), h.rstrip(". ")) for p, h in zip(premises, hypotheses)]
+            return np.array([[entail.get(k, 0.0), 0.0, contra.get(k, 0.0)] for k in keys])
+
+    df = spark.createDataFrame([(1, "s1. s2. s3.", "g1. g2.", ["h1", "h2"]), (2, "", "g1.", ["h1"]), (3, "s1.", "g1.", []), (3, "s1.", "g1.", [])], "id int, p string, g string, h array<string>")
+    rows = metrics.scored_pair_metrics(df, "id", "p", "g", "h", FromTable).collect()
+    got = {r["id"]: r for r in rows}
+    assert len(rows) == 4
+    assert np.allclose([got[1]["cs"], got[1]["ct"], got[1]["ea"]], [0.775, 0.35, 0.65])
+    assert (got[2]["cs"], got[2]["ct"], got[2]["ea"]) == (0.0, 1.0, 0.0)
+    assert got[3]["ea"] is None and np.allclose([got[3]["cs"], got[3]["ct"]], [0.9, 0.1])

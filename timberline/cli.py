@@ -76,17 +76,19 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> str:
         got["report"].show(truncate=False)
         values = {"accuracy": acc["all"]["accuracy"], "macro_f1": got["macro_f1"].collect()[0]["macro_f1"], **{f"accuracy_{p}": acc[p]["accuracy"] if p in acc else None for p in S.POLARITIES}, "n_spans": acc["all"]["n"], "n_unknown": acc["all"]["n_unknown"]}
         return files.write_evaluation(values, path, args.results)
+    scorer = _factory(args.scorer, None)
     if args.mode.startswith("baseline"):
         col = "task_b_baseline_official_summaries" if args.mode == "baseline_official" else "task_b_baseline_blue_team_summaries"
         rows = files.read_csv(spark, args.results, f"{S.POST_CSV}, {col} string").where(f"post_summary <> 'NONE' and {col} is not null")
-        means = metrics.corpus_means(metrics.pair_metrics(rows, "post_id", col, "post_summary")).collect()[0].asDict()
+        per_row = metrics.scored_pair_metrics(rows, "post_id", col, "post_summary", None, scorer) if scorer else metrics.pair_metrics(rows, "post_id", col, "post_summary")
+        means = metrics.corpus_means(per_row).collect()[0].asDict()
         return files.write_evaluation({"mode": args.mode, "task_b": means}, files.baseline_evaluation_path(args.results), args.results)
     path = files.evaluation_path(args.results, "b")
     rows = files.read_results(spark, args.results).withColumn("key", F.concat_ws("/", "timeline_id", "post_index"))
     modes = ("zero_shot", "one_shot") if args.mode == "both" else (args.mode,)
-    values = {m: pipeline.evaluate_summaries(rows, "key", m).collect()[0].asDict() for m in modes}
+    values = {m: pipeline.evaluate_summaries(rows, "key", m, scorer).collect()[0].asDict() for m in modes}
     if args.mode == "both":
-        pipeline.compare_modes(rows, "key").show(truncate=False)
+        pipeline.compare_modes(rows, "key", scorer).show(truncate=False)
     return files.write_evaluation({"mode": args.mode, **values}, path, args.results)
 
 
@@ -145,6 +147,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--task", choices=("a3", "b"), required=True)
     a.add_argument("--results", required=True)
     a.add_argument("--mode", choices=("zero_shot", "one_shot", "both", "baseline_official", "baseline_blue"), default="both")
+    a.add_argument("--scorer")
     a.set_defaults(run=evaluate)
     a = sub.add_parser("submission")
     a.add_argument("--task", choices=("B", "C"), required=True)

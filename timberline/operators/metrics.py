@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions import text as T
+from timberline.models import interfaces as M
 from timberline.schema import ABCD_KEYS, UNKNOWN
+from timberline.session import materialize
 
 # -- classification
 
@@ -122,6 +126,31 @@ def pair_metrics(rows: DataFrame, key: str, predicted: str, gold: str, evidence:
     )
 
 
+def scored_pair_metrics(rows: DataFrame, key: str, predicted: str, gold: str, evidence: str | None, scorer: Callable[[], M.PairScorer]) -> DataFrame:
+    """``pair_metrics`` by a backend's scores: each distinct pair of sentences is scored once."""
+    h = F.filter(F.coalesce(F.col(evidence), F.array().cast("array<string>")), lambda x: x.isNotNull()) if evidence else F.array().cast("array<string>")
+    x = materialize(rows.select(F.col(key), T.sentences(F.col(predicted)).alias("s"), T.sentences(F.col(gold)).alias("g"), h.alias("h"), F.monotonically_increasing_id().alias("_row")), "sentences")
+
+    def pairs(kind: str, outer: str, premise: str, hypothesis: str) -> DataFrame:
+        inner = "g" if outer == "s" else "s"
+        each = x.select("_row", F.posexplode(outer).alias("i", outer), F.col(inner).alias("rest"))
+        return each.select("_row", F.lit(kind).alias("kind"), "i", outer, F.explode("rest").alias(inner)).select("_row", "kind", "i", F.col(premise).alias("premise"), F.col(hypothesis).alias("hypothesis"))
+
+    every = pairs("contradiction", "s", "g", "s").unionByName(pairs("entailment", "h", "h", "s"))
+    scores = every.select("premise", "hypothesis").distinct().select("premise", "hypothesis", M.score_udf(scorer)("premise", "hypothesis").alias("score"))
+    value = F.when(F.col("kind") == "entailment", F.col("score.entailment")).otherwise(F.col("score.contradiction"))
+    per = every.join(scores, ["premise", "hypothesis"]).groupBy("_row", "kind", "i").agg(F.max(value).alias("most"), F.sum(value).alias("total"), F.count("*").alias("n"))
+    is_c = F.col("kind") == "contradiction"
+    both = per.groupBy("_row").agg(F.try_divide(F.sum(F.when(is_c, F.col("total"))), F.sum(F.when(is_c, F.col("n")))).alias("c"), F.avg(F.when(is_c, F.col("most"))).alias("m"), F.avg(F.when(~is_c, F.col("most"))).alias("e"))
+    none = (F.size("s") == 0) | (F.size("g") == 0)
+    return x.join(both, "_row", "left").select(
+        key,
+        F.when(none, 0.0).otherwise(1 - F.col("c")).alias("cs"),
+        F.when(none, 1.0).otherwise(F.col("m")).alias("ct"),
+        F.when(none, 0.0).when(F.size("h") > 0, F.col("e")).alias("ea"),
+    )
+
+
 def corpus_means(per_row: DataFrame) -> DataFrame:
     """One row: means of cs and ct, mean of ea over rows that have one."""
     return per_row.agg(F.count("*").alias("n_evaluated"), _six(F.avg("cs")).alias("consistency"), _six(F.avg("ct")).alias("contradiction"), _six(F.avg(F.nanvl("ea", F.lit(None)))).alias("evidence_alignment"))

@@ -103,15 +103,17 @@ def evaluate_labels(spans: DataFrame) -> dict[str, DataFrame]:
     return {"accuracy": metrics.accuracy_by_group(conf), "macro_f1": metrics.macro_f1(flat), "report": metrics.classification_report(flat)}
 
 
-def evaluate_summaries(results: DataFrame, key: str, mode: str) -> DataFrame:
-    """Corpus means of one mode over results whose reference and summary are not empty."""
+def evaluate_summaries(results: DataFrame, key: str, mode: str, scorer: Callable[[], M.PairScorer] | None = None) -> DataFrame:
+    """Corpus means of one mode over results whose reference and summary are not empty; without a scorer by the stub."""
     col = f"{mode}_summary"
     usable = results.where((F.length("gold_summary") > 0) & (F.length(col) > 0))
-    return metrics.corpus_means(metrics.pair_metrics(usable, key, col, "gold_summary", "evidence_texts" if "evidence_texts" in results.columns else None))
+    evidence = "evidence_texts" if "evidence_texts" in results.columns else None
+    per_row = metrics.scored_pair_metrics(usable, key, col, "gold_summary", evidence, scorer) if scorer else metrics.pair_metrics(usable, key, col, "gold_summary", evidence)
+    return metrics.corpus_means(per_row)
 
 
-def compare_modes(results: DataFrame, key: str) -> DataFrame:
-    return metrics.mode_delta(evaluate_summaries(results, key, "zero_shot"), evaluate_summaries(results, key, "one_shot"))
+def compare_modes(results: DataFrame, key: str, scorer: Callable[[], M.PairScorer] | None = None) -> DataFrame:
+    return metrics.mode_delta(evaluate_summaries(results, key, "zero_shot", scorer), evaluate_summaries(results, key, "one_shot", scorer))
 
 
 def evaluate_timelines(pairs: DataFrame) -> DataFrame:
