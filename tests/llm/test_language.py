@@ -59,3 +59,54 @@ def test_held_out_agreement(spark, medium):
     m = L.fit(docs.where("doc_id % 2 = 0"))
     got = L.identify(docs.where("doc_id % 2 = 1"), model=m).where("n_segments = 1 and label <> ''").toPandas()
     assert (got["label"] == got["lang"]).mean() > 0.82  # about one label in eight is wrong
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    import pandas as pd
+
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"])
+    docs["k"] = [L.normalize_label(x) for x in docs["lang"]]
+    docs = docs[docs["k"].isin(L.LANGS) & (docs["text"].str.len() > 20)].sort_values("doc_id")
+    held, rest = docs[docs["doc_id"] % 10 == 0].head(300), docs[docs["doc_id"] % 10 != 0]
+    return held, rest
+
+
+def _fitted(rest, seed, noise, thin=None, true=None):
+    rng = np.random.default_rng(seed)
+    docs = rest.sample(frac=1, random_state=seed)
+    if thin:
+        docs = docs[~((true.reindex(docs.index) == thin) & (rng.random(len(docs)) > 0.12))]
+    k = docs["k"].to_numpy().copy()
+    flip = rng.random(len(k)) < noise
+    k[flip] = rng.choice(L.LANGS, flip.sum())
+    docs = docs.assign(k=k)
+    docs = [docs.iloc[:1000], docs.iloc[1000:].groupby("k").head(200)]
+    return L.train([t for d in docs for t in d["text"]], [x for d in docs for x in d["k"]], chars_per_language=15_000)
+
+
+def _spoken(model, held):
+    return [[L.LANGS[r[0]] for r in runs] for runs in model.read(list(held["text"]))]
+
+
+@pytest.mark.parametrize("noise", [0.12, 0.3])
+def test_fit_withstands_wrong_labels(corpus, noise):
+    held, rest = corpus
+    want = _spoken(_fitted(rest, 99, 0.0), held)
+    for seed in range(10):
+        assert np.mean([a != b for a, b in zip(want, _spoken(_fitted(rest, seed, noise), held))]) <= 0.01, seed
+
+
+def test_fit_withstands_rare_languages(corpus):
+    held, rest = corpus
+    model = _fitted(rest, 99, 0.0)
+    want = _spoken(model, held)
+    true = rest["k"].where([len(runs) == 1 and runs[0] == k for runs, k in zip(_spoken(model, rest), rest["k"])], "")
+    for lang in L.LANGS:
+        assert np.mean([a != b for a, b in zip(want, _spoken(_fitted(rest, 5, 0.12, lang, true), held))]) <= 0.03, lang
+
+
+def test_languages_without_a_text_are_never_chosen():
+    model = L.train([" ".join(TEXTS[k]) for k in ("en", "de") for _ in range(6)], [k for k in ("en", "de") for _ in range(6)])
+    assert {L.LANGS[r[0]] for v in TEXTS.values() for r in model.read([" ".join(v)])[0]} <= {"en", "de"}
+    assert L.train([], []).read(["some text"])[0][0][1] == ["some text"]

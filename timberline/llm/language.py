@@ -7,8 +7,9 @@ A document is read sentence by sentence; the cheapest path through the sentences
 change of language, gives its segments.
 
 The classifiers are fitted on a bounded sample of labelled documents (``mixed_rows`` in their natural mix and
-up to ``per_language`` of each label, by id hash), first on whole documents and then twice on their sentences
-without those that clearly speak another language, since labels may be wrong and documents mixed. Everything else covers every document.
+up to ``per_language`` of each label, by id hash). Labels may be wrong and documents mixed: each document, then
+each sentence, is first judged by n-gram chances counted over the others, and only what agrees is fitted.
+Everything else covers every document.
 
 Defined results: null, empty and letterless texts have no language and are no case; a label that is null,
 blank or names no language is missing; other spellings, codes and regions of the right language are right.
@@ -95,24 +96,18 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     clean = [" " + " ".join(letters(t)).lower() + " " for t in texts]
     size = np.array([len(c) for c in clean], np.int64)
     a = np.frombuffer("".join(clean).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    own = np.repeat(np.arange(len(clean)), size)
-    idx, row = [], []
-    h = a.copy()
+    own = np.repeat(np.arange(len(clean), dtype=np.int32), size)
+    grams, real = np.zeros((len(a), 3), np.int32), np.zeros((len(a), 3), bool)
+    h = a
     with np.errstate(over="ignore"):
-        for n in (2, 3, 4):
+        for k, n in enumerate((2, 3, 4)):
             if len(a) < n:
                 break
             h = h[: len(a) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + a[n - 1 :]
-            same = own[: len(own) - n + 1] == own[n - 1 :]
-            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            idx.append((mixed >> np.uint64(48)).astype(np.int32)[same])
-            row.append(own[: len(own) - n + 1][same])
-    if not idx:
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    idx_, row_ = np.concatenate(idx), np.concatenate(row)
-    order = np.argsort(row_, kind="stable")
-    starts = np.searchsorted(row_[order], np.arange(len(texts) + 1))
-    return idx_[order], starts
+            grams[: len(h), k] = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)
+            real[: len(h), k] = own[: len(h)] == own[n - 1 :]
+    count = np.bincount(own, real.sum(1), len(texts)).astype(np.int64) if len(a) else np.zeros(len(texts), np.int64)
+    return grams[real], np.concatenate([[0], np.cumsum(count)])
 
 
 def margins(w: np.ndarray, texts: list[str], chunk: int = 400_000) -> np.ndarray:
@@ -171,13 +166,14 @@ def losses(m: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, w: np.ndarray, code: np.ndarray, change: float = 4.0, shortest: int = 6, soften: float = 3.0) -> None:
+    def __init__(self, w: np.ndarray, code: np.ndarray, known: np.ndarray | None = None, change: float = 4.0, shortest: int = 6, soften: float = 3.0) -> None:
         self.w, self.code, self.change, self.shortest, self.soften = w, code, change, shortest, soften
+        self.out = np.zeros(len(code), np.float32) if known is None or not known.any() else np.where(known, 0, 1e6).astype(np.float32)
 
     def read(self, texts: list[str]) -> list[list[tuple[int, list[str], float, bool]]]:
         """Per text its segments in order: (language, sentences, confidence, ambiguous)."""
         parts = [sentences(t) for t in texts]
-        loss = losses(margins(self.w, [s for p in parts for s in p]), self.code)
+        loss = losses(margins(self.w, [s for p in parts for s in p]), self.code) + self.out
         out, at = [], 0
         for p in parts:
             own = loss[at : at + len(p)]
@@ -214,49 +210,98 @@ class Model:
             path[i - 1] = back[i, path[i]]
         return path
 
-    def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Most likely language of each text as a whole, and its gap to the second."""
-        loss = losses(margins(self.w, texts), self.code)
-        two = np.partition(loss, 1, axis=1)
-        return loss.argmin(1), two[:, 1] - two[:, 0]
+
+def word_chances(idx: np.ndarray, at: np.ndarray, lang: np.ndarray, use: np.ndarray, smooth: float = 0.5) -> np.ndarray:
+    """Log chance of each n-gram in the texts ``use`` of each language (SPACE x languages)."""
+    of = np.repeat(np.where(use, lang, len(LANGS)).astype(np.int32), np.diff(at))
+    n = np.bincount(idx * np.int32(len(LANGS) + 1) + of, minlength=SPACE * (len(LANGS) + 1)).reshape(SPACE, -1)[:, :-1] + smooth
+    return np.log(n / n.sum(0)).astype(np.float32)
+
+
+def chances(table_: np.ndarray, idx: np.ndarray, at: np.ndarray, texts: np.ndarray, seen: np.ndarray, chunk: int = 256) -> np.ndarray:
+    """Log chance of each of ``texts`` in each language; languages without a text are out of the question."""
+    out = np.zeros((len(texts), len(LANGS)), np.float32)
+    for lo in range(0, len(texts), chunk):
+        spans = [idx[at[i] : at[i + 1]] for i in texts[lo : lo + chunk]]
+        size = np.array([len(x) for x in spans])
+        full = np.flatnonzero(size)
+        if len(full):
+            begin = np.concatenate([[0], np.cumsum(size[full])[:-1]])
+            out[lo + full] = np.add.reduceat(table_[np.concatenate(spans)], begin, axis=0)
+    out[:, ~seen] = -np.inf
+    return out
 
 
-def train(texts: list[str], labels: list[str], more: list[str] | None = None, more_labels: list[str] | None = None) -> Model:
-    """A model from documents in their natural mix (``texts``) and, beside them, of rarer labels (``more``).
+def agreeing(texts: list[str], lang: np.ndarray, folds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Which labels the texts of the *other* folds bear out, and the gap in favour of the best other language.
 
-    The first fit takes the natural mix only: there, most texts of a language bear its label. Among the
-    documents of a rare label many may be texts of a frequent language with a wrong label, so those count
-    only where the first fit agrees with the label.
+    A text is judged by n-gram chances counted without it, so that no wrong label can vouch for itself. The
+    chances of a label are a mixture over all texts that bear it: a text of another language finds a better
+    one in its own label as long as that language bears its label more often than this one.
+    """
+    idx, at = features(texts)
+    fold = np.arange(len(texts)) % folds
+    best, gap = np.full(len(texts), -1), np.zeros(len(texts))
+    for f in range(folds):
+        use = fold != f
+        seen = np.bincount(lang[use], minlength=len(LANGS)) > 0
+        if not seen.any():
+            continue
+        mine = np.flatnonzero(fold == f)
+        got = chances(word_chances(idx, at, lang, use), idx, at, mine, seen)
+        best[mine] = got.argmax(1)
+        gap[mine] = got.max(1) - got[np.arange(len(mine)), lang[mine]]
+    return best == lang, gap
+
+
+def train(texts: list[str], labels: list[str], chars_per_language: int = 60_000, seed: int = 17) -> Model:
+    """A model from labelled documents, some of whose labels are wrong and some of which mix languages.
+
+    Labels, then the sentences of the documents kept, are judged by cross-fitted n-gram chances (``agreeing``);
+    the bits are fitted once, on up to ``chars_per_language`` characters of sentences of each language, so that
+    frequent languages do not outweigh rare ones. Languages without a document left are never chosen.
     """
     code = codewords()
-    if not texts:
-        return Model(np.zeros((SPACE, BITS), np.float32), code)
-    model = Model(fit_bits(texts, np.array([LANGS.index(x) for x in labels], np.int64), code, rounds=3), code)
-    texts, labels = texts + (more or []), labels + (more_labels or [])
     lang = np.array([LANGS.index(x) for x in labels], np.int64)
-    for gap_at in (8.0, 3.0):
-        doc, _ = model.best(texts)
-        parts = [(s, k) for t, k, d in zip(texts, lang, doc) if k == d for s in sentences(t)]
-        if not parts:
-            break
-        flat, own = [s for s, _ in parts], np.array([k for _, k in parts])
-        best, gap = model.best(flat)
-        # a sentence keeps its document's label unless it clearly speaks another language
-        keep = np.nonzero((best == own) | (gap < gap_at))[0]
-        model = Model(fit_bits([flat[i] for i in keep], own[keep], code, rounds=4), code)
-    return model
-
-
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", mixed_rows: int = 4000, per_language: int = 300) -> Model:
-    """A model from ``mixed_rows`` labelled documents and up to ``per_language`` of each label; both bounds are parameters."""
-    label = F.lower(F.regexp_replace(F.col(label_col), r"[\s​]", ""))
+    none = Model(np.zeros((SPACE, BITS), np.float32), code)
+    order = np.random.default_rng(seed).permutation(len(texts))
+    texts, lang = [texts[i] for i in order], lang[order]
+    for _ in range(2):  # the second time without the labels that the first found wrong
+        if not len(texts):
+            return none
+        keep = np.flatnonzero(agreeing(texts, lang)[0])
+        texts, lang = [texts[i] for i in keep], lang[keep]
+    parts = [(s, k) for t, k in zip(texts, lang) for s in sentences(t)]
+    if not parts:
+        return none
+    flat, own = [s for s, _ in parts], np.array([k for _, k in parts])
+    # a sentence keeps its document's language unless it clearly speaks another one
+    same, gap = agreeing(flat, own)
+    size = np.array([len(s) for s in flat])
+    pick: list[np.ndarray] = []
+    for k in range(len(LANGS)):
+        mine = np.flatnonzero((own == k) & (same | (gap < 2.0)))
+        pick.append(mine[np.cumsum(size[mine]) - size[mine] < chars_per_language])
+    use = np.concatenate(pick)
+    known = np.array([len(x) > 0 for x in pick])
+    return Model(fit_bits([flat[i] for i in use], own[use], code, rounds=4), code, known)
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", mixed_rows: int = 2000, per_language: int = 300, passage: int = 4000) -> Model:
+    """A model from ``mixed_rows`` labelled documents and up to ``per_language`` of each label, by id hash.
+
+    Of a longer document one passage of ``passage`` characters counts, from a place by id hash; all three bounds are parameters.
+    """
+    label = F.lower(F.regexp_replace(F.col(label_col), r"[\s\u200b]", ""))
     code = F.coalesce(*[F.when(F.regexp_extract(label, r"^([^-_]*)", 1).isin(list(v)), F.lit(k)) for k, v in NAMES.items()])
-    rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), code.alias("k")).where("t is not null and length(t) > 20 and k is not null")
-    near = rows.withColumn("h", F.xxhash64("i"))
-    first = near.orderBy("h").limit(mixed_rows).select("t", "k").collect()
-    w = Window.partitionBy("k").orderBy(F.desc("h"))
-    more = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select("t", "k").orderBy("k", "t").collect()
-    return train([r["t"] for r in first], [r["k"] for r in first], [r["t"] for r in more], [r["k"] for r in more])
+    rows = df.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), code.alias("k")).where("t is not null and length(t) > 20 and k is not null")
+    begin = F.when(F.length("t") > passage, F.pmod(F.col("h"), F.length("t") - passage) + 1).otherwise(1).cast("int")
+    rows = rows.select("h", "k", F.substring("t", begin, F.lit(passage)).alias("t"))
+    first = rows.orderBy("h", "t").limit(mixed_rows).collect()
+    w = Window.partitionBy("k").orderBy(F.desc("h"), "t")
+    more = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select("h", "k", "t").collect()
+    got = sorted({(r["h"], r["k"], r["t"]) for r in (*first, *more)})
+    return train([t for _, _, t in got], [k for _, k, _ in got])
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", model: Model | None = None) -> DataFrame:
