@@ -65,3 +65,27 @@ def test_frame_with_cells_copies_and_unusable_rows(spark):
     assert len(want & have) >= 0.9 * len(want) and only["cosine"].min() >= 0.96
     assert similar.most_similar(df.where("false"), "pid", "v", 16).count() == 0
     assert similar.most_similar(df.where("pid in (1, 9000)"), "pid", "v", 16).count() == 0
+
+
+@pytest.mark.parametrize("more", [{"fan": 4, "cell_rows": 120}, {"cell_rows": 40, "fan": 2, "margin": 0.5}])
+def test_cells_in_groups_blocks_and_batches(spark, more, monkeypatch):
+    x = clustered(1500, 12, 5)
+    x[:500] = x[0] + 0.02 * np.random.default_rng(1).normal(size=(500, 12))  # a dense third
+    x[600:900] = x[599]  # 301 copies
+    df = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "id bigint, v array<double>").repartition(3)
+    monkeypatch.setattr(similar, "CENTROID_BYTES", 12 * 4 * 25)  # no more than 25 cells: some are cut into blocks
+    out = similar.most_similar(df, "id", "v", 12, **more).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    top, s = brute(unit, 5)
+    near = {i: list(g["other"]) for i, g in out.sort_values("rank").groupby("id")}
+    assert len(out) == 5 * 1500 and all(len(set(v)) == 5 and i not in v for i, v in near.items())
+    assert np.mean([np.mean([s[i, j] >= s[i, top[i]].min() - 1e-6 for j in near[i]]) for i in range(1500)]) >= 0.9
+    assert near[700] == [599, 600, 601, 602, 603] and near[599] == [600, 601, 602, 603, 604]
+
+
+def test_300_frequent_vectors(spark):
+    x = np.repeat(clustered(300, 10, 7), 70, axis=0)
+    rows = [(int(i), [float(v) for v in x[i]]) for i in range(len(x))]
+    out = similar.most_similar(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v", 10).toPandas()
+    assert len(out) == 5 * len(x) and (out["id"] // 70 == out["other"] // 70).all() and (out["cosine"] > 1 - 1e-9).all()
+    assert list(out[out["id"] == 139].sort_values("rank")["other"]) == [70, 71, 72, 73, 74]

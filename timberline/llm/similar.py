@@ -1,20 +1,21 @@
 """Most similar vectors for every vector: cells of a coarse partition, a graph in each, beam search.
 
-1. *Copies.* Vectors that a large share of rows has in common (more than 64 rows, the ``HOT`` most
-   frequent) are kept once; their rows' neighbours are other copies, lowest ids first. All other
-   copies meet in the same cell and are folded there. No group of copies is gathered in one task.
-2. *Cells.* Spherical k-means on at most ``fit_rows`` rows (chosen by id hash; the bound is a
-   parameter) gives centroids, one per ``cell_rows`` rows. Each vector is searched in its nearest cell and,
-   when nearly as close, in further ones, up to ``max_cells``; it is indexed in the first ``index_cells`` of
-   them. Every row is indexed.
-3. *Graph.* Each cell holds a robust-pruned directed graph (``vamana.Graph``); every vector of the cell
-   is searched in it by beam search. A cell far over ``cell_rows`` is cut into blocks, each with its own
-   graph, and the cell's vectors are searched in every block.
-4. *Merge.* Finds of all cells count in both directions; the k best per row remain, ties to the lower id.
+1. *Copies.* Rows with one vector form a class, named by its lowest id; only classes are placed and searched.
+   The ``k + 1`` lowest ids of a class stand for its rows, so no group of copies is gathered in one task.
+2. *Cells.* Spherical k-means on a bounded sample gives one centroid per ``cell_rows`` classes, however many
+   there are: on the driver up to ``fan`` of them, beyond that ``fan`` groups at most, each cut further on the
+   executors by a sample of its own. Each class is searched in its nearest cell and, when nearly as close, in
+   further ones, up to ``max_cells``; it is indexed in the first ``index_cells`` of them. Every row is indexed.
+3. *Graph.* Each cell holds a robust-pruned directed graph (``vamana.Graph``) that beam search queries. Where
+   a sample shows that a cell is far over its size, its index is cut into blocks and its queries into
+   batches, each pair of them a task of its own, so that no task grows with the data.
+4. *Merge.* Finds of all cells count in both directions; the k best per class are written out as rows, ties to
+   the lower id.
 
 Defined results: rows with a null id or vector, a wrong number of elements, a null, NaN or infinite
-element or no length have no neighbours and are nobody's neighbour. Rows with the same id count once
-per vector. An empty table gives no rows. With fewer than k + 1 vectors a row has fewer neighbours.
+element or no length have no neighbours and are nobody's neighbour. Repeated rows of an id count once; an
+id that comes with several vectors has the best neighbours of all of them. An empty table gives no rows.
+With fewer than k + 1 rows a row has fewer neighbours.
 """
 
 from __future__ import annotations
@@ -29,13 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.llm.vamana import Graph
-from timberline.session import parallelism
+from timberline.session import materialize, parallelism
 
-HOT, HOT_ROWS = 200, 64
-#: Production parameters of a full search, and of one for near vectors only (cosine 0.9 and more), which
-#: share their nearest cells far more often.
-FULL = {"cell_rows": 12000, "max_cells": 4, "index_cells": 3, "margin": 0.22, "degree": 24, "beam": 36}
-NEAR = {"cell_rows": 6000, "max_cells": 3, "index_cells": 3, "margin": 0.12, "degree": 20, "beam": 24}
+#: Bound of the centroids that are sent to every executor; beyond it cells grow and are cut into blocks.
+CENTROID_BYTES = 64 << 20
+#: Classes routed to foresee a cell's size, per cell.
+PROBES = 64
 EDGES = "id bigint, other bigint, cosine double"
 
 
@@ -66,126 +66,190 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
     return c
 
 
-def _expand(ids: np.ndarray, group: np.ndarray, members: list[np.ndarray], near: np.ndarray, sims: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Neighbour rows of every row from the neighbours of its class of copies."""
-    size = np.array([len(m) for m in members])
-    head = np.array([m[0] for m in members], np.int64)
-    plain = (size == 1) & ((near < 0) | (size[near] == 1)).all(1)
-    r, c = np.nonzero((near >= 0) & plain[:, None])
-    src, dst, cos = [head[r]], [head[near[r, c]]], [sims[r, c]]
-    for g in np.nonzero(~plain)[0]:
-        options = [(1.0, m) for m in members[g][: k + 1]]
-        for n, s in zip(near[g], sims[g]):
-            if n >= 0:
-                options += [(float(s), m) for m in members[n][:k]]
-        options.sort(key=lambda o: (-o[0], o[1]))
-        for me in members[g]:
-            mine = [o for o in options if o[1] != me][:k]
-            src.append(np.full(len(mine), me, np.int64))
-            dst.append(np.array([m for _, m in mine], np.int64))
-            cos.append(np.array([s for s, _ in mine], np.float64))
-    return src, dst, cos
-
-
-def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_cosine: float | None = None, fit_rows: int = 8192, cell_rows: int | None = None, max_cells: int | None = None, index_cells: int | None = None, margin: float | None = None, degree: int | None = None, beam: int | None = None) -> DataFrame:
+class Cells:
+    """Centroids in groups: a vector is compared with the groups' centres, then with the cells of the best groups."""
+
+    def __init__(self, top: np.ndarray, group: np.ndarray, cent: np.ndarray, max_cells: int, index_cells: int, margin: float, groups: int = 6) -> None:
+        order = np.argsort(group, kind="stable")
+        self.top, self.cent, self.start = top, cent[order].astype(np.float32), np.searchsorted(group[order], np.arange(len(top) + 1))
+        self.max_cells, self.index_cells, self.margin, self.groups = max_cells, index_cells, margin, groups
+
+    def __len__(self) -> int:
+        return len(self.cent)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest cells of each vector, best first, and their cosines (-inf where there are fewer)."""
+        w = min(self.max_cells, len(self.cent))
+        if len(self.top) <= self.groups:
+            s = x @ self.cent.T
+            best = np.argsort(-s, axis=1, kind="stable")[:, :w]
+            return best, np.take_along_axis(s, best, 1)
+        near = np.argsort(-(x @ self.top.T), axis=1, kind="stable")[:, : self.groups]
+        cell = np.full((len(x), self.groups * w), 0, np.int64)
+        cos = np.full((len(x), self.groups * w), -np.inf)
+        for g in np.unique(near):
+            lo, hi = self.start[g], self.start[g + 1]
+            if lo == hi:
+                continue
+            row, slot = np.nonzero(near == g)
+            s = x[row] @ self.cent[lo:hi].T
+            best = np.argsort(-s, axis=1, kind="stable")[:, :w]
+            for j in range(best.shape[1]):
+                cell[row, slot * w + j] = lo + best[:, j]
+                cos[row, slot * w + j] = s[np.arange(len(row)), best[:, j]]
+        best = np.argsort(-cos, axis=1, kind="stable")[:, :w]
+        return np.take_along_axis(cell, best, 1), np.take_along_axis(cos, best, 1)
+
+    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, whether it is indexed there) of every visit of a vector to a cell."""
+        cell, cos = self.nearest(x)
+        row, j = np.nonzero(cos >= cos[:, :1] - self.margin)
+        return row, cell[row, j], j < self.index_cells
+
+
+def _fit_cells(kept: DataFrame, dim: int, n: int, cell_rows: int, fan: int, fit_rows: int, per_cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group centres, and group and centre of every cell."""
+    want = min(max(1, math.ceil(n / cell_rows)), max(fan, CENTROID_BYTES // (4 * dim)))
+    one = np.zeros((1, dim)), np.zeros(1, np.int64), np.zeros((1, dim))
+    if want == 1:
+        return one
+    sample = kept.select("vec").orderBy(F.xxhash64("id")).limit(fit_rows).toArrow()
+    x, ok = _unit(sample.column("vec").combine_chunks(), dim)
+    x = x[ok]
+    if not len(x):
+        return one
+    top = kmeans(x, min(want, max(1, len(x) // 8), fan if want <= fan else max(2, min(fan, math.isqrt(want)))))
+    if want <= fan:
+        return top, np.arange(len(top)), top
+    share = np.bincount((x @ top.T).argmax(1), minlength=len(top)) / len(x)
+    cells = np.maximum(1, np.round(share * want)).astype(np.int64)
+    rate = min(1.0, per_cell * want / n)
+    shared = kept.sparkSession.sparkContext.broadcast(top)
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, good = _unit(b.column("vec"), dim)
+            v = v[good]
+            if len(v):
+                yield pa.RecordBatch.from_arrays([pa.array((v @ shared.value.T).argmax(1)), pa.array([r.tobytes() for r in v.astype(np.float32)], pa.binary())], names=["g", "unit"])
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = int(pdf["g"].iloc[0])
+        v = np.frombuffer(b"".join(pdf["unit"].sort_values()), np.float32).reshape(-1, dim).astype(np.float64)
+        c = kmeans(v, int(min(cells[g], max(1, len(v) // 8))), rounds=6)
+        return pd.DataFrame({"g": g, "cent": [r.tobytes() for r in c.astype(np.float32)]})
+
+    some = kept.where(F.pmod(F.xxhash64("id", F.lit(77)), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    got = some.select("vec").mapInArrow(group, "g bigint, unit binary").groupBy("g").applyInPandas(cut, "g bigint, cent binary").collect()
+    cent = np.frombuffer(b"".join(r["cent"] for r in got), np.float32).reshape(-1, dim)
+    found = np.array([r["g"] for r in got], np.int64)
+    bare = np.setdiff1d(np.arange(len(top)), found)  # a group without a sample of its own is one cell
+    return top, np.concatenate([found, bare]), np.concatenate([cent, top[bare]])
+
+
+def _foresee(kept: DataFrame, dim: int, n: int, cells: Cells, cell_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks and batches of each cell, from the visits of a sample. To the driver: one row per cell."""
+    rate = min(1.0, PROBES * len(cells) / max(n, 1))
+    shared = kept.sparkSession.sparkContext.broadcast(cells)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, all_ = np.zeros(len(shared.value), np.int64), np.zeros(len(shared.value), np.int64)
+        for b in batches:
+            x, ok = _unit(b.column("vec"), dim)
+            _, cell, own = shared.value.places(x[ok])
+            np.add.at(all_, cell, 1)
+            np.add.at(home, cell[own], 1)
+        at = np.flatnonzero(all_)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(home[at]), pa.array(all_[at])], names=["cell", "home", "every"])
+
+    some = kept.where(F.pmod(F.xxhash64("id", F.lit(78)), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    got = some.select("vec").mapInArrow(visit, "cell bigint, home bigint, every bigint").groupBy("cell").agg(F.sum("home").alias("home"), F.sum("every").alias("every")).collect()
+    home, every = np.zeros(len(cells)), np.zeros(len(cells))
+    for r in got:
+        home[r["cell"]], every[r["cell"]] = r["home"] / rate, r["every"] / rate
+    part = lambda m, size: np.maximum(1, np.ceil(m / size)).astype(np.int64)
+    return part(home, 6 * cell_rows), part(every, 16 * cell_rows)
+
+
+def most_similar(
+    df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_cosine: float | None = None, fit_rows: int = 8192, per_cell: int = 16, fan: int = 256,
+    cell_rows: int = 2500, max_cells: int = 4, index_cells: int = 2, margin: float = 0.22, degree: int = 20, beam: int = 30,
+) -> DataFrame:
     """``id, other, cosine, rank``: the k most similar other rows of each row, best first.
 
-    ``min_cosine`` leaves out neighbours below it, before they are moved; the ranks stay the same. The other
-    parameters default to ``FULL``, or to ``NEAR`` when only near vectors are asked for.
+    ``min_cosine`` leaves out neighbours below it, before they are moved; the search and the ranks stay the
+    same. The sample for the cells has ``fit_rows`` rows, and ``per_cell`` more for each cell beyond ``fan``.
     """
     spark = df.sparkSession
-    given = {"cell_rows": cell_rows, "max_cells": max_cells, "index_cells": index_cells, "margin": margin, "degree": degree, "beam": beam}
-    preset = (NEAR if min_cosine is not None and min_cosine >= 0.9 else FULL) | {k: v for k, v in given.items() if v is not None}
-    cell_rows, max_cells, index_cells, margin, degree, beam = (preset[k] for k in given)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim))
-    hashed = rows.select("id", F.xxhash64("vec").alias("h"))
-    per = hashed.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
-    hot_rows = per.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "h").limit(HOT).collect()
-    hot = {r["h"]: r["rep"] for r in hot_rows}
-    first: dict[int, list[int]] = {}
-    if hot:
-        w = Window.partitionBy("h").orderBy("id")
-        for r in hashed.where(F.col("h").isin(list(hot))).distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).collect():
-            first.setdefault(r["h"], []).append(r["id"])
-    first = {h: sorted(v) for h, v in first.items()}
-    kept = rows.withColumn("h", F.xxhash64("vec"))
-    if hot:
-        copy = F.col("h").isin(list(hot)) & ~F.col("id").isin(list(hot.values()))
-        copies, kept = kept.where(copy), kept.where(~copy)
-
-    n = hashed.count()
-    want = max(1, math.ceil(n / cell_rows))
-    sample = kept.select("vec", "h").orderBy(F.xxhash64("id")).limit(fit_rows).toArrow() if want > 1 else None
-    cent, blocks = np.zeros((1, dim)), np.ones(1, np.int64)
-    if sample is not None and sample.num_rows:
-        x, ok = _unit(sample.column("vec").combine_chunks(), dim)
-        x = x[ok]
-        if len(x):
-            cent = kmeans(x, min(want, max(1, len(x) // 8)))
-            share = np.bincount((x @ cent.T).argmax(1), minlength=len(cent)) / len(x)
-            blocks = np.maximum(1, np.ceil(share * n / (4 * cell_rows))).astype(np.int64)
-    shared = spark.sparkContext.broadcast((cent, blocks))
+    rows = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
+    key = ["h1", "h2"]
+    ids = materialize(rows.select(*key, "id").distinct(), "ids")
+    lowest = Window.partitionBy(*key).orderBy("id")
+    heads = ids.withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= k + 1).groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    heads = materialize(heads, "classes")
+    n = heads.count()
+    many = heads.where(F.size("ids") > 1)
+    copies = many.select(*key, F.col("ids")[0].alias("rep"), "ids")
+    kept = rows.join(copies.select(*key, "rep"), key, "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("id"))).select("id", "vec", F.col("rep").isNotNull().alias("many"))
+
+    cells = Cells(*_fit_cells(kept, dim, n, cell_rows, fan, fit_rows, per_cell), max_cells, index_cells, margin)
+    blocks, batches_ = _foresee(kept, dim, n, cells, cell_rows) if len(cells) > 1 or n > 6 * cell_rows else (np.ones(1, np.int64), np.ones(1, np.int64))
+    shared = spark.sparkContext.broadcast((cells, blocks, batches_))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, parts = shared.value
+        where, nb, nq = shared.value
         for b in batches:
             x, ok = _unit(b.column("vec"), dim)
-            ids = b.column("id").to_numpy()[ok]
-            h = b.column("h").to_numpy()[ok]
-            x = x[ok]
+            x, own = x[ok], b.column("id").to_numpy()[ok]
+            twin = b.column("many").to_numpy(zero_copy_only=False)[ok]
             if not len(x):
                 continue
-            s = x @ c.T
-            w = min(max_cells, len(c))
-            top = np.argsort(-s, axis=1)[:, :w]
-            near = np.take_along_axis(s, top, 1)
-            cells, rows_, home = [], [], []
-            for j in range(w):
-                at = np.nonzero(near[:, j] >= near[:, 0] - margin)[0]
-                cell = top[at, j]
-                block = np.abs(h[at]) % parts[cell]
-                for p in range(int(parts[cell].max(initial=0))):
-                    go = p < parts[cell]
-                    cells.append(cell[go] * 4096 + p)
-                    rows_.append(at[go])
-                    home.append((block[go] == p) & (j < index_cells))
-            r = np.concatenate(rows_)
+            row, cell, home = where.places(x)
+            mix = (own[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            block, batch = mix % nb[cell].astype(np.uint64), (mix >> np.uint64(8)) % nq[cell].astype(np.uint64)
+            out = []  # group, row, indexed, asking
+            for i in range(int(nb[cell].max(initial=0))):
+                for j in range(int(nq[cell].max(initial=0))):
+                    put, ask = home & (block == i), batch == j
+                    go = (i < nb[cell]) & (j < nq[cell]) & (put | ask)
+                    out.append(((cell[go] * 65536 + i) * 65536 + j, row[go], put[go], ask[go]))
+            group, r, put, ask = (np.concatenate(z) for z in zip(*out))
             data = x.astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells), pa.int64()), pa.array(ids[r]), pa.array(h[r]), pa.array(np.concatenate(home)), pa.array([data[i].tobytes() for i in r], pa.binary())], names=["cell", "id", "h", "home", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(own[r]), pa.array(twin[r]), pa.array(put), pa.array(ask), pa.array([data[i].tobytes() for i in r], pa.binary())], names=["cell", "id", "many", "put", "ask", "unit"])
 
     floor = -2.0 if min_cosine is None else min_cosine - 1e-6
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, first = np.unique(pdf["id"].to_numpy(), return_index=True)
+        pdf = pdf.iloc[first]
         x = np.frombuffer(b"".join(pdf["unit"]), np.float32).reshape(-1, dim)
-        ids, h, home = pdf["id"].to_numpy(), pdf["h"].to_numpy(), pdf["home"].to_numpy()
-        order = np.lexsort((ids, h))
-        x, ids, h, home = x[order], ids[order], h[order], home[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1]).any(1)])
-        group = np.cumsum(new) - 1
-        at = np.nonzero(new)[0]
-        ux, inside = x[at], home[at]
-        node = np.full(len(at), -1, np.int64)
-        node[inside] = np.arange(inside.sum())
-        back = np.nonzero(inside)[0]
-        graph = Graph(ux[inside], degree=degree, beam=beam)
-        near, _ = graph.neighbours(ux, node, k, max(beam, k + 1))
-        near = np.where(near >= 0, back[np.maximum(near, 0)] if len(back) else -1, -1)
-        exact = np.einsum("nkd,nd->nk", ux[np.maximum(near, 0)].astype(np.float64), ux.astype(np.float64))
-        members = [np.unique(np.concatenate([m, np.array(first[hh], np.int64)])) if hh in first else np.unique(m) for m, hh in zip(np.split(ids, at[1:]), h[at])]
-        src, dst, cos = _expand(ids, group, members, near, exact, k)
-        out = pd.DataFrame({"id": np.concatenate(src), "other": np.concatenate(dst), "cosine": np.concatenate(cos)})
+        put, ask = pdf["put"].to_numpy(bool), pdf["ask"].to_numpy(bool)
+        back = np.flatnonzero(put)
+        node = np.full(len(own), -1, np.int64)
+        node[back] = np.arange(len(back))
+        near, _ = Graph(x[back], degree=degree, beam=beam).neighbours(x[ask], node[ask], k, max(beam, k + 1))
+        r, c = np.nonzero(near >= 0)
+        src, dst = np.flatnonzero(ask)[r], back[near[r, c]] if len(back) else r
+        cos = np.einsum("nd,nd->n", x[src].astype(np.float64), x[dst].astype(np.float64))
+        twin = np.flatnonzero(pdf["many"].to_numpy(bool) & ask)
+        out = pd.DataFrame({"id": np.concatenate([own[src], own[twin]]), "other": np.concatenate([own[dst], own[twin]]), "cosine": np.concatenate([cos, np.ones(len(twin))])})
         return out[out["cosine"] >= floor]
 
-    placed = kept.mapInArrow(route, "cell bigint, id bigint, h bigint, home boolean, unit binary")
+    placed = kept.mapInArrow(route, "cell bigint, id bigint, many boolean, put boolean, ask boolean, unit binary")
     edges = placed.groupBy("cell").applyInPandas(search, EDGES)
     both = F.explode(F.array(F.struct("id", "other", "cosine"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"), "cosine")))
-    edges = edges.select(both.alias("e")).select("e.*")
-    if hot:
-        ids = F.create_map(*[x for h, v in first.items() for x in (F.lit(h), F.array(*map(F.lit, v)))])
-        usable = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)) & F.exists("vec", lambda x: x != 0)
-        own = copies.where(usable).select("id", F.explode(F.slice(F.filter(ids[F.col("h")], lambda m: m != F.col("id")), 1, k)).alias("other"), F.lit(1.0).alias("cosine"))
-        edges = edges.unionByName(own)
-    w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    edges = edges.repartition(parallelism(spark), "id").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
-    ranked = edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked if min_cosine is None else ranked.where(F.col("cosine") >= min_cosine)
+    edges = edges.select(both.alias("e")).select("e.*").repartition(parallelism(spark), "id").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+    # a class that holds copies is its own first neighbour: k + 1 of it are kept
+    best = Window.partitionBy("id").orderBy((F.col("id") != F.col("other")).cast("int"), F.desc("cosine"), "other")
+    near = edges.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    shown = F.explode(F.coalesce("ids", F.array("other"))).alias("other")
+    wide = near.join(copies.select(F.col("rep").alias("other"), "ids"), "other", "left").select("id", "cosine", shown).groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+    ranked = lambda x: x.where("id <> other").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= k)
+    order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
+    wide = wide.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+    # the other rows of a class have its neighbours; a hot class is split by adaptive execution
+    twins = ids.join(copies.select(*key, "rep"), key).where("id <> rep").select(F.col("id").alias("row_id"), F.col("rep").alias("id"))
+    theirs = twins.join(wide, "id").select(F.col("row_id").alias("id"), "cosine", "other")
+    out = ranked(wide).unionByName(ranked(theirs)).select("id", "other", "cosine", "rank")
+    return out if min_cosine is None else out.where(F.col("cosine") >= min_cosine)
