@@ -4,8 +4,8 @@
    The ``k + 1`` lowest ids of a class stand for its rows, so no group of copies is gathered in one task.
 2. *Cells.* Spherical k-means on a bounded sample gives one centroid per ``cell_rows`` classes, however many
    there are: on the driver up to ``fan`` of them, beyond that ``fan`` groups at most, each cut further on the
-   executors by a sample of its own. Each class is searched in its nearest cell and, when nearly as close, in
-   further ones, up to ``max_cells``; it is indexed in the first ``index_cells`` of them. Every row is indexed.
+   executors by a sample of its own. Each class is searched in its nearest cell and, when nearly as close
+   (within ``margin`` of the lead of the best over the average one), in further ones, up to ``max_cells``; it is indexed in the first ``index_cells`` of them. Every row is indexed.
 3. *Graph.* Each cell holds a robust-pruned directed graph (``vamana.Graph``) that beam search queries. Where
    a sample shows that a cell is far over its size, its index is cut into blocks and its queries into
    batches, each pair of them a task of its own, so that no task grows with the data.
@@ -103,7 +103,8 @@ class Cells:
     def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, whether it is indexed there) of every visit of a vector to a cell."""
         cell, cos = self.nearest(x)
-        row, j = np.nonzero(cos >= cos[:, :1] - self.margin)
+        lead = cos[:, :1] - (x @ self.top.T).mean(1, keepdims=True)  # how far the best cell stands out
+        row, j = np.nonzero(cos >= cos[:, :1] - self.margin * np.maximum(lead, 0))
         return row, cell[row, j], j < self.index_cells
 
 
@@ -168,12 +169,12 @@ def _foresee(kept: DataFrame, dim: int, n: int, cells: Cells, cell_rows: int) ->
     for r in got:
         home[r["cell"]], every[r["cell"]] = r["home"] / rate, r["every"] / rate
     part = lambda m, size: np.maximum(1, np.ceil(m / size)).astype(np.int64)
-    return part(home, 6 * cell_rows), part(every, 16 * cell_rows)
+    return part(home, 12 * cell_rows), part(every, 16 * cell_rows)
 
 
 def most_similar(
     df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_cosine: float | None = None, fit_rows: int = 8192, per_cell: int = 16, fan: int = 256,
-    cell_rows: int = 2500, max_cells: int = 4, index_cells: int = 2, margin: float = 0.22, degree: int = 20, beam: int = 30,
+    cell_rows: int = 2500, max_cells: int = 4, index_cells: int = 2, margin: float = 0.38, degree: int = 20, beam: int = 30,
 ) -> DataFrame:
     """``id, other, cosine, rank``: the k most similar other rows of each row, best first.
 
