@@ -1,12 +1,14 @@
 """Personal information in free text: found by anchor expansion, replaced by typed placeholders.
 
-An Aho-Corasick automaton finds anchors (at-signs and their spelled forms, identifier and greeting cues,
-street words, known names); deterministic local parsers expand each anchor to the borders of an email,
-phone number, identity number, street address or person name and validate it.
+Aho-Corasick automata find anchors (at-signs and their spelled forms, identifier, introduction and title
+cues, street words, known names), and runs of digits are anchors of numbers; deterministic local parsers
+expand each anchor to the borders of an email, phone number, identity number, street address or person name
+and validate it. Nothing but the anchors' surroundings is parsed.
 
 The name lexicon and the contexts of names are learned from the corpus itself, over all rows: words that
 stand in naming slots ("my name is ...", "Dr. ...") are counted against their use as plain lower-case
-words; what stands around sure names is counted in tables of a fixed number of hashed buckets. A word that
+words; what stands around sure names is counted in tables of a fixed number of hashed buckets and belongs to
+names from a share of the counts on, whatever the size of the corpus. A word that
 is also a common one ("Will", "Hope"), or stands in one naming slot only, counts as a name elsewhere only in
 a context that sure names have too. What stands in a naming slot is a mention by itself, unless it is a word
 of plain use. The lexicon is a table of any size; each chunk of texts is given the names that occur in it.
@@ -35,22 +37,35 @@ from timberline.session import materialize
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 BUCKETS = 1 << 20
-#: Texts that share one lookup in the name lexicon.
-CHUNK = 2048
+#: Texts, and characters of texts, that share one lookup in the name lexicon.
+CHUNK, CHUNK_CHARS = 2048, 1 << 19
+#: Bits of the filter of lexicon words that goes to every executor (1 MB).
+FILTER_BITS = 1 << 23
+#: A context belongs to names if this share of the contexts of sure names is like it (and two at least are).
+CONTEXT_SHARE = 5e-5
 
 # Cue words and formats.
 _AT = ("@", "(at)", "[at]", "{at}", " at ", "mailto:")
 _STREET_EN = "street st road rd lane ln avenue ave close drive dr court ct row terrace way crescent square place hill gardens grove mews walk".split()
 _STREET_LEAD = ("calle", "c/", "avda", "avenida", "plaza", "paseo", "camino", "rue", "avenue", "impasse", "boulevard", "chemin", "allée", "quai", "via", "viale", "piazza", "corso", "vicolo", "largo", "rua", "av", "travessa", "praça", "estrada", "alameda", "am", "an der", "auf dem", "zum", "zur", "im", "ул", "улица", "проспект", "пр-т", "переулок", "площадь", "oude", "nieuwe")
+_STREET_ANCHORS = ("route", "passage", "cours", "проезд", "бульвар", "набережная", "шоссе", "пер.", "пл.", "пр.")
 _STREET_TAIL = ("straße", "strasse", "str", "weg", "kehre", "gasse", "allee", "platz", "ring", "graben", "ufer", "damm", "steig", "straat", "laan", "kade", "gracht", "plein", "dijk", "singel", "dreef", "pad")
 _HOME_CUES = ("vivo en", "j'habite", "j’habite", "ich wohne", "ik woon", "abito in", "eu moro", "мой адрес", "живу", "address:", "adresse", "dirección", "indirizzo", "endereço", "адрес:", "adres:")
 _ID_CUES = ("passport", "identity", "insurance", "health", "national id", "id:", "identidad", "identidade", "identité", "ausweis", "documento", "burgernummer", "паспорт", "снилс", "social security", "medicare", "patient")
 _PHONE_CUES = ("call", "text me", "tel", "phone", "voicemail", "ring", "teléfono", "telefon", "telefone", "téléphone", "телефон", "llama", "chiama", "bel", "number is", "nummer", "numéro", "номер", "numero è", "mobile", "whatsapp")
 
-#: Titles and street words are no names, even in a naming slot.
-_NO_NAME = frozenset("dr dra prof mr mrs ms miss herr frau sr sra srta mme mlle dhr mevr mevrouw sig dott senhor senhora señor señora господин госпожа".split()) | frozenset(_STREET_EN)
+_INTRODUCED = ("my name is", "i am called", "me llamo", "mi nombre es", "je m'appelle", "je m’appelle", "mon nom est", "ich heiße", "ich heisse", "mein name ist", "ik heet", "mijn naam is", "mi chiamo", "il mio nome è", "meu nome é", "me chamo", "меня зовут", "моё имя", "signed", "regards", "best wishes", "yours")
+_RELATED = ("my friend", "my doctor", "my colleague", "my therapist", "my counsellor", "my nurse", "my partner", "my brother", "my sister", "my cousin", "my neighbour", "my boss", "my teacher")
+_ASKED_FOR = ("llama a", "pregunta por", "chiama", "chiedi di", "bel", "vraag naar", "liga para", "appelle", "demande", "ask for", "frag nach", "спросить")
+_TITLES = "dr dra prof mr mrs ms miss herr frau sr sra srta mme mlle dhr mevr mevrouw sig dott senhor senhora señor señora господин госпожа".split()
+
+#: Titles and street words are no names, even in a naming slot; nor are the words of the cues themselves.
+_NO_NAME = frozenset(_TITLES) | frozenset(_STREET_EN)
+_CUE_WORDS = frozenset(_TITLES) | {w.strip(":.") for cue in (*_INTRODUCED, *_RELATED, *_ASKED_FOR, *_ID_CUES, *_PHONE_CUES, *_HOME_CUES, *_AT) for w in cue.split()}
 
 _DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)"
+_DIGIT_WORDS = ("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+_HOUSE_NO = re.compile(r"\d")
 _SPOKEN = re.compile(rf"\b{_DIGIT_WORD}(?:[ -]{_DIGIT_WORD}){{6,}}\b", re.I)
 _L, _R = r"(?<![\w@.,/+-])", r"(?![\w@]|[.,/-]\d)"
 _PHONES = [re.compile(p) for p in (
@@ -90,29 +105,18 @@ _HOUSE_ADDRESS = re.compile(rf"\b{_UNIT}?[A-Z][\w'’-]+ (?:House|Cottage|Lodge|
 _LEAD_ADDRESS = re.compile(rf"(?<![\w'’])(?:(?:{_NUM}),? )?(?:{'|'.join(re.escape(x) for x in sorted(_STREET_LEAD, key=len, reverse=True))})\.? ?(?:(?:de|des|du|del|della|delle|dei|di|da|do|dos|das|la|le|los|las|al)\s|d['’]|l['’])*(?:[\w'’-]+[ ,]{{0,2}}){{1,4}}?(?:дом |д\. ?|n[º°.]? ?)?\d{{1,4}}(?!\d)", re.I)
 _NUM_LEAD_ADDRESS = re.compile(r"(?<![\w/-])\d{1,4}(?: ?(?:bis|ter|quater|[a-z]))?,? (?:rue|avenue|impasse|boulevard|chemin|allée|place|quai|cours|passage|route) (?:(?:de|des|du|la|le|les) |d['’]|l['’])*[\w'’-]+", re.I)
 _TAIL_ADDRESS = re.compile(rf"(?<![\w/-])[A-ZÀ-Ýa-z][\w-]*?(?:{'|'.join(_STREET_TAIL)})\.? \d{{1,4}}(?!\d)", re.I)
-_TOWN = re.compile(r"(?:, ?|\n)(?:(?:[A-ZÀ-Ý][\w-]+(?: [A-ZÀ-Ý][\w-]+(?=[,.\n]|$))?)(?:(?:, | )ZZ ?\d{1,5}(?: \d[A-Z]{2})?)?|\d{5} [A-ZÀ-Ý][\w-]+)")
+_TOWN = re.compile(r"(?:, ?|\n)(?:(?:[A-ZÀ-Ý][\w-]+(?: [A-ZÀ-Ý][\w-]+(?=[,.\n]|$))?)(?:(?:, | )[A-Z]{1,2} ?\d{1,5}(?: ?\d[A-Z]{2})?)?|\d{5} [A-ZÀ-Ý][\w-]+)")
 _RU_ADDRESS = re.compile(r"(?<![\w-])(?:[А-ЯЁ][а-яё-]+ (?:переулок|проезд|улица|проспект|бульвар|площадь|набережная|шоссе)|(?:ул\.|улица|пр\.|пр-т|проспект|пер\.|переулок|пл\.|площадь|бульвар|набережная|шоссе) ?[А-ЯЁ][\w -]*?),? (?:дом |д\. ?)?\d{1,4}", re.I)
 
-_TITLE = r"(?:Dr|Dra|Prof|Mr|Mrs|Ms|Miss|Herr|Frau|Sr|Sra|Srta|Mme|Mlle|Dhr|Mevr|Mevrouw|Sig|Sig\.ra|Dott|Senhor|Senhora|Señor|Señora|господин|госпожа)\.?"
 _PART = r"(?:de la|de los|de|del|della|di|da|dos|van der|van den|van de|van|von der|von|ter|ten|al|el|bin|la|le)"
 _CAP = r"[A-ZÀ-ÝŠŽА-ЯЁ][\w’'-]*[\wа-яё]"
 _NAME_SEQ = rf"(?:{_CAP}|{_PART} {_CAP}|[A-ZÀ-Ý]\.)(?:,? (?:{_CAP}|{_PART} {_CAP}|[A-ZÀ-Ý]\.)){{0,3}}"
-_SLOTS = [re.compile(p) for p in (
-    rf"(?:[Mm]y name is|[Mm]e llamo|[Jj]e m['’]appelle|[Ii]ch hei(?:ß|ss)e|[Ii]k heet|[Mm]i chiamo|[Oo] meu nome é|[Mm]eu nome é|Меня зовут|меня зовут) ({_NAME_SEQ})",
-    rf"\b{_TITLE} ({_NAME_SEQ})",
-    rf"[Ss]igned,? ({_NAME_SEQ})",
-    rf"[Mm]y (?:friend|doctor|colleague|therapist),? ({_NAME_SEQ})",
-    rf"\bsigns as ({_NAME_SEQ})",
-    rf"\bthe writer, ({_NAME_SEQ}),",
-    rf"\b[Tt]he writer, ({_NAME_SEQ}),",
-    rf"\bit['’]s ({_NAME_SEQ}) again",
-    rf"(?:[Ll]lama a|[Cc]hiama|[Bb]el|[Ll]iga para|[Aa]ppelle|спросить:) ({_NAME_SEQ})",
-    rf"({_NAME_SEQ}) (?:said I|rang from|called from|is mentioned as)",
-    rf"\bforms go to ({_NAME_SEQ}),",
-    rf"\b[Ff]orms go to ({_NAME_SEQ}),",
-)]
+_SLOT, _TITLED = re.compile(rf"[:,]? ({_NAME_SEQ})"), re.compile(rf"\.? ({_NAME_SEQ})")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 _WITHIN = re.compile(r"[^\W\d_],? $")
+_MID = re.compile(r"(?:(?<=[^\W\d_] )|(?<=[^\W\d_], ))[A-ZÀ-ÝŠŽА-ЯЁ][^\W\d_]*(?:[’'-][^\W\d_]+)*")
+_MAIL_LIKE = re.compile(r"\S+ ?(?:@|[\[({]at[\])}]) ?\S+|\S+ at \S+ dot \S+", re.I)
+_DIGITS = re.compile(r"\d(?:[\d ().,/+-]*\d)?")
 _STOP_NAME = frozenset("i i'm the my a an it he she we they you and or but in on at to for of this that today sunday monday tuesday wednesday thursday friday saturday de la los del della di da dos van der den von ter ten al el bin le".split())
 
 
@@ -134,26 +138,62 @@ def _own(token: str) -> str:
     return re.sub(r"['’]s$", "", token)
 
 
+def _cues() -> ahocorasick.Automaton:
+    """The fixed anchors; each has its length and its kinds."""
+    kinds: dict[str, set[str]] = {}
+    for kind, words in (("at", _AT), ("id", _ID_CUES), ("phone", _PHONE_CUES), ("street", (*_STREET_EN, *_STREET_LEAD, *_STREET_TAIL, *_STREET_ANCHORS)), ("slot", (*_INTRODUCED, *_RELATED, *_ASKED_FOR)), ("title", _TITLES)):
+        for w in words:
+            kinds.setdefault(w, set()).add(kind)
+    auto = ahocorasick.Automaton()
+    for w, k in kinds.items():
+        auto.add_word(w, (len(w), frozenset(k)))
+    auto.make_automaton()
+    return auto
+
+
+_CUES = _cues()
+
+
+def anchors_of(low: str) -> dict[str, list[tuple[int, int]]]:
+    """Where the fixed anchors of each kind stand in a folded text."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for end, (size, kinds) in _CUES.iter(low):
+        for k in kinds:
+            out.setdefault(k, []).append((end + 1 - size, end + 1))
+    return out
+
+
+def slots_of(text: str, anchors: dict[str, list[tuple[int, int]]]) -> Iterator[re.Match]:
+    """The name sequences that follow an introduction, a relation or a title."""
+    for kind in ("slot", "title"):
+        for s, e in anchors.get(kind, ()):
+            if (s and text[s - 1].isalnum()) or (kind == "title" and not (text[s].isupper() or text[s] in "гс")):
+                continue
+            if kind == "slot" and text[s:e].isupper():
+                continue  # within shouted words nothing marks a name
+            if m := (_TITLED if kind == "title" else _SLOT).match(text, e):
+                yield m
+
+
 def count_words(texts: Iterator[str | None]) -> Counter:
     """(word, use) counts: ``slot`` in a naming slot, ``low`` as a lower-case word, ``cap`` capitalized, ``mid`` so within a sentence."""
-    n: Counter = Counter()
+    slot, low, cap, mid = Counter(), Counter(), Counter(), Counter()
     for t in texts:
         if not t:
             continue
-        for p in _SLOTS:
-            for m in p.finditer(t):
-                for w in _names_of(m.group(1)):
-                    n[_own(w).lower(), "slot"] += 1
-        for m in _TOKEN.finditer(t):
-            w = m.group()
-            if t[m.start() - 1 : m.start()] in ("@", ".", "_", "+", "-") or t[m.end() : m.end() + 1] in ("@", "_", "+", "-") or re.match(r"\d|\.\w| ?@| ?[\[({]at[\])}]| at \S+ dot ", t[m.end() : m.end() + 40]):
-                continue  # within an address or a compound
-            if w[0].islower():
-                n[_own(w), "low"] += 1
-            elif not w.isupper():
-                n[_own(w).lower(), "cap"] += 1
-                if _WITHIN.search(t, max(0, m.start() - 3), m.start()):
-                    n[_own(w).lower(), "mid"] += 1
+        folded = fold(t)
+        for m in slots_of(t, anchors_of(folded)):
+            slot.update(_own(w).lower() for w in _names_of(m.group(1)))
+        if "@" in t or " dot " in folded or "at)" in folded or "at]" in folded or "at}" in folded:
+            t = _MAIL_LIKE.sub(" ", t)  # names within addresses do not count
+        words = _TOKEN.findall(t)
+        low.update(w for w in words if w[0].islower())
+        cap.update(w for w in words if not w[0].islower() and not w.isupper())
+        mid.update(w for w in _MID.findall(t) if not w.isupper())
+    n: Counter = Counter()
+    for use, c in (("slot", slot), ("low", low), ("cap", cap), ("mid", mid)):
+        for w, k in c.items():
+            n[_own(w).lower(), use] += k
     return n
 
 
@@ -170,33 +210,24 @@ class Finder:
     def __init__(self, sure: frozenset[str], unsure: frozenset[str], contexts: np.ndarray | None = None, common: frozenset[str] = frozenset(), plain: frozenset[str] | None = None) -> None:
         self.sure, self.unsure, self.contexts = sure, unsure, contexts
         self.common, self.plain = common, unsure if plain is None else plain
-        auto = ahocorasick.Automaton()
-        for word in _AT:
-            auto.add_word(word, ("at", len(word)))
-        for word in _ID_CUES:
-            auto.add_word(word, ("id", len(word)))
-        for word in _PHONE_CUES:
-            if not auto.exists(word):
-                auto.add_word(word, ("phone", len(word)))
-        for word in (*_STREET_EN, *_STREET_LEAD, *_STREET_TAIL, *_HOME_CUES):
-            if not auto.exists(word):
-                auto.add_word(word, ("street", len(word)))
-        for word in sure | unsure:
-            if not auto.exists(word):
-                auto.add_word(word, ("name", len(word)))
-            elif auto.get(word)[0] != "name":
-                auto.add_word(word, ("name+" + auto.get(word)[0], len(word)))
-        auto.make_automaton()
-        self.auto = auto
+        self.names = None
+        if sure or unsure:
+            self.names = ahocorasick.Automaton()
+            for word in sure | unsure:
+                self.names.add_word(word, len(word))
+            self.names.make_automaton()
+
+    def known(self, low: str) -> list[tuple[int, int]]:
+        return [(end + 1 - size, end + 1) for end, size in self.names.iter(low)] if self.names else []
 
     # -- emails
 
     def _email(self, text: str, start: int, end: int) -> tuple[int, int] | None:
         spoken = text[start:end].lower() == " at "
-        left = _EMAIL_LEFT.search(text, max(0, start - 80), start)
+        left = _EMAIL_LEFT.search(text, max(0, start - 80), start)  # a local part has 64 characters at most
         if not left:
             return None
-        tail = text[end : end + 120]
+        tail = text[end : end + 280]  # longer than a host may be
         right = (_EMAIL_SPOKEN if spoken else _EMAIL_RIGHT).match(tail)
         if not right or (spoken and not re.search(r"dot", right.group(), re.I)):
             return None
@@ -213,9 +244,12 @@ class Finder:
     # -- numbers
 
     def _numbers(self, text: str, low: str, id_cues: list[int], phone_cues: list[int]) -> Iterator[tuple[int, int, str]]:
-        if any(c.isdigit() for c in text):
+        for run in _DIGITS.finditer(text):
+            if sum(c.isdigit() for c in run.group()) < 6:
+                continue
+            lo, hi = max(0, run.start() - 4), min(len(text), run.end() + 4)
             for p in _IDS:
-                for m in p.finditer(text):
+                for m in p.finditer(text, lo, hi):
                     kind = "id_number"
                     if m.group().isdigit():
                         near_id = max((c for c in id_cues if c <= m.end() + 40), default=-1)
@@ -224,22 +258,32 @@ class Finder:
                             kind = "phone"
                     yield m.start(), m.end(), kind
             for p in _PHONES:
-                for m in p.finditer(text):
+                for m in p.finditer(text, lo, hi):
                     digits = sum(c.isdigit() for c in m.group())
                     if 7 <= digits <= 15:
                         yield m.start(), m.end(), "phone"
-        for m in _SPOKEN.finditer(text):
-            yield m.start(), m.end(), "phone"
+        if sum(low.count(w) for w in _DIGIT_WORDS) >= 7:
+            for m in _SPOKEN.finditer(text):
+                yield m.start(), m.end(), "phone"
 
     # -- addresses
 
-    def _addresses(self, text: str, home: bool) -> Iterator[tuple[int, int, str]]:
-        for p in (_EN_ADDRESS, _HOUSE_ADDRESS, _NUM_LEAD_ADDRESS, _RU_ADDRESS):
-            for m in p.finditer(text):
-                yield m.start(), self._with_town(text, m.end()), "street_address"
-        if home:
-            for p in (_LEAD_ADDRESS, _TAIL_ADDRESS):
-                for m in p.finditer(text):
+    def _addresses(self, text: str, streets: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+        """Addresses around street words that stand at the border of a word and near a number."""
+        parts: list[list[int]] = []
+        for s, e in streets:
+            if (s and text[s - 1].isalnum()) and (e < len(text) and text[e].isalnum()):
+                continue
+            lo, hi = max(0, s - 70), min(len(text), e + 70)
+            if not _HOUSE_NO.search(text, lo, hi) and "," not in text[lo:s]:
+                continue
+            if parts and lo <= parts[-1][1]:
+                parts[-1][1] = max(hi, parts[-1][1])
+            else:
+                parts.append([lo, hi])
+        for lo, hi in parts:
+            for p in (_EN_ADDRESS, _HOUSE_ADDRESS, _NUM_LEAD_ADDRESS, _RU_ADDRESS, _LEAD_ADDRESS, _TAIL_ADDRESS):
+                for m in p.finditer(text, lo, hi):
                     yield m.start(), self._with_town(text, m.end()), "street_address"
 
     @staticmethod
@@ -308,15 +352,14 @@ class Finder:
                 start -= m.end() - m.start()
             yield start, end, parts
 
-    def _slot_hits(self, text: str) -> set[tuple[int, int]]:
+    def _slot_hits(self, text: str, anchors: dict[str, list[tuple[int, int]]]) -> set[tuple[int, int]]:
         """The words in naming slots, without those of plain use and what belongs to a street."""
         out = set()
-        for p in _SLOTS:
-            for m in p.finditer(text):
-                for w in _TOKEN.finditer(m.group(1)):
-                    word = _own(w.group())
-                    if _may_be_name(word) and word[0].isupper() and word.lower() not in self.plain and word.lower() not in _NO_NAME:
-                        out.add((m.start(1) + w.start(), m.start(1) + w.start() + len(word)))
+        for m in slots_of(text, anchors):
+            for w in _TOKEN.finditer(m.group(1)):
+                word = _own(w.group())
+                if _may_be_name(word) and word[0].isupper() and word.lower() not in self.plain and word.lower() not in _NO_NAME and word.lower() not in _CUE_WORDS:
+                    out.add((m.start(1) + w.start(), m.start(1) + w.start() + len(word)))
         return out
 
     def _names(self, text: str, hits: list[tuple[int, int]], learn: bool = False, given: set[tuple[int, int]] = frozenset()) -> Iterator[tuple[int, int, str]]:
@@ -372,24 +415,8 @@ class Finder:
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of all mentions in order."""
         low = fold(text)
-        at: list[tuple[int, int]] = []
-        ids: list[int] = []
-        phones: list[int] = []
-        names: list[tuple[int, int]] = []
-        street = home = False
-        for end, (kind, size) in self.auto.iter(low):
-            start = end + 1 - size
-            if kind == "at":
-                at.append((start, end + 1))
-            elif kind == "id":
-                ids.append(start)
-            elif kind == "phone":
-                phones.append(start)
-            elif kind.startswith("name"):
-                names.append((start, end + 1))
-                street |= kind == "name+street"
-            else:
-                street = True
+        anchors = anchors_of(low)
+        names = self.known(low)
         found: list[tuple[int, int, str]] = []
 
         def add(spans: Iterator[tuple[int, int, str]]) -> None:
@@ -397,16 +424,15 @@ class Finder:
                 if all(e <= a or s >= b for a, b, _ in found):
                     found.append((s, e, k))
 
-        for s, e in at:
+        for s, e in anchors.get("at", ()):
             if low.startswith("mailto:", s):
                 continue
             if got := self._email(text, s, e):
                 add(iter([(*got, "email")]))
-        add(self._numbers(text, low, ids, phones))
-        if street:
-            home = True
-            add(iter(sorted(self._addresses(text, home), key=lambda x: (x[0], -x[1]))))
-        given = self._slot_hits(text)
+        add(self._numbers(text, low, [s for s, _ in anchors.get("id", ())], [s for s, _ in anchors.get("phone", ())]))
+        if "street" in anchors:
+            add(iter(sorted(self._addresses(text, anchors["street"]), key=lambda x: (x[0], -x[1]))))
+        given = self._slot_hits(text, anchors)
         if names or given:
             known = [h for h in self.name_hits(text, names) if all(h[1] <= s or h[0] >= e for s, e in given) and not self._plainly(text, *h)]
             add(self._names(text, sorted({*known, *given}), given=given))
@@ -418,8 +444,7 @@ class Finder:
             if not text:
                 continue
             low = fold(text)
-            anchors = [(end + 1 - size, end + 1) for end, (kind, size) in self.auto.iter(low) if kind.startswith("name")]
-            hits = [h for h in self.name_hits(text, anchors) if not self._plainly(text, *h)]
+            hits = [h for h in self.name_hits(text, self.known(low)) if not self._plainly(text, *h)]
             for s, e, _ in self._names(text, hits, learn=True):
                 for key in self._context_keys(text, s, e):
                     n[_bucket(key)] += 1
@@ -441,8 +466,12 @@ def _chunked(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), CHUNK):
-                yield pdf.iloc[lo : lo + CHUNK].assign(chunk=uuid.uuid4().hex)
+            lo = size = 0
+            for i, n in enumerate(len(t) for t in pdf["text"]):
+                size += n
+                if size > CHUNK_CHARS or i - lo + 1 >= CHUNK or i == len(pdf) - 1:
+                    yield pdf.iloc[lo : i + 1].assign(chunk=uuid.uuid4().hex)
+                    lo, size = i + 1, 0
 
     return materialize(texts.select("field", "row_id", "text").mapInPandas(run, "field string, row_id bigint, text string, chunk string"), "texts")
 
@@ -466,7 +495,7 @@ def lexicon_of(texts: DataFrame, min_slots: int = 2) -> DataFrame:
     plain = (low > 0.5 * cap) | (slot + F.col("mid") < 0.2 * cap)
     hardly = (slot < 0.002 * (low + cap)) | ((slot < min_slots) & plain)
     kind = F.when((slot >= min_slots) & (low <= 0.5 * slot) & (slot >= 0.04 * cap), "sure").when(hardly, "common").otherwise("unsure")
-    seen = table.where((slot > 0) & (F.length("word") > 1) & ((slot >= min_slots) | ~F.col("word").isin(*_NO_NAME)))
+    seen = table.where((slot > 0) & (F.length("word") > 1) & ~F.col("word").isin(*sorted(_CUE_WORDS)) & ((slot >= min_slots) | ~F.col("word").isin(*sorted(_NO_NAME))))
     return materialize(seen.select("word", kind.alias("kind"), ((kind != "sure") & plain).alias("plain")), "lexicon")
 
 
@@ -476,16 +505,30 @@ def _words_in(text: str) -> set[str]:
     return out | {w[: m.start()] for w in out for m in re.finditer("['’]s", w)}
 
 
+def _filter_of(lexicon: DataFrame) -> np.ndarray:
+    """A bit for each hash of a lexicon word. To the driver: FILTER_BITS bits at most."""
+    bit = F.pmod(F.crc32("word"), F.lit(FILTER_BITS)).cast("bigint") + 1  # buckets and bits are counted from 1
+    got = lexicon.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS + (1 << 16), bool)
+    for r in got:
+        lo = (r["b"] - 1) * 32768
+        out[lo : lo + 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")[:32768]
+    return np.packbits(out)
+
+
 def look_up(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """The rows of the lexicon for each chunk whose texts have the word."""
+    """The rows of the lexicon for each chunk whose texts have the word. Words that a filter rules out are not shuffled."""
+    shared = chunks.sparkSession.sparkContext.broadcast(_filter_of(lexicon))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        may = np.unpackbits(shared.value)
         for pdf in batches:
             for chunk, texts in pdf.groupby("chunk")["text"]:
                 words: set[str] = set()
                 for t in texts:
                     words |= _words_in(t)
-                yield pd.DataFrame({"chunk": chunk, "word": sorted(words)}, columns=["chunk", "word"])
+                if kept := sorted(w for w in words if may[zlib.crc32(w.encode()) % FILTER_BITS]):
+                    yield pd.DataFrame({"chunk": chunk, "word": kept})
 
     words = chunks.select("chunk", "text").mapInPandas(run, "chunk string, word string").distinct()
     return materialize(words.join(lexicon, "word").select("chunk", "word", "kind", "plain"), "names")
@@ -508,7 +551,7 @@ def contexts_of(chunks: DataFrame, names: DataFrame) -> np.ndarray:
     for r in got:
         table_[r["bucket"]] = r["n"]
     # what surrounds names again and again, not what stood there by chance
-    table_[table_ < max(2, int(table_.sum() * 2e-6))] = 0
+    table_[table_ < max(2, table_.sum() / 4 * CONTEXT_SHARE)] = 0  # a mention counts four contexts
     return table_
 
 
