@@ -68,7 +68,7 @@ def test_profiles(spark):
 
 def test_similarity(spark):
     g = golden_profiles(spark).where("unit_vector is not null").select(F.col("id").cast("bigint").alias("id"), F.col("unit_vector").alias("v"))
-    row = retrieval.pairwise_stats(g, "v", 14).collect()[0]
+    row = retrieval.pairwise_stats(g, "id", "v", 14).collect()[0]
     assert (row["n"], row["mean"], row["std"], row["min"], row["max"]) == (3, 0.525309, 0.22435, 0.262613, 0.810744)
     df = spark.createDataFrame([(0.810744, 0.6)], "a double, b double")
     for alpha, h, c in ((0.0, 0.6, 0.6), (0.25, 0.652686, 0.621074), (0.5, 0.705372, 0.705372), (1.0, 0.810744, 0.810744)):
@@ -87,10 +87,10 @@ def vectors(spark, n=120, seed=1):
 
 
 @pytest.mark.parametrize("mode, alpha", [("structural", 0.5), ("semantic", 0.5), (" Hybrid ", 0.25), ("hybrid_concat", 0.25)])
-@pytest.mark.parametrize("apart", [True, False])
-def test_retrieval_against_brute_force(spark, mode, alpha, apart):
+@pytest.mark.parametrize("apart, room", [(True, 0), (False, 0), (True, 1 << 20)])
+def test_retrieval_against_brute_force(spark, mode, alpha, apart, room):
     rows, df = vectors(spark)
-    got = retrieval.retrieve(df, "id", "g", F.col("id") % 3 == 0, F.lit(True), ("s", 14), ("m", 8), mode, alpha, k=4, exclude_group=apart, block_rows=25)
+    got = retrieval.retrieve(df, "id", "g", F.col("id") % 3 == 0, F.lit(True), ("s", 14), ("m", 8), mode, alpha, k=4, exclude_group=apart, block_rows=25, broadcast_bytes=room)
     ours = {}
     for r in got.collect():
         ours.setdefault(r["query_id"], []).append((r["rank"], r["candidate_id"]))
@@ -117,6 +117,10 @@ def test_retrieval_guards(spark):
             retrieval.check_mode(bad)
     with pytest.raises(ValueError):
         retrieval.check_alpha(1.5)
+    with pytest.raises(ValueError):
+        retrieval.retrieve(df, "id", "g", F.lit(True), F.lit(True), None, ("m", 8), "semantic", need_vectors=True)
+    named = retrieval.retrieve(df.withColumn("id", F.concat(F.lit("p"), "id")), "id", "g", F.col("id") == "p6", F.lit(True), None, ("m", 8), "semantic", exclude_group=False).collect()
+    assert [(r["query_id"], r["candidate_id"]) for r in named] == [("p6", "p13")]
     assert retrieval.retrieve(df.where("false"), "id", "g", F.lit(True), F.lit(True), None, ("m", 8), "semantic").count() == 0
 
 
@@ -127,13 +131,13 @@ def test_context_over_chunks(spark):
     rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(0, 40, 3), 7, 8]), rng.choice(["x", "y", None]) and f"t{i}") for i in range(300)]
     df = spark.createDataFrame(rows, "row_id bigint, timeline_id string, post_index int, post string")
     for w in (1, 2, 5):
-        got = {r["row_id"]: (r["before"], r["after"]) for r in context.attach_context(df, w, chunk=4).collect()}
+        got = {r["row_id"]: ([tuple(x) for x in r["before"]], [tuple(x) for x in r["after"]]) for r in context.attach_context(df, w, chunk=4).collect()}
         groups = {}
         for r in rows:
             groups.setdefault(r[1], []).append(r)
         for g in groups.values():
             g.sort(key=lambda r: (-1 if r[2] is None else r[2], r[0]))
-            texts = [r[3] or "" for r in g]
+            texts = [(-1 if r[2] is None else r[2], r[3] or "") for r in g]
             for i, r in enumerate(g):
                 assert got[r[0]] == (texts[max(0, i - w) : i], texts[i + 1 : i + 1 + w])
     assert [(r["before"], r["after"]) for r in context.attach_context(df.limit(1), 0).collect()] == [([], [])]
@@ -147,8 +151,10 @@ def test_classification(spark):
     assert (acc["all"]["accuracy"], acc["adaptive"]["accuracy"], acc["maladaptive"]["accuracy"], acc["all"]["n_unknown"]) == (0.5, 1.0, 0.25, 1)
     assert got["macro_f1"].collect()[0]["macro_f1"] == 0.333333
     rep = {r["label"]: r for r in got["report"].collect()}
-    assert (rep["A"]["f1"], rep["B-O"]["f1"], rep["C-S"]["f1"], rep["accuracy"]["f1"], rep["macro avg"]["support"]) == (0.5, 1.0, 0.0, 0.5, 6)
-    run = metrics.running(spark.createDataFrame([(i, float(i % 3 == 0)) for i in range(1, 101)], "i bigint, v double"), "i", F.col("v"), 25, chunks=7)
+    assert (rep["A"]["f1"], rep["B-O"]["f1"], rep["C-S"]["f1"], rep["micro avg"]["f1"], rep["micro avg"]["precision"], rep["macro avg"]["support"]) == (0.5, 1.0, 0.0, 0.545455, 0.6, 6)
+    known = pipeline.evaluate_labels(df.where("predicted <> 'UNKNOWN'"))["report"].collect()
+    assert [(r["label"], r["f1"], r["support"]) for r in known][-1] == ("accuracy", 0.6, 5)
+    run = metrics.running(spark.createDataFrame([(i, float(i % 3 == 0)) for i in range(1, 101)], "i bigint, v double"), "i", 25, running=F.col("v"))
     assert [(r["position"], r["running"]) for r in run.orderBy("position").collect()] == [(n, round(sum(i % 3 == 0 for i in range(1, n + 1)) / n, 6)) for n in (25, 50, 75, 100)]
 
 
@@ -249,17 +255,23 @@ def test_models_and_flow(spark):
     assert pipeline.timeline_texts(posts, "post_key").where("timeline_id = 't0'").collect()[0]["text"].startswith("I felt calm on day 0. It rained.\n\nI felt calm on day 3")
     with pytest.raises(ValueError):
         pipeline.Config(mode="cosine")
-    s = M.softmax(np.array([[1.0, 2.0, 3.0]]))
-    assert np.isclose(s.sum(), 1) and M.label_index({0: "CONTRADICTION", 1: "Neutral"}, "neutral") == 1
+    raw = M.LogitScorer(lambda p, h: np.array([[2.0, 0.0, 1.0]] * len(p)), {0: "CONTRADICTION", 1: "Label: Neutral", 2: "entailment"}, batch=2).score(list("abc"), list("abc"))
+    assert raw.shape == (3, 3) and np.allclose(raw.sum(1), 1) and (raw.argmax(1) == 2).all() and (raw.argmin(1) == 1).all()
+    with pytest.raises(ValueError):
+        M.LogitScorer(lambda p, h: None, {0: "yes", 1: "no"})
+    assert M._named("x", M.HashEmbedder) != M._named("x", M.EchoGenerator)
     scored = posts.select(M.score_udf(M.OverlapScorer)("post", "post").alias("s")).select("s.*").collect()
     assert all(r["entailment"] == 1.0 for r in scored)
 
 
 def test_prompt_blocks(spark):
-    df = spark.createDataFrame([([("adaptive", "A", "calm")], ["b1"], [])], "s array<struct<polarity:string,abcd_key:string,text:string>>, b array<string>, a array<string>")
+    df = spark.createDataFrame([([("adaptive", "A", "calm")], [(7, "b1")], [])], f"s array<struct<polarity:string,abcd_key:string,text:string>>, b {context.ITEMS}, a {context.ITEMS}")
     ev, ctx = df.select(prompts.evidence_block(F.col("s")), prompts.context_block(F.col("b"), F.col("a"))).collect()[0]
     assert ev == 'Adaptive evidence:\n  - Affect (A): "calm"\nMaladaptive evidence:\n  None identified'
-    assert ctx == "Earlier posts in this timeline:\n  - b1"
+    assert ctx == 'Earlier posts in this timeline:\n  [post 7] "b1"'
+    text, alone = spark.createDataFrame([("I felt sad. Sad again.", "sad", "maladaptive")], "p string, s string, k string").select(prompts.classification(F.col("p"), F.col("s"), F.col("k")), prompts.classification(F.col("p"), F.col("s"), F.col("k"), False)).collect()[0]
+    assert "an Maladaptive state" in text and "I felt «sad». Sad again." in text and prompts.KEY_EXAMPLES["D"]["maladaptive"] in text and prompts.KEY_EXAMPLES["D"]["adaptive"] not in text
+    assert "Sad again" not in alone and alone.endswith("Passage (Maladaptive): sad\nKey:")
 
 
 def test_pair_metrics_by_a_backend(spark):

@@ -13,10 +13,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
 
-SCORES = StructType([StructField(n, DoubleType()) for n in ("entailment", "neutral", "contradiction")])
+from timberline.schema import NLI_LABELS
+
+SCORES = StructType([StructField(n, DoubleType()) for n in NLI_LABELS])
 
 
 class Embedder(Protocol):
@@ -66,22 +69,40 @@ class OverlapScorer:
         return out
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+class LogitScorer:
+    """A pair scorer over a classifier's raw outputs.
+
+    ``logits`` gives one row of numbers per (premise, hypothesis); ``names`` says what each column stands for,
+    in any case and with any addition. Pairs go to the classifier in batches.
+    """
 
+    def __init__(self, logits: Callable[[list[str], list[str]], np.ndarray], names: dict[int, str], batch: int = 16) -> None:
+        self.logits, self.batch = logits, batch
+        folded = {name.casefold(): column for column, name in sorted(names.items(), reverse=True)}
+        self.columns = []
+        for want in NLI_LABELS:
+            fits = [column for name, column in folded.items() if want in name]
+            if not fits:
+                raise ValueError(f"no output of the classifier stands for {want}")
+            self.columns.append(min(fits))
 
-def label_index(id2label: dict[int, str], label: str) -> int:
-    """The first index whose name contains the label, whatever its case."""
-    for i in sorted(id2label):
-        if label.lower() in id2label[i].lower():
-            return i
-    raise ValueError(f"no label like {label}")
+    def score(self, premises: list[str], hypotheses: list[str]) -> np.ndarray:
+        parts = [np.asarray(self.logits(premises[i : i + self.batch], hypotheses[i : i + self.batch]), np.float64) for i in range(0, len(premises), self.batch)]
+        if not parts:
+            return np.zeros((0, 3))
+        raw = np.concatenate(parts)
+        odds = np.exp(raw - raw.max(1)[:, None])
+        return (odds / odds.sum(1)[:, None])[:, self.columns]
 
 
 _made: dict[str, object] = {}
 
 
+def _named(key: str, make: Callable[[], object]) -> str:
+    """A key that two factories never share."""
+    return f"{key}-{hashlib.sha256(cloudpickle.dumps(make)).hexdigest()}"
+
+
 def once(key: str, make: Callable[[], object]) -> object:
     """One backend per Python worker and key."""
     if key not in _made:
@@ -90,6 +111,8 @@ def once(key: str, make: Callable[[], object]) -> object:
 
 
 def embed_udf(make: Callable[[], Embedder], key: str = "embedder"):
+    key = _named(key, make)
+
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = once(key, make)
@@ -100,6 +123,8 @@ def embed_udf(make: Callable[[], Embedder], key: str = "embedder"):
 
 
 def generate_udf(make: Callable[[], Generator], max_tokens: int, temperature: float, key: str = "generator"):
+    key = _named(key, make)
+
     @F.pandas_udf(StringType())
     def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = once(key, make)
@@ -114,10 +139,12 @@ def generate_udf(make: Callable[[], Generator], max_tokens: int, temperature: fl
 
 
 def score_udf(make: Callable[[], PairScorer], key: str = "scorer"):
+    key = _named(key, make)
+
     @F.pandas_udf(SCORES)
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m = once(key, make)
         for p, h in batches:
-            yield pd.DataFrame(m.score(p.fillna("").tolist(), h.fillna("").tolist()), columns=["entailment", "neutral", "contradiction"])
+            yield pd.DataFrame(m.score(p.fillna("").tolist(), h.fillna("").tolist()), columns=list(NLI_LABELS))
 
     return score

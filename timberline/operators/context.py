@@ -7,20 +7,23 @@ from the ends of the chunks around it, of which at most ``w`` rows each are kept
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ITEMS = "array<struct<post_index:int,post_text:string>>"
+
+
 def attach_context(posts: DataFrame, w: int, group: str = "timeline_id", index: str = "post_index", order: str = "row_id", text: str = "post", chunk: int = 256) -> DataFrame:
-    """The posts with ``before`` and ``after``: up to ``w`` texts on each side, in order.
+    """The posts with ``before`` and ``after``: up to ``w`` posts on each side (``post_index, post_text``), in order.
 
-    ``w`` = 0 gives empty arrays. Null groups form one group, null indexes sort first, null texts count as ''.
-    Ties of the index go by ``order``.
+    ``w`` = 0 gives empty arrays. Null groups form one group, null indexes count as -1 and sort first, null
+    texts count as ''. Ties of the index go by ``order``.
     """
-    none = F.array().cast("array<string>")
+    none = F.array().cast(ITEMS)
     if w == 0:
         return posts.withColumns({"before": none, "after": none})
-    base = posts.withColumns({"__i": F.coalesce(F.col(index), F.lit(-1)), "__t": F.coalesce(F.col(text), F.lit(""))}).withColumn("__c", F.floor(F.col("__i") / chunk))
+    base = posts.withColumns({"__i": F.coalesce(F.col(index), F.lit(-1)), "__t": F.struct(F.coalesce(F.col(index), F.lit(-1)).cast("int").alias("post_index"), F.coalesce(F.col(text), F.lit("")).alias("post_text"))}).withColumn("__c", F.floor(F.col("__i") / chunk))
     inner = Window.partitionBy(group, "__c").orderBy("__i", order)
     item = F.struct("__i", F.col(order).alias("__o"), "__t")
     heads = base.withColumns({"__n": F.row_number().over(inner), "__m": F.row_number().over(Window.partitionBy(group, "__c").orderBy(F.desc("__i"), F.desc(order)))}).where((F.col("__n") <= w) | (F.col("__m") <= w))
@@ -33,3 +36,9 @@ def attach_context(posts: DataFrame, w: int, group: str = "timeline_id", index:
     before = F.concat(F.coalesce("__left", none), "__b")
     after = F.concat("__a", F.coalesce("__right", none))
     return both.withColumns({"before": F.slice(before, F.greatest(F.size(before) - w + 1, F.lit(1)), F.lit(w)), "after": F.slice(after, F.lit(1), F.lit(w))}).select(*posts.columns, "before", "after")
+
+
+def positioned(before: Column, after: Column) -> Column:
+    """One list of the posts around, each with its ``position``: before or after."""
+    side = lambda posts, where: F.transform(posts, lambda p: F.struct(p["post_index"].alias("post_index"), p["post_text"].alias("post_text"), F.lit(where).alias("position")))
+    return F.concat(side(before, "before"), side(after, "after"))

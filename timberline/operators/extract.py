@@ -10,7 +10,7 @@ from timberline.schema import ABCD_KEYS, NONE, POLARITIES, STATE_TYPES
 
 
 def annotated(wellbeing: Column, summary: Column) -> Column:
-    """A post counts as annotated with a well-being value or a summary, even an empty one."""
+    """A post counts as annotated with any raw well-being value, be it a number or not, or a summary, even an empty one."""
     return wellbeing.isNotNull() | summary.isNotNull()
 
 
@@ -27,7 +27,7 @@ def flatten_posts(timelines: DataFrame) -> DataFrame:
         F.col("p.date").alias("post_date"),
         F.coalesce("p.`Post Summary`", F.lit("")).alias("post_summary"),
         wb.alias("wellbeing"),
-        annotated(wb, F.col("p.`Post Summary`")).alias("is_annotated"),
+        annotated(F.col("p.`Well-being`"), F.col("p.`Post Summary`")).alias("is_annotated"),
         F.col("p.evidence").alias("evidence"),
         order.alias("load_ord"),
     )

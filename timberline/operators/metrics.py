@@ -55,35 +55,45 @@ def macro_f1(conf: DataFrame, labels: tuple[str, ...] = ABCD_KEYS) -> DataFrame:
 
 
 def classification_report(conf: DataFrame, labels: tuple[str, ...] = ABCD_KEYS) -> DataFrame:
-    """Long form: a row per label, then 'macro avg', 'weighted avg' and 'accuracy'."""
+    """Long form: a row per label, 'macro avg', 'weighted avg', and what stands for the whole.
+
+    That is 'accuracy' where the labels are all values that occur, else 'micro avg' over the labels' own counts.
+    """
     p = per_label(conf, labels)
     rows = p.select("label", "precision", "recall", "f1", "support")
     macro = p.agg(_six(F.avg("precision")).alias("precision"), _six(F.avg("recall")).alias("recall"), _six(F.avg("f1")).alias("f1"), F.sum("support").alias("support"))
     mean = lambda c: _six(F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0))).alias(c)
     weighted = p.agg(mean("precision"), mean("recall"), mean("f1"), F.sum("support").alias("support"))
     right = F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")
-    overall = conf.agg(_six(right).alias("f1"), F.sum("n").alias("support")).select(F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"), "f1", "support")
+    strange = ~(F.coalesce(F.col("gold").isin(*labels), F.lit(False)) & F.coalesce(F.col("predicted").isin(*labels), F.lit(False)))
+    whole = conf.agg(_six(right).alias("a"), F.sum("n").alias("n"), F.coalesce(F.max(strange), F.lit(False)).alias("micro"))
+    tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
+    share = lambda a, b: _six(F.coalesce(F.try_divide(a, b), F.lit(0.0)))
+    micro = p.agg(share(tp, tp + fp).alias("p"), share(tp, tp + fn).alias("r"), share(2 * tp, 2 * tp + fp + fn).alias("f"), F.sum("support").alias("s")).crossJoin(F.broadcast(whole))
+    on = F.col("micro")
+    third = micro.select(F.when(on, "micro avg").otherwise("accuracy").alias("label"), F.when(on, F.col("p")).alias("precision"), F.when(on, F.col("r")).alias("recall"), F.when(on, F.col("f")).otherwise(F.col("a")).alias("f1"), F.when(on, F.col("s")).otherwise(F.col("n")).alias("support"))
     out = rows
-    for name, df in (("macro avg", macro), ("weighted avg", weighted), ("accuracy", overall)):
+    for name, df in (("macro avg", macro), ("weighted avg", weighted)):
         out = out.unionByName(df.select(F.lit(name).alias("label"), "precision", "recall", "f1", "support"))
-    return out
+    return out.unionByName(third)
 
 
-def running(rows: DataFrame, order: str, value: Column, every: int, chunks: int = 1000) -> DataFrame:
-    """Mean of ``value`` over all rows so far, at every ``every``-th row: ``position, running``.
+def running(rows: DataFrame, order: str, every: int, **values: Column) -> DataFrame:
+    """Means of the given ``values`` over all rows so far, at every ``every``-th row: ``position`` and a column per value.
 
-    Two levels of prefix sums over ranges of ``order`` instead of one window over all rows.
+    Rows are cut into ranges of ``order`` of about equal size, in which windows run; a second level adds what
+    stands before each range. Values are worked out once. Ties of ``order`` are not told apart.
     """
-    span = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    x = rows.select(F.col(order).alias("o"), value.cast("double").alias("v")).crossJoin(F.broadcast(span))
-    x = x.withColumn("c", F.floor((F.col("o") - F.col("lo")) * chunks / (F.col("hi") - F.col("lo") + 1)))
-    per = x.groupBy("c").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
-    w = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)  # at most ``chunks`` rows
-    before = per.select("c", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias("s0"))
+    names = list(values)
+    x = rows.select(F.col(order).alias("o"), *[v.cast("double").alias(k) for k, v in values.items()])
+    x = materialize(x.repartitionByRange("o").withColumn("c", F.spark_partition_id()), "ranges")
+    per = x.groupBy("c").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in names])
+    w = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    before = per.select("c", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"), *[F.coalesce(F.sum(k).over(w), F.lit(0.0)).alias(f"{k}0") for k in names])
     inner = Window.partitionBy("c").orderBy("o")
-    y = x.join(F.broadcast(before), "c")
-    y = y.select((F.col("n0") + F.row_number().over(inner)).alias("position"), (F.col("s0") + F.sum("v").over(inner.rowsBetween(Window.unboundedPreceding, 0))).alias("s"))
-    return y.where(F.col("position") % every == 0).select("position", _six(F.col("s") / F.col("position")).alias("running"))
+    y = x.join(before, "c")
+    y = y.select((F.col("n0") + F.row_number().over(inner)).alias("position"), *[(F.col(f"{k}0") + F.coalesce(F.sum(k).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))).alias(k) for k in names])
+    return y.where(F.col("position") % every == 0).select("position", *[_six(F.col(k) / F.col("position")).alias(k) for k in names])
 
 
 # -- sentence pairs

@@ -19,6 +19,17 @@ KEY_HINTS = {
 }
 
 
+#: What each key looks like in either state, for the classification prompt.
+KEY_EXAMPLES = {
+    "A": {"adaptive": "at ease, content, hopeful, moved", "maladaptive": "numb, on edge, dejected, ashamed"},
+    "B-O": {"adaptive": "asking for help, staying in touch", "maladaptive": "lashing out, shutting people out"},
+    "B-S": {"adaptive": "keeping a routine, resting, seeking treatment", "maladaptive": "neglecting or harming oneself"},
+    "C-O": {"adaptive": "others seen as kind or reliable", "maladaptive": "others seen as cold or hostile"},
+    "C-S": {"adaptive": "seeing oneself as worthy or able", "maladaptive": "blaming or belittling oneself"},
+    "D": {"adaptive": "wanting closeness, growth or calm", "maladaptive": "expecting that nothing good will come"},
+}
+
+
 def _name(key: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in KEY_NAMES.items() for x in kv])
     return F.coalesce(names[key], key)
@@ -36,19 +47,27 @@ def evidence_block(spans: Column) -> Column:
 
 
 def context_block(before: Column, after: Column) -> Column:
-    """Posts around the target; '' without any."""
+    """Posts around the target, each with its index; '' without any. Headings and line form are fixed values."""
 
-    def part(title: str, texts: Column) -> Column:
-        return F.when(F.size(texts) > 0, F.concat(F.lit(title + "\n"), F.array_join(F.transform(texts, lambda t: F.concat(F.lit("  - "), t)), "\n"))).otherwise("")
+    def part(title: str, posts: Column) -> Column:
+        line = lambda p: F.concat(F.lit("  [post "), p["post_index"].cast("string"), F.lit('] "'), p["post_text"], F.lit('"'))
+        return F.when(F.size(posts) > 0, F.concat(F.lit(title + "\n"), F.array_join(F.transform(posts, line), "\n"))).otherwise("")
 
     a, b = part("Earlier posts in this timeline:", before), part("Later posts in this timeline:", after)
     return F.concat(a, F.when((a != "") & (b != ""), "\n").otherwise(""), b)
 
 
-def classification(post: Column, span: Column, polarity: Column, context: Column | None = None) -> Column:
-    text, _ = T.highlight(post, span)
-    hints = "\n".join(f"{k} ({KEY_NAMES[k]}): {v}" for k, v in KEY_HINTS.items())
-    return F.concat(F.lit("Which key fits the marked passage? It shows an "), polarity, F.lit(f" state.\n{hints}\n"), (F.when(context != "", F.concat(context, F.lit("\n"))).otherwise("") if context is not None else F.lit("")), F.lit("Post:\n"), text, F.lit("\nPassage: "), span, F.lit("\nKey:"))
+def classification(post: Column, span: Column, polarity: Column, use_post: bool = True) -> Column:
+    """Keys with examples of the polarity, the post with the passage marked (or beside it, where it isn't found), the passage.
+
+    No other post of the timeline is shown; without ``use_post`` the passage stands alone.
+    """
+    state = F.initcap(polarity)
+    hints = lambda p: "\n".join(f"{k} ({KEY_NAMES[k]}): {v}. For example: {KEY_EXAMPLES[k][p]}." for k, v in KEY_HINTS.items())
+    keys = F.when(polarity == "adaptive", hints("adaptive")).otherwise(hints("maladaptive"))
+    text, found = T.highlight(post, span)
+    shown = F.concat(F.when(found, "The post, with the passage between « and »:\n").otherwise("The post:\n"), text, F.lit("\n"))
+    return F.concat(F.lit("Which key fits the passage? It shows an "), state, F.lit(" state.\n"), keys, F.lit("\n"), shown if use_post else F.lit(""), F.lit("Passage ("), state, F.lit("): "), span, F.lit("\nKey:"))
 
 
 def zero_shot(post: Column, evidence: Column, wellbeing: Column, context: Column | None = None) -> Column:
@@ -62,6 +81,13 @@ def one_shot(post: Column, evidence: Column, wellbeing: Column, example_post: Co
     return F.concat(example, zero_shot(post, evidence, wellbeing, context))
 
 
-def baseline(text: Column, whole_timeline: bool = False, marker: str = "Summary :\n") -> Column:
+#: What the answers of the baselines are cut at. Fixed values.
+POST_MARKER, TIMELINE_MARKER = "Summary :\n", "Timeline Summary :\n"
+
+
+def baseline(text: Column, whole_timeline: bool = False, as_json: bool = False) -> Column:
+    """The four baseline prompts: one post or a whole timeline, answered after a marker or as JSON."""
     what = "all posts of one person, in order" if whole_timeline else "one post"
-    return F.concat(F.lit(f"Here is {what}. Summarize it in a few sentences.\n"), text, F.lit("\n" + marker))
+    end = '{"summary": "..."}' if as_json else (TIMELINE_MARKER if whole_timeline else POST_MARKER)
+    ask = "Answer as JSON of this form:\n" if as_json else ""
+    return F.concat(F.lit(f"Here is {what}. Summarize it in a few sentences.\n"), text, F.lit(f"\n{ask}{end}"))

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from timberline.schema import RETRIEVAL_MODES
 
-FOUND = "query_id bigint, candidate_id bigint, similarity double"
-
 
 def check_mode(mode: str) -> str:
     got = mode.strip().lower()
@@ -49,13 +47,23 @@ def _scores(mode: str, alpha: float, q: pd.DataFrame, c: pd.DataFrame) -> np.nda
     return (a * s + b * m) / (a + b)
 
 
-def retrieve(rows: DataFrame, id_col: str, group_col: str, is_query: Column, is_candidate: Column, structural: tuple[str, int] | None, semantic: tuple[str, int] | None, mode: str = "hybrid", alpha: float = 0.5, k: int = 1, exclude_group: bool = True, block_rows: int = 8192) -> DataFrame:
+def _all_usable(*vectors: tuple[str, int] | None) -> Column:
+    from timberline.functions.vectors import usable
+
+    out = F.lit(True)
+    for name, x in zip(("v1", "v2"), vectors):
+        out = out & usable(F.col(name), x[1]) if x else out
+    return out
+
+
+def retrieve(rows: DataFrame, id_col: str, group_col: str, is_query: Column, is_candidate: Column, structural: tuple[str, int] | None, semantic: tuple[str, int] | None, mode: str = "hybrid", alpha: float = 0.5, k: int = 1, exclude_group: bool = True, block_rows: int = 8192, broadcast_bytes: int = 32 << 20, need_vectors: bool = False) -> DataFrame:
     """``query_id, candidate_id, similarity, rank``.
 
     Candidates of the query's own group are left out (``exclude_group``), else only the query itself. Rows
     whose vectors are null, of another length, with null or NaN elements or of length 0 are neither. Ties
     go to the lower id; similarities are compared to 9 digits, so that the order does not hang on rounding.
-    Null groups are a group of their own.
+    Null groups are a group of their own. With ``need_vectors`` a query without usable vectors is an error.
+    Ids are whole numbers or strings. A pool of up to ``broadcast_bytes`` is sent to the queries, which then are not moved.
     """
     from timberline.functions.vectors import usable
 
@@ -63,20 +71,15 @@ def retrieve(rows: DataFrame, id_col: str, group_col: str, is_query: Column, is_
     need = [x for x, on in ((structural, mode != "semantic"), (semantic, mode != "structural")) if on]
     if any(x is None for x in need):
         raise ValueError(f"mode {mode} needs its vector columns")
-    base = rows.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("g"), is_query.alias("q"), is_candidate.alias("c"), (F.col(structural[0]) if structural else F.lit(None).cast("array<double>")).alias("v1"), (F.col(semantic[0]) if semantic else F.lit(None).cast("array<double>")).alias("v2")).where("id is not null")
+    kind = "string" if dict(rows.dtypes)[id_col] == "string" else "bigint"
+    base = rows.select(F.col(id_col).cast(kind).alias("id"), F.coalesce(F.col(group_col).cast("string"), F.lit("")).alias("g"), is_query.alias("q"), is_candidate.alias("c"), (F.col(structural[0]) if structural else F.lit(None).cast("array<double>")).alias("v1"), (F.col(semantic[0]) if semantic else F.lit(None).cast("array<double>")).alias("v2")).where("id is not null")
+    if need_vectors and (bare := base.where(F.col("q") & ~F.coalesce(_all_usable(structural if structural in need else None, semantic if semantic in need else None), F.lit(False))).count()):
+        raise ValueError(f"{bare} queries have no usable vector for mode {mode}")
     for name, x in (("v1", structural), ("v2", semantic)):
         if x and x in need:
             base = base.where(usable(F.col(name), x[1]))
         else:
             base = base.withColumn(name, F.lit(None).cast("array<double>"))
-    n = base.where("c").count()
-    n_q = base.where("q").count()
-    blocks, q_blocks = max(1, -(-n // block_rows)), max(1, -(-n_q // block_rows))
-    pool = base.where("c").withColumn("pb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    ask = base.where("q").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cols = ["qb", "pb", "id", "g", "v1", "v2"]
-    other = pool.select(*[F.col(c).alias(f"c_{c}") for c in cols])
-
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "candidate_id": [], "similarity": []})
@@ -97,35 +100,53 @@ def retrieve(rows: DataFrame, id_col: str, group_col: str, is_query: Column, is_
             out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[r], "candidate_id": ids[top[r, j]], "similarity": got[r, j]}))
         return pd.concat(out)
 
-    found = ask.select(*cols).groupBy("qb", "pb").cogroup(other.groupBy("c_qb", "c_pb")).applyInPandas(best, FOUND)
+    n = base.where("c").count()
+    n_q = base.where("q").count()
+    found_ddl = f"query_id {kind}, candidate_id {kind}, similarity double"
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate_id")
+    if n * 8 * sum(x[1] for x in need) <= broadcast_bytes:
+        shared = rows.sparkSession.sparkContext.broadcast(base.where("c").select("id", "g", "v1", "v2").toPandas())
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield best(pdf, shared.value)
+
+        found = base.where("q").select("id", "g", "v1", "v2").mapInPandas(near, found_ddl)
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    blocks, q_blocks = max(1, -(-n // block_rows)), max(1, -(-n_q // block_rows))
+    pool = base.where("c").withColumn("pb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    ask = base.where("q").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cols = ["qb", "pb", "id", "g", "v1", "v2"]
+    other = pool.select(*[F.col(c).alias(f"c_{c}") for c in cols])
+
+    found = ask.select(*cols).groupBy("qb", "pb").cogroup(other.groupBy("c_qb", "c_pb")).applyInPandas(best, found_ddl)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def pairwise_stats(rows: DataFrame, vec: str, dim: int, block_rows: int = 4096) -> DataFrame:
+def pairwise_stats(rows: DataFrame, id_col: str, vec: str, dim: int, block_rows: int = 4096) -> DataFrame:
     """One row over all pairs of usable vectors: ``n, mean, std, min, max`` of the cosine.
 
-    Mean and deviation follow from the sum of the unit vectors and of their outer products, in one pass.
-    Least and greatest come from block products, of which each task gives two numbers.
+    Mean and deviation follow from the sum of the unit vectors and of their outer products, in one pass summed
+    on the executors. Least and greatest need every pair, so their work grows with the square of the rows: it
+    is cut into products of blocks by row id, of which each task gives two numbers.
     """
     from timberline.functions.vectors import usable
 
-    x = rows.select(F.col(vec).alias("v")).where(usable(F.col("v"), dim))
+    x = rows.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).where(usable(F.col("v"), dim))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, g = 0, np.zeros(dim), np.zeros((dim, dim))
+        total = np.zeros(1 + dim + dim * dim)
         for pdf in batches:
             if len(pdf):
                 u = _unit(pdf["v"])
-                n, s, g = n + len(u), s + u.sum(0), g + u.T @ u
-        yield pd.DataFrame({"n": [n], "s": [s], "g": [g.ravel()]})
+                total += np.concatenate([[len(u)], u.sum(0), (u.T @ u).ravel()])
+        yield pd.DataFrame({"at": np.arange(len(total)), "x": total})
 
-    parts = x.mapInPandas(sums, "n bigint, s array<double>, g array<double>").collect()  # dim x dim numbers per task
-    n = sum(p["n"] for p in parts)
-    s, g = sum(np.array(p["s"]) for p in parts), sum(np.array(p["g"]) for p in parts)
+    parts = x.select("v").mapInPandas(sums, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").toPandas()["x"].to_numpy()
+    n, s, g = (int(parts[0]), parts[1 : dim + 1], parts[dim + 1 :]) if len(parts) else (0, np.zeros(dim), np.zeros(dim * dim))
     pairs = n * (n - 1) / 2
     blocks = max(1, -(-n // block_rows))
-    numbered = x.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    numbered = x.select("v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     left = numbered.withColumn("o", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))))
     right = numbered.select(F.col("v").alias("w"), F.col("b").alias("o2"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("b2"))
 
@@ -134,10 +155,7 @@ def pairwise_stats(rows: DataFrame, vec: str, dim: int, block_rows: int = 4096)
             return pd.DataFrame({"lo": [], "hi": []})
         same = a["b"].iloc[0] == a["o"].iloc[0]
         u, w = _unit(a["v"]), _unit(c["w"])
-        if same:
-            p = (u @ u.T)[np.triu_indices(len(u), 1)]
-        else:
-            p = (u @ w.T).ravel()
+        p = (u @ u.T)[np.triu_indices(len(u), 1)] if same else (u @ w.T).ravel()
         return pd.DataFrame({"lo": [p.min()], "hi": [p.max()]}) if len(p) else pd.DataFrame({"lo": [], "hi": []})
 
     lim = left.groupBy("b", "o").cogroup(right.groupBy("b2", "o2")).applyInPandas(ends, "lo double, hi double").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))

@@ -43,11 +43,10 @@ def embed_posts(posts: DataFrame, make: Callable[[], M.Embedder] = M.HashEmbedde
 def classify_spans(spans: DataFrame, posts: DataFrame, config: Config = Config(), make: Callable[[], M.Generator] = M.EchoGenerator) -> DataFrame:
     """The spans with ``predicted_abcd_key``; written once, so no prediction is made twice."""
     keys = ["timeline_id", "post_index"]
-    x = spans.join(posts.select(*keys, "post", "before", "after"), keys)
-    ctx = prompts.context_block(F.col("before"), F.col("after")) if config.use_context else None
-    prompt = prompts.classification(F.col("post"), F.col("text"), F.col("polarity"), ctx)
+    x = spans.join(posts.select(*keys, "post"), keys)
+    prompt = prompts.classification(F.col("post"), F.col("text"), F.col("polarity"), config.use_context)
     raw = M.generate_udf(make, config.label_tokens, config.label_temperature, "labels")(prompt)
-    return materialize(x.withColumn("predicted_abcd_key", T.parse_label(raw)).drop("post", "before", "after"), "labels")
+    return materialize(x.withColumn("predicted_abcd_key", T.parse_label(raw)).drop("post"), "labels")
 
 
 def profiles(posts: DataFrame, spans: DataFrame, config: Config = Config(), predicted: bool = False) -> DataFrame:
@@ -83,18 +82,22 @@ def summarize(rows: DataFrame, spans: DataFrame, config: Config = Config(), make
     return materialize(out, "summaries")
 
 
-def baseline_posts(posts: DataFrame, make: Callable[[], M.Generator] = M.EchoGenerator, tokens: int = 300, json_mode: bool = False) -> DataFrame:
+def baseline_posts(posts: DataFrame, make: Callable[[], M.Generator] = M.EchoGenerator, tokens: int = 300, json_mode: bool = False, whole_timeline: bool = False) -> DataFrame:
     """The posts with ``baseline_summary``: the text after the marker, or the summary field of a JSON answer."""
-    answer = M.generate_udf(make, tokens, 0.1, "baseline")(prompts.baseline(F.col("post")))
+    answer = M.generate_udf(make, tokens, 0.1, "baseline")(prompts.baseline(F.coalesce("post", F.lit("")), whole_timeline, json_mode))
     out = posts.withColumn("__a", answer)
-    tail = T.json_field(F.col("__a"), "summary") if json_mode else F.coalesce(T.marker_tail(F.col("__a"), "Summary :\n"), F.col("__a"))
+    marker = prompts.TIMELINE_MARKER if whole_timeline else prompts.POST_MARKER
+    tail = T.json_field(F.col("__a"), "summary") if json_mode else F.coalesce(T.marker_tail(F.col("__a"), marker), F.col("__a"))
     return out.withColumn("baseline_summary", tail).drop("__a")
 
 
 def timeline_texts(posts: DataFrame, order: str = "row_id") -> DataFrame:
-    """``timeline_id, n_posts, text``: the posts of each timeline joined by a blank line, in row order."""
+    """``timeline_id, n_posts, first_row, text``: the posts of each timeline joined by a blank line, in row order.
+
+    ``first_row`` orders the timelines as they first appear.
+    """
     item = F.struct(F.col(order).alias("o"), F.coalesce("post", F.lit("")).alias("t"))
-    return posts.groupBy("timeline_id").agg(F.count("*").alias("n_posts"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "\n\n").alias("text"))
+    return posts.groupBy("timeline_id").agg(F.count("*").alias("n_posts"), F.min(order).alias("first_row"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "\n\n").alias("text"))
 
 
 def evaluate_labels(spans: DataFrame) -> dict[str, DataFrame]:

@@ -85,7 +85,7 @@ def fold_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairwise_similarity_stats(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.pairwise_stats(table(spark, d, "embeddings"), "embedding", 64)
+    return retrieval.pairwise_stats(table(spark, d, "embeddings"), "vec_id", "embedding", 64)
 
 
 def weighted_concat(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,7 @@ def weighted_concat(spark: SparkSession, d: str) -> DataFrame:
 
 def _context(spark: SparkSession, d: str, w: int) -> DataFrame:
     p = context.attach_context(table(spark, d, "post_data").select("row_id", *KEYS, "post"), w)
-    return p.select("row_id", F.size("before").alias("n_before"), F.size("after").alias("n_after"), F.array_join("before", "|").alias("before_text"), F.array_join("after", "|").alias("after_text"))
+    return p.select("row_id", F.size("before").alias("n_before"), F.size("after").alias("n_after"), F.array_join(F.col("before.post_text"), "|").alias("before_text"), F.array_join(F.col("after.post_text"), "|").alias("after_text"))
 
 
 def context_w0(spark: SparkSession, d: str) -> DataFrame:
@@ -121,10 +121,24 @@ def context_format(spark: SparkSession, d: str) -> DataFrame:
     return p.select("row_id", prompts.context_block(F.col("before"), F.col("after")).alias("block"))
 
 
+def context_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The posts around each annotated post, with index and position."""
+    raw = table(spark, d, "post_data").select("row_id", *KEYS, "post", "post_summary", "well_being_score")
+    marked = extract.annotated(F.nullif("well_being_score", F.lit(S.NONE)), F.nullif("post_summary", F.lit(S.NONE)))
+    p = context.attach_context(raw, 2).where(marked)
+    return p.select("row_id", F.posexplode(context.positioned(F.col("before"), F.col("after"))).alias("pos", "c")).select("row_id", "pos", "c.post_index", "c.position", F.length("c.post_text").alias("n_chars"))
+
+
 def timeline_texts(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.timeline_texts(table(spark, d, "post_data"))
 
 
+def timeline_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Both baseline prompts of each timeline."""
+    t = pipeline.timeline_texts(table(spark, d, "post_data"))
+    return t.select("timeline_id", prompts.baseline(F.col("text"), True).alias("official"), prompts.baseline(F.col("text"), True, True).alias("blue"))
+
+
 def timeline_ids(spark: SparkSession, d: str) -> DataFrame:
     """Distinct ids over three tables, with the tables each occurs in."""
     parts = [table(spark, d, t).select("timeline_id", F.lit(i).alias("t")) for i, t in enumerate(("timeline_data", "post_data", "task_c_baseline"))]
@@ -133,7 +147,7 @@ def timeline_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def load_counts(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "post_data")
-    wb = T.number(F.col("well_being_score"))
+    wb = F.when(F.col("well_being_score") != S.NONE, F.col("well_being_score"))
     summary = F.when(F.col("post_summary") != S.NONE, F.col("post_summary"))
     return p.agg(F.count("*").alias("n_posts"), F.count_distinct("timeline_id").alias("n_timelines"), F.count_if(extract.annotated(wb, summary)).alias("n_annotated"), F.count_if(F.length(F.coalesce("post", F.lit(""))) == 0).alias("n_empty"))
 
@@ -192,7 +206,7 @@ def classification_report(spark: SparkSession, d: str) -> DataFrame:
 
 def running_accuracy(spark: SparkSession, d: str) -> DataFrame:
     hit = F.coalesce((F.col("gold_abcd_key") == F.col("predicted_abcd_key")).cast("int"), F.lit(0))
-    return metrics.running(_spans(spark, d), "span_id", hit, 25)
+    return metrics.running(_spans(spark, d), "span_id", 25, running=hit)
 
 
 # -- sentence pairs
@@ -225,7 +239,8 @@ def mode_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def running_consistency(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.running(_pair(spark, d, "zero_shot"), "result_id", F.col("cs"), 10)
+    """Consistency and contradiction so far, at every tenth result."""
+    return metrics.running(_pair(spark, d, "zero_shot"), "result_id", 10, consistency=F.col("cs"), contradiction=F.col("ct"))
 
 
 def timeline_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -301,11 +316,23 @@ def zero_shot_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 def classification_prompts(spark: SparkSession, d: str) -> DataFrame:
     j = _spans(spark, d).where("length(text) > 0 and polarity is not null").select("span_id", *KEYS, F.col("text").alias("span"), "polarity").join(_posts(spark, d).where("post is not null").select(*KEYS, "post"), KEYS)
-    return j.select("span_id", F.length(prompts.classification(F.col("post"), F.col("span"), F.col("polarity"))).alias("n_chars"))
+    return j.select("span_id", prompts.classification(F.col("post"), F.col("span"), F.col("polarity")).alias("prompt"))
+
+
+def one_shot_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts with the example that was retrieved for each result: its post, gold evidence, well-being and summary."""
+    p = _posts(spark, d).join(_span_lists(spark, d), KEYS, "left")
+    one = lambda c: F.struct(F.coalesce("post", F.lit("")).alias("post"), prompts.evidence_block(F.coalesce("spans", F.array().cast("array<struct<span_id:bigint,polarity:string,abcd_key:string,text:string>>"))).alias("evidence"), T.number(F.col("well_being_score")).alias("wb"), F.col("post_summary").alias("summary")).alias(c)
+    target = p.select(*KEYS, one("t"))
+    example = p.where(F.length("post_summary") > 0).select(F.col("timeline_id").alias("retrieved_timeline"), F.col("post_index").alias("retrieved_post_index"), one("e"))
+    r = table(spark, d, "task_b_results").select("result_id", *KEYS, "retrieved_timeline", "retrieved_post_index")
+    j = r.join(target, KEYS).join(example, ["retrieved_timeline", "retrieved_post_index"])
+    return j.select("result_id", prompts.one_shot(F.col("t.post"), F.col("t.evidence"), F.col("t.wb"), F.col("e.post"), F.col("e.evidence"), F.col("e.wb"), F.col("e.summary")).alias("prompt"))
 
 
 def baseline_prompts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "post_data").select("row_id", prompts.baseline(F.coalesce("post", F.lit(""))).alias("prompt"))
+    text = F.coalesce("post", F.lit(""))
+    return table(spark, d, "post_data").select("row_id", prompts.baseline(text).alias("prompt"), prompts.baseline(text, as_json=True).alias("blue_prompt"))
 
 
 # -- lookups and documents
@@ -364,9 +391,9 @@ def evaluable_rows(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = (
         knn_semantic_top1, knn_semantic_top5, knn_same_group_allowed, knn_structural, knn_hybrid, knn_hybrid_concat, fold_similarity, pairwise_similarity_stats, weighted_concat,
-        context_w0, context_w1, context_w2, context_format, timeline_texts, timeline_ids, load_counts, presence_profile, structural_vectors, profile_analysis,
+        context_w0, context_w1, context_w2, context_format, context_positions, timeline_texts, timeline_prompts, timeline_ids, load_counts, presence_profile, structural_vectors, profile_analysis,
         accuracy_by_polarity, macro_f1, macro_f1_orders, classification_report, running_accuracy, pair_metrics_zero_shot, pair_metrics_one_shot, corpus_means, mode_delta, running_consistency, timeline_metrics, sentence_split,
-        whitespace_normalize, span_highlight, label_parse, span_truncate, lenient_number, wellbeing_text, none_filled, category_names, evidence_format, zero_shot_prompts, classification_prompts, baseline_prompts,
+        whitespace_normalize, span_highlight, label_parse, span_truncate, lenient_number, wellbeing_text, none_filled, category_names, evidence_format, zero_shot_prompts, one_shot_prompts, classification_prompts, baseline_prompts,
         lookup_default_fill, lookup_inner, orphan_results, retrieved_examples, submission_documents, eligible_posts, evaluable_rows,
     )
     return {f.__name__: f for f in fs}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from timberline.operators.prompts import KEY_EXAMPLES, KEY_HINTS
+from timberline.schema import KEY_NAMES
+
 _SP = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -44,17 +47,18 @@ _H5 = f"(0.5 * {_C1} + 0.5 * {_C2})"
 
 def _context(w: int) -> str:
     o = "over (partition by timeline_id order by coalesce(post_index, -1), row_id rows between"
-    before = f"coalesce(list(coalesce(post, '')) {o} {w} preceding and 1 preceding), [])" if w else "[]::varchar[]"
-    after = f"coalesce(list(coalesce(post, '')) {o} 1 following and {w} following), [])" if w else "[]::varchar[]"
-    return f"select row_id, timeline_id, {before} b, {after} a from post_data"
+    item = "struct_pack(i := coalesce(post_index, -1), t := coalesce(post, ''))"
+    before = f"coalesce(list({item}) {o} {w} preceding and 1 preceding), [])" if w else "[]::struct(i int, t varchar)[]"
+    after = f"coalesce(list({item}) {o} 1 following and {w} following), [])" if w else "[]::struct(i int, t varchar)[]"
+    return f"select row_id, timeline_id, well_being_score, post_summary, {before} b, {after} a from post_data"
 
 
 def _ctx(w: int) -> str:
-    return f"with x as ({_context(w)}) select row_id, cast(len(b) as int) n_before, cast(len(a) as int) n_after, coalesce(array_to_string(b, '|'), '') before_text, coalesce(array_to_string(a, '|'), '') after_text from x"
+    return f"with x as ({_context(w)}) select row_id, cast(len(b) as int) n_before, cast(len(a) as int) n_after, coalesce(array_to_string(list_transform(b, lambda x: x.t), '|'), '') before_text, coalesce(array_to_string(list_transform(a, lambda x: x.t), '|'), '') after_text from x"
 
 
 def _part(title: str, c: str) -> str:
-    return f"case when len({c}) > 0 then '{title}' || chr(10) || array_to_string(list_transform({c}, lambda t: '  - ' || t), chr(10)) else '' end"
+    return f"case when len({c}) > 0 then '{title}' || chr(10) || array_to_string(list_transform({c}, lambda x: '  [post ' || x.i || '] ' || chr(34) || x.t || chr(34)), chr(10)) else '' end"
 
 
 _KEYS = ("A", "B-O", "B-S", "C-O", "C-S", "D")
@@ -64,7 +68,7 @@ _RAW = f"{_PRES}, raw as (select profile_id, wellbeing, coalesce(d, list_resize(
 
 _UP = f"upper({_strip('coalesce(predicted_abcd_key, ' + chr(39) * 2 + ')')})"
 _TWO = "".join(f" when contains(s, '{k}') then '{k}'" for k in ("B-O", "B-S", "C-O", "C-S"))
-_NAMES = "".join(f" when contains(s, '{n}') then '{k}'" for n, k in (("BEHAVIOR TOWARD THE OTHER", "B-O"), ("BEHAVIOR TOWARD THE SELF", "B-S"), ("BEHAVIOR OTHER", "B-O"), ("BEHAVIOR SELF", "B-S"), ("COGNITION OF THE OTHER", "C-O"), ("COGNITION OF THE SELF", "C-S"), ("COGNITION OTHER", "C-O"), ("COGNITION SELF", "C-S"), ("AFFECT", "A"), ("DESIRE", "D")))
+_NAMES = "".join(f" when contains(s, '{n}') then '{k}'" for n, k in (("AFFECT", "A"), ("BEHAVIOR TOWARD THE OTHER", "B-O"), ("BEHAVIOR OTHER", "B-O"), ("BEHAVIOR TOWARD THE SELF", "B-S"), ("BEHAVIOR SELF", "B-S"), ("COGNITION OF THE OTHER", "C-O"), ("COGNITION OTHER", "C-O"), ("COGNITION OF THE SELF", "C-S"), ("COGNITION SELF", "C-S"), ("DESIRE", "D")))
 _EXACT = "case when s in ('A','B-O','B-S','C-O','C-S','D') then s" + _TWO
 _COMPAT = _EXACT + " when contains(s, 'A') then 'A' when contains(s, 'D') then 'D'" + _NAMES + " else 'UNKNOWN' end"
 _STRICT = _EXACT + _NAMES + r" when regexp_matches(s, '\bA\b') then 'A' when regexp_matches(s, '\bD\b') then 'D' else 'UNKNOWN' end"
@@ -111,6 +115,15 @@ def _block(title: str, polarity: str) -> str:
 
 _LISTS = "lists as (select timeline_id, post_index, list(struct_pack(polarity := coalesce(polarity, ''), k := coalesce(gold_abcd_key, ''), t := text) order by span_id) spans from evidence_span where timeline_id is not null and post_index is not null and length(text) > 0 group by 1, 2)"
 _EV = f"({_block('Adaptive evidence:', 'adaptive')} || chr(10) || {_block('Maladaptive evidence:', 'maladaptive')})"
+_TL = "'Here is all posts of one person, in order. Summarize it in a few sentences.' || chr(10) || x || chr(10)"
+_JSON = """'Answer as JSON of this form:' || chr(10) || '{"summary": "..."}'"""
+
+
+def _hints(polarity: str) -> str:
+    lines = [f"{k} ({KEY_NAMES[k]}): {v}. For example: {KEY_EXAMPLES[k][polarity]}." for k, v in KEY_HINTS.items()]
+    return " || chr(10) || ".join(f"'{x}'" for x in lines)
+
+
 _WBT = "case when w is null or isnan(w) then 'Unknown' else cast(cast(round_even(w, 0) as bigint) as varchar) end"
 
 
@@ -135,9 +148,14 @@ select profile_id, round(list_max(list_transform(generate_series(1, 78), lambda
         "context_w1": _ctx(1),
         "context_w2": _ctx(2),
         "context_format": f"with x as ({_context(1)}), y as (select row_id, {_part('Earlier posts in this timeline:', 'b')} p, {_part('Later posts in this timeline:', 'a')} q from x) select row_id, p || case when p <> '' and q <> '' then chr(10) else '' end || q as block from y",
-        "timeline_texts": "select timeline_id, count(*) n_posts, string_agg(coalesce(post, ''), chr(10) || chr(10) order by row_id) as text from post_data group by 1",
+        "context_positions": f"""
+with x as ({_context(2)} ), y as (select row_id, list_concat(list_transform(b, lambda p: struct_pack(i := p.i, t := p.t, w := 'before')), list_transform(a, lambda p: struct_pack(i := p.i, t := p.t, w := 'after'))) c from x where (well_being_score is not null and well_being_score <> 'NONE') or (post_summary is not null and post_summary <> 'NONE')),
+z as (select row_id, generate_subscripts(c, 1) - 1 pos, unnest(c) c from y)
+select row_id, cast(pos as int) pos, c.i post_index, c.w as position, cast(length(c.t) as int) n_chars from z""",
+        "timeline_prompts": f"with t as (select timeline_id, string_agg(coalesce(post, ''), chr(10) || chr(10) order by row_id) x from post_data group by 1) select timeline_id, {_TL} || 'Timeline Summary :' || chr(10) as official, {_TL} || {_JSON} as blue from t",
+        "timeline_texts": "select timeline_id, count(*) n_posts, min(row_id) first_row, string_agg(coalesce(post, ''), chr(10) || chr(10) order by row_id) as text from post_data group by 1",
         "timeline_ids": "select timeline_id, count(distinct t) n_tables, count(*) n_rows from (select timeline_id, 0 t from timeline_data union all select timeline_id, 1 from post_data union all select timeline_id, 2 from task_c_baseline) where timeline_id is not null group by 1",
-        "load_counts": f"with x as (select *, {_NUMBER.format(c='well_being_score')} w from post_data) select count(*) n_posts, count(distinct timeline_id) n_timelines, count(*) filter (where w is not null or (post_summary is not null and post_summary <> 'NONE')) n_annotated, count(*) filter (where length(coalesce(post, '')) = 0) n_empty from x",
+        "load_counts": "select count(*) n_posts, count(distinct timeline_id) n_timelines, count(*) filter (where (well_being_score is not null and well_being_score <> 'NONE') or (post_summary is not null and post_summary <> 'NONE')) n_annotated, count(*) filter (where length(coalesce(post, '')) = 0) n_empty from post_data",
         "presence_profile": f"with {_PRES} select timeline_id, post_index, array_to_string(d, '') dims, n n_spans, round(ratio + 1e-10, 6) adaptive_ratio from pres",
         "structural_vectors": f"with {_RAW} select profile_id, array_to_string(d, '') dims, round(w + 1e-10, 6) wellbeing_dim, round(r + 1e-10, 6) ratio_dim, case when n > 0 then round(w / n + 1e-10, 6) end wellbeing_unit, case when n > 0 then round(r / n + 1e-10, 6) end ratio_unit from nrm",
         "profile_analysis": f"with {_RAW} select count(*) n_profiles, count(distinct d) n_distinct, round(avg(list_sum(d)), 6) avg_active, round(avg(wellbeing), 6) wellbeing_mean, round(stddev_pop(wellbeing), 6) wellbeing_std, min(wellbeing) wellbeing_min, max(wellbeing) wellbeing_max, round(avg(r), 6) ratio_mean, round(stddev_pop(r), 6) ratio_std from nrm",
@@ -153,7 +171,8 @@ with {_LAB}, {_F1}
 select label, p as precision, r as recall, f1, s support from f
 union all select 'macro avg', round(avg(p) + 1e-10, 6), round(avg(r) + 1e-10, 6), round(avg(f1) + 1e-10, 6), cast(sum(s) as bigint) from f
 union all select 'weighted avg', round(sum(p * s) / sum(s) + 1e-10, 6), round(sum(r * s) / sum(s) + 1e-10, 6), round(sum(f1 * s) / sum(s) + 1e-10, 6), cast(sum(s) as bigint) from f
-union all select 'accuracy', null, null, round(count(*) filter (where gold = pred)::double / count(*) + 1e-10, 6), count(*) from pr""",
+union all select case when m then 'micro avg' else 'accuracy' end, case when m then round(coalesce(tp / nullif(tp + fp, 0), 0) + 1e-10, 6) end, case when m then round(coalesce(tp / nullif(tp + fn, 0), 0) + 1e-10, 6) end, case when m then round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + 1e-10, 6) else round(a + 1e-10, 6) end, case when m then cast(s as bigint) else n end
+from (select sum(tp)::double tp, sum(fp)::double fp, sum(fn)::double fn, sum(tp + fn) s from c), (select count(*) n, count(*) filter (where gold = pred)::double / count(*) a, count(*) filter (where gold is null or pred is null or gold not in ('A','B-O','B-S','C-O','C-S','D') or pred not in ('A','B-O','B-S','C-O','C-S','D')) > 0 m from pr)""",
         "running_accuracy": _running("(select span_id, coalesce(cast(gold_abcd_key = predicted_abcd_key as int), 0)::double h from evidence_span)", "span_id", "h", 25),
         "pair_metrics_zero_shot": f"with {_mode('zero_shot')} select id result_id, round(cs + 1e-10, 6) cs, round(ct + 1e-10, 6) ct, round(ea + 1e-10, 6) ea from pm",
         "pair_metrics_one_shot": f"with {_mode('one_shot')} select id result_id, round(cs + 1e-10, 6) cs, round(ct + 1e-10, 6) ct, round(ea + 1e-10, 6) ea from pm",
@@ -162,7 +181,7 @@ union all select 'accuracy', null, null, round(count(*) filter (where gold = pre
 with z as (with {_mode('zero_shot')} select {_MEANS} from pm), o as (with {_mode('one_shot')} select {_MEANS} from pm),
 x as (select unnest(['consistency', 'contradiction', 'evidence_alignment']) metric, unnest([z.consistency, z.contradiction, z.evidence_alignment]) zero_shot, unnest([o.consistency, o.contradiction, o.evidence_alignment]) one_shot from z, o)
 select metric, zero_shot, one_shot, round(one_shot - zero_shot + 1e-10, 6) delta, case when one_shot is null or zero_shot is null then null when (metric = 'contradiction' and one_shot < zero_shot) or (metric <> 'contradiction' and one_shot > zero_shot) then '+' else '-' end better from x""",
-        "running_consistency": f"with {_mode('zero_shot')} " + _running("pm", "id", "cs", 10),
+        "running_consistency": f"with {_mode('zero_shot')} " + "select p as position, round(s / p + 1e-10, 6) consistency, round(t / p + 1e-10, 6) contradiction from (select row_number() over (order by id) p, sum(cs) over (order by id rows unbounded preceding) s, sum(ct) over (order by id rows unbounded preceding) t from pm) where p % 10 = 0",
         "timeline_metrics": "with gold as (select timeline_id, timeline_summary from timeline_data where timeline_summary is not null and timeline_summary <> 'NONE' qualify row_number() over (partition by timeline_id order by row_id desc) = 1), src as (select c.row_id, c.task_c_baseline_official_summaries p, timeline_summary from task_c_baseline c join gold using (timeline_id) where length(c.task_c_baseline_official_summaries) > 0)," + _pairs("src", "row_id", "p", "timeline_summary", None) + " select id delivery_id, round(cs + 1e-10, 6) cs, round(ct + 1e-10, 6) ct from pm",
         "sentence_split": f"with s as (select doc_id, {_sentences('text')} s from documents) select doc_id, cast(generate_subscripts(s, 1) - 1 as int) pos, unnest(s) as sentence from s",
         "whitespace_normalize": f"select doc_id, {_collapse('text')} as text from documents",
@@ -177,7 +196,20 @@ select span_id, case when length(span) > 0 and contains(post, span) then substr(
         "category_names": "select case predicted_abcd_key when 'A' then 'Affect' when 'B-O' then 'Behavior toward the Other' when 'B-S' then 'Behavior toward the Self' when 'C-O' then 'Cognition of the Other' when 'C-S' then 'Cognition of the Self' when 'D' then 'Desire' else coalesce(predicted_abcd_key, 'none') end as name, polarity, count(*) n from evidence_span group by 1, 2",
         "evidence_format": f"with {_LISTS} select timeline_id, post_index, {_EV} as block from lists",
         "zero_shot_prompts": f"with {_POSTS}, {_LISTS}, x as (select timeline_id, post_index, coalesce(post, '') post, spans, {_NUMBER.format(c='well_being_score')} w from posts join lists using (timeline_id, post_index)) select timeline_id, post_index, 'Sum up the mental state in this post.' || chr(10) || 'Post:' || chr(10) || post || chr(10) || {_EV} || chr(10) || 'Well-being (1-10): ' || {_WBT} || chr(10) || 'Summary:' as prompt from x",
-        "baseline_prompts": "select row_id, 'Here is one post. Summarize it in a few sentences.' || chr(10) || coalesce(post, '') || chr(10) || 'Summary :' || chr(10) as prompt from post_data",
+        "baseline_prompts": f"with t as (select row_id, 'Here is one post. Summarize it in a few sentences.' || chr(10) || coalesce(post, '') || chr(10) x from post_data) select row_id, x || 'Summary :' || chr(10) as prompt, x || {_JSON} as blue_prompt from t",
+        "one_shot_prompts": f"""
+with {_POSTS}, {_LISTS}, p as (select p.timeline_id, p.post_index, coalesce(post, '') post, post_summary, coalesce(spans, []) spans, {_NUMBER.format(c='well_being_score')} w from posts p left join lists l on p.timeline_id = l.timeline_id and p.post_index = l.post_index),
+b as (select timeline_id, post_index, post || chr(10) || {_EV} || chr(10) || 'Well-being (1-10): ' || {_WBT} || chr(10) x, post_summary s from p)
+select result_id, 'Example post:' || chr(10) || e.x || 'Summary: ' || e.s || chr(10) || chr(10) || 'Sum up the mental state in this post.' || chr(10) || 'Post:' || chr(10) || t.x || 'Summary:' as prompt
+from task_b_results r join b t on r.timeline_id = t.timeline_id and r.post_index = t.post_index join b e on r.retrieved_timeline = e.timeline_id and r.retrieved_post_index = e.post_index where length(e.s) > 0""",
+        "classification_prompts": f"""
+with {_POSTS}, j as (select span_id, post, e.text span, polarity, upper(polarity[1]) || lower(polarity[2:]) state, {_collapse('post')} wp, {_collapse('e.text')} ws from evidence_span e join posts p on e.timeline_id = p.timeline_id and e.post_index = p.post_index where length(e.text) > 0 and polarity is not null and post is not null),
+m as (select *, case when contains(post, span) then substr(post, 1, strpos(post, span) - 1) || '«' || span || '»' || substr(post, strpos(post, span) + length(span)) when length(ws) > 0 and contains(wp, ws) then substr(wp, 1, strpos(wp, ws) - 1) || '«' || ws || '»' || substr(wp, strpos(wp, ws) + length(ws)) else post end marked, contains(post, span) or (length(ws) > 0 and contains(wp, ws)) f from j)
+select span_id, 'Which key fits the passage? It shows an ' || state || ' state.' || chr(10) || case when polarity = 'adaptive' then {_hints('adaptive')} else {_hints('maladaptive')} end || chr(10) || case when f then 'The post, with the passage between « and »:' else 'The post:' end || chr(10) || marked || chr(10) || 'Passage (' || state || '): ' || span || chr(10) || 'Key:' as prompt from m""",
+        "submission_documents": f"""
+with {_POSTS}, {_LAST}, ev as (select timeline_id, post_index, list(text order by span_id) filter (where polarity = 'adaptive') a, list(text order by span_id) filter (where polarity = 'maladaptive') m from evidence_span where timeline_id is not null and length(text) > 0 group by 1, 2),
+p as (select p.timeline_id, p.post_id, coalesce(a, []) a, coalesce(m, []) m, coalesce(zero_shot_summary, '') s, {_NUMBER.format(c='well_being_score')} w from posts p left join res r on p.timeline_id = r.timeline_id and p.post_index = r.post_index left join ev on p.timeline_id = ev.timeline_id and p.post_index = ev.post_index where p.post_id is not null qualify row_number() over (partition by p.timeline_id, p.post_id order by p.row_id desc) = 1)
+select timeline_id, '{{"timeline_level":{{"summary":""}},"post_level":{{' || string_agg(to_json(post_id)::varchar || ':{{"adaptive_evidence":' || to_json(a)::varchar || ',"maladaptive_evidence":' || to_json(m)::varchar || ',"summary":' || to_json(s)::varchar || ',"wellbeing_score":' || coalesce(to_json(w)::varchar, 'null') || '}}', ',' order by post_id) || '}}}}' as document from p group by 1""",
         "lookup_default_fill": f"with {_POSTS}, {_LAST} select p.timeline_id, p.post_index, p.post_id, coalesce(zero_shot_summary, '') as summary from posts p left join res r on p.timeline_id = r.timeline_id and p.post_index = r.post_index",
         "lookup_inner": f"with {_POSTS} select b.row_id, b.post_id, p.timeline_id tl, p.post_index ix, source from task_b_baseline b join posts p using (post_id)",
         "orphan_results": f"with {_POSTS} select profile_id from post_profile x where not exists (select 1 from posts p where p.timeline_id = x.timeline_id and p.post_index = x.post_index)",

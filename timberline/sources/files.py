@@ -86,11 +86,18 @@ def write_evaluation(values: dict, path: str, source: str) -> str:
     return path
 
 
+#: How a result file's name ends: day and second of the run, or seconds since the epoch. Fixed values.
+RUN_TIMES = (r"\d{8}-\d{6}", r"\d+(?:\.\d+)?")
+EVALUATION_NAME = "task_{task}_evaluation_{time}.json"
+
+
 def run_id(path: str) -> str:
-    """The time in a result file's name."""
-    if m := re.search(r"_(\d{8}-\d{6}|\d+(?:\.\d+)?)$", PurePath(path).stem):
-        return m.group(1)
-    raise ValueError(f"no run time in the name of {path}")
+    """The time in a result file's name: what follows the last underscore."""
+    stem = PurePath(path).stem
+    time = stem.rpartition("_")[2]
+    if "_" not in stem or not any(re.fullmatch(t, time) for t in RUN_TIMES):
+        raise ValueError(f"no run time in the name of {path}")
+    return time
 
 
 def timestamp(now: datetime.datetime | None = None) -> str:
@@ -98,7 +105,7 @@ def timestamp(now: datetime.datetime | None = None) -> str:
 
 
 def evaluation_path(path: str, task: str) -> str:
-    return str(PurePath(path).parent / f"task_{task}_evaluation_{run_id(path)}.json")
+    return str(PurePath(path).with_name(EVALUATION_NAME.format(task=task, time=run_id(path))))
 
 
 def baseline_evaluation_path(path: str) -> str:
