@@ -28,6 +28,7 @@ def submission(posts: DataFrame, summaries: DataFrame | None = None) -> DataFram
         per = summaries.select("timeline_id", F.col("summary").alias("__s")).join(per, "timeline_id", "left")
     else:
         per = per.withColumn("__s", F.lit(""))
+    per = per.where("timeline_id is not null")
     empty = F.create_map().cast("map<string,struct<adaptive_evidence:array<string>,maladaptive_evidence:array<string>,summary:string,wellbeing_score:double>>")
     doc = F.struct(F.struct(F.coalesce("__s", F.lit("")).alias("summary")).alias("timeline_level"), F.coalesce("post_level", empty).alias("post_level"))
     return per.select("timeline_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))

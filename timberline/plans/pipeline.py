@@ -59,7 +59,7 @@ def profiles(posts: DataFrame, spans: DataFrame, config: Config = Config(), pred
 def summarize(rows: DataFrame, spans: DataFrame, config: Config = Config(), make: Callable[[], M.Generator] = M.EchoGenerator, predicted: bool = False) -> DataFrame:
     """Zero- and one-shot summaries of every post with a reference summary, with the example retrieved.
 
-    ``rows`` has post_key (bigint, unique), timeline_id, post_index, post, post_summary, wellbeing, before,
+    ``rows`` has post_key (unique), timeline_id, post_index, post, post_summary, wellbeing, before,
     after and the vectors. With ``cross_validate`` posts without any candidate of another timeline are left
     out, else their one-shot side is null.
     """

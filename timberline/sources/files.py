@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from timberline import schema as S
 
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
 def read_timelines(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
@@ -34,11 +34,11 @@ def _struct(ddl: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    return spark.read.options(**_CSV).schema(ddl).csv(path)
+    return spark.read.options(**CSV_OPTIONS).schema(ddl).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.options(**_CSV, escapeQuotes="true").mode(mode).csv(path)
+    df.write.options(**CSV_OPTIONS, escapeQuotes="true").mode(mode).csv(path)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -49,8 +49,8 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spans
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.RESULTS).option("multiLine", True).json(path)
+def read_results(spark: SparkSession, path: str, ddl: str = S.RESULTS) -> DataFrame:
+    return spark.read.schema(ddl).option("multiLine", True).json(path)
 
 
 def read_task_c(spark: SparkSession, path: str) -> DataFrame:
@@ -74,6 +74,17 @@ def write_document(rows: DataFrame, path: str, wrap: str | None = None, indent:
     return path
 
 
+def write_object(rows: DataFrame, key: str, document: str, path: str) -> str:
+    """One JSON object on the driver's disk, streamed row by row: ``key`` to the JSON text of ``document``."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("{")
+        for i, r in enumerate(rows.select(key, document).orderBy(key).toLocalIterator()):
+            f.write(("," if i else "") + "\n" + json.dumps(r[key], ensure_ascii=False) + ": " + r[document])
+        f.write("\n}")
+    return path
+
+
 def prediction_rows(spans: DataFrame) -> DataFrame:
     """Span predictions as they may leave the engine: texts cut to their first characters."""
     return spans.select(F.substring("text", 1, S.SPAN_CHARS).alias("text"), F.col("gold_abcd_key").alias("gold"), F.col("predicted_abcd_key").alias("predicted"), "polarity", "timeline_id", "post_index")
