@@ -1,9 +1,10 @@
 """Texts cut off before their end, and how often each source cuts.
 
 The ending model (``endings``) gives each value the log-odds that its final context is one where texts go
-on. The threshold is set per column, source and length, not per language: where many values of one length (a field
-limit) look cut, the prior that another of that length is cut rises, elsewhere it stays at the source's
-share for such lengths. How often the source's cut and whole texts lack a full stop or end in dots counts too.
+on. The threshold is set per column and language, source and length: the share of a language's values that
+look cut moves it for that language; where many values of one length (a field limit) look cut, the prior that
+another of that length is cut rises, elsewhere it stays at the source's share for such lengths. How often the
+source's cut and whole texts lack a full stop or end in dots counts too.
 
 Defined results: null and blank values are no cases; a value that ends in a replacement character was cut
 inside one; an ellipsis is judged by what stands before it; whole texts that lack only the last full stop,
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.llm import dictionaries, endings
@@ -76,6 +77,19 @@ def _priors(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _by_language(scored: DataFrame, firm: float = 20.0) -> DataFrame:
+    """``field, lang, shift``: how far the log-odds of a cut in a language lie from those of its column.
+
+    Languages of few values stay near their column (``firm`` values of its share are added to each).
+    """
+    per = scored.groupBy("field", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("c"))  # a row per column and language
+    whole = Window.partitionBy("field")
+    p = (F.sum("c").over(whole) + 0.5) / (F.sum("n").over(whole) + 1)
+    q = (F.col("c") + firm * F.col("p")) / (F.col("n") + firm)
+    logit = lambda x: F.log(x / (1 - x))
+    return per.withColumn("p", p).select("field", "lang", F.greatest(F.lit(-2.0), F.least(F.lit(2.0), logit(q) - logit(F.col("p")))).alias("shift"))
+
+
 def find_cuts(parts: list[tuple[DataFrame, str, str, str]], more_texts: DataFrame | None = None) -> DataFrame:
     """``field, row_id, source, lang, n_chars, is_cut, log_odds`` of every value that is not null or blank."""
     values = long_values(parts)
@@ -87,7 +101,8 @@ def find_cuts(parts: list[tuple[DataFrame, str, str, str]], more_texts: DataFram
     prior = hist.groupBy("field", "source").applyInPandas(_priors, "field string, source string, n_chars int, prior double, open_odds double, dots_odds double")
     got = scored.join(prior, ["field", "source", "n_chars"])
     manner = F.when(F.col("ending") == "open", F.col("open_odds")).when(F.col("ending") == "dots", F.col("dots_odds")).otherwise(0.0)
-    odds = F.col("score") + F.col("prior") + manner
+    got = got.join(F.broadcast(_by_language(scored)), ["field", "lang"])
+    odds = F.col("score") + F.col("prior") + F.col("shift") + manner
     return got.select("field", "row_id", "source", "lang", "n_chars", (odds > 0).alias("is_cut"), odds.alias("log_odds"))
 
 
