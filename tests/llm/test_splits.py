@@ -55,3 +55,55 @@ def test_records_of_one_group_stay_together(spark, monkeypatch):
 def test_pairs(spark):
     df = spark.createDataFrame([(t,) for t in ("TL-01", "tl1", "TL-01", "TL-2", None, "")], "timeline_id string")
     assert [tuple(r) for r in splits.spelling_pairs([(df, "timeline_id")]).collect()] == [("TL-01", "tl1")]
+
+
+def test_records_with_several_keys(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for g in range(120):  # planted groups: chains through authors, sources and entities
+        size = 2000 if g == 0 else int(rng.integers(1, 12))
+        for i in range(size):
+            j = i % 40
+            author = f"author-{g}-{j // 2}" if i % 3 else (f"AUTHOR_{g}_{j // 2}" if i % 2 else None)
+            rows.append((len(rows), author, f"s{g}x{(j + 1) // 2}", f"e{g}y" if i == 0 else None, "x"))
+            want.append(g)
+    rows += [(len(rows) + i, None, " ", None, "x") for i in range(7)]
+    want += [-1] * 7
+    df = spark.createDataFrame(rows, "id bigint, author string, source string, entity string, key string").repartition(4)
+    targets = spark.createDataFrame([("train", 0.7), ("test", 0.3)], "split_name string, target_share double")
+    cols = ("author", "source", "entity")
+    # brute force over shared keys
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    spelled = sorted({v for r in rows for v in r[1:4] if v})
+    norm = dict(zip(spelled, keys(spark, spelled)))
+    assert norm["AUTHOR_0_0"] == norm["author-0-0"] != norm["author-0-1"]
+    seen = {}
+    for r in rows:
+        for c, v in zip(cols, r[1:4]):
+            if v and v.strip():
+                parent[root(r[0])] = root(seen.setdefault((c, norm[v]), r[0]))
+    assigned = splits.assign_connected([(df, cols)], targets)
+    got = {r["record_id"]: r["split_name"] for r in splits.split_connected(df, "id", cols, assigned).collect()}
+    assert len(got) == len(rows) and set(got.values()) == {"train", "test"}
+    by = {}
+    for i in range(len(rows)):
+        by.setdefault(root(i) if want[i] >= 0 else "none", set()).add(got[i])
+    assert all(len(v) == 1 for v in by.values()) and assigned[0].count() == len(by)
+    assert sum(r["n_rows"] for r in assigned[0].collect()) == len(rows)
+    empty = splits.assign_connected([(df.where("false"), cols)], targets)
+    assert empty[0].count() == 0 and splits.split_connected(df.where("false"), "id", cols, empty).count() == 0
+
+
+def test_long_chain_of_keys(spark):
+    rows = [(i, f"a{i}", f"b{i + 1}" if i % 2 else f"b{i}") for i in range(60)] + [(100 + i, f"a{i}", f"b{i - 1}" if i % 2 else f"b{i + 1}") for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "id bigint, a string, b string")
+    got = splits.connect([(df, ("a", "b"))]).collect()
+    nodes, edges = {r["node"]: r["component"] for r in got}, [(f"a:={r[1]}", f"b:={r[2]}") for r in rows]
+    assert all(nodes[x] == nodes[y] for x, y in edges if x in nodes and y in nodes)

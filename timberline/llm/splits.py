@@ -1,7 +1,8 @@
 """Splits that keep related records together.
 
 1. *Components.* Records are related when their group ids mean the same, however they are written; the
-   spellings of one id form a component, named by the id's normal form.
+   spellings of one id form a component, named by the id's normal form. Records may be held together by
+   several keys (author, source, entity): what shares any key, directly or through others, is one component.
 2. *Balance.* Component weights (rows) are combined by largest differencing: the two partial partitions
    with the greatest spread are joined, heavy bins against light ones, until one partition into equal bins
    is left. This runs per block of components on the executors, whose bins are the items of the next
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.session import materialize
+from timberline.session import materialize, parallelism
 
 BLOCK, BLOCK_BINS, BINS, LAST = 20_000, 256, 200, 20_000
 UNKNOWN = "?"
@@ -112,11 +113,61 @@ def allocate(weights: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nodes(df: DataFrame, cols: tuple[str, ...]) -> F.Column:
+    """The keys of a record in normal form, each with its column's name; without blank ones."""
+    keys = F.array(*[F.when(group_key(F.col(c).cast("string")) != UNKNOWN, F.concat(F.lit(f"{c}:"), group_key(F.col(c).cast("string")))) for c in cols])
+    return F.filter(keys, lambda k: k.isNotNull())
+
+
+def connect(tables: list[tuple[DataFrame, tuple[str, ...]]], most_rounds: int = 100) -> DataFrame:
+    """``node, component``: the component of every key (``column:normal form``) of the tables, named by its least key.
+
+    Least labels travel along the links of records, and labels are replaced by their labels' labels, so that
+    rounds grow with the logarithm of the longest chain. Each round is written to the shared folder. Columns of
+    one name mean the same in every table.
+    """
+    links = None
+    for df, cols in tables:
+        one = df.select(_nodes(df, cols).alias("k")).where(F.size("k") > 0).select(F.col("k")[0].alias("a"), F.explode("k").alias("b")).distinct()
+        links = one if links is None else links.unionByName(one)
+    links = links.distinct()
+    links = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = materialize(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    for _ in range(most_rounds):
+        near = links.join(label, links["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("near"))
+        step = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
+        step = materialize(step, "step")
+        jump = step.select(F.col("node").alias("n2"), F.col("new").alias("far"))
+        moved = materialize(step.join(jump, F.col("new") == F.col("n2"), "left").select("node", "old", F.least("new", "far").alias("component")), "labels")
+        label = moved.select("node", "component")
+        if moved.where("old <> component").isEmpty():
+            return label
+    raise ValueError(f"keys were not connected after {most_rounds} rounds")
+
+
 def assign_splits(tables: list[tuple[DataFrame, str]], targets: DataFrame) -> DataFrame:
     """``key, n_rows, split_name`` of every component; join records to it by ``group_key``."""
+    return _balance(spellings(tables).groupBy("key").agg(F.sum("n_rows").alias("n_rows")), targets)
+
+
+def assign_connected(tables: list[tuple[DataFrame, tuple[str, ...]]], targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components of records with several keys: ``key, n_rows, split_name``, and ``node, component`` of every key.
+
+    Records without any key form one component.
+    """
+    nodes = connect(tables)
+    first = None
+    for df, cols in tables:
+        one = df.select(F.coalesce(F.try_element_at(_nodes(df, cols), F.lit(1)), F.lit(UNKNOWN)).alias("node"))
+        first = one if first is None else first.unionByName(one)
+    per = first.groupBy("node").agg(F.count("*").alias("n_rows"))
+    comp = per.join(nodes, "node", "left").groupBy(F.coalesce("component", F.lit(UNKNOWN)).alias("key")).agg(F.sum("n_rows").alias("n_rows"))
+    return _balance(comp, targets), nodes
+
+
+def _balance(comp: DataFrame, targets: DataFrame) -> DataFrame:
     spark = targets.sparkSession
     goal = [(r["split_name"], float(r["target_share"])) for r in targets.where("split_name is not null and target_share is not null").orderBy("split_name").collect()]
-    comp = spellings(tables).groupBy("key").agg(F.sum("n_rows").alias("n_rows"))
     level = materialize(comp, "components")
     item, links = level.select(F.col("key").alias("item"), F.col("n_rows").cast("double").alias("w")), []
     n = item.count()
@@ -144,14 +195,40 @@ def assign_splits(tables: list[tuple[DataFrame, str]], targets: DataFrame) -> Da
     return level.join(names.withColumnRenamed("item", "key"), "key").select("key", "n_rows", "split_name")
 
 
-def split_records(df: DataFrame, id_col: str, group_col: str, assigned: DataFrame) -> DataFrame:
-    """``record_id, group_id, split_name`` of every row. A component may hold a third of all rows: keys are salted by row."""
-    salts = 16
-    rec = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(group_col).alias("group_id"), F.coalesce(group_key(F.col(group_col)), F.lit(UNKNOWN)).alias("key")).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int"))
-    to = assigned.select("key", "split_name", F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"))
+def _salted(rec: DataFrame, assigned: DataFrame) -> DataFrame:
+    """``record_id, group_id, split_name`` of records with a ``key``. A component may hold a third of all rows:
+
+    the rows of those above a quarter of a task's share (at most 4 per task) are spread over all tasks.
+    """
+    tasks = parallelism(assigned.sparkSession)
+    total = assigned.agg(F.sum("n_rows")).collect()[0][0] or 0
+    hot = [r["key"] for r in assigned.where(F.col("n_rows") > total / (4 * tasks)).select("key").collect()] if total > 4 * tasks else []
+    salt = lambda own: F.when(F.col("key").isin(hot), own).otherwise(0) if hot else F.lit(0)
+    to = assigned.select("key", "split_name", F.explode(F.when(F.col("key").isin(hot), F.sequence(F.lit(0), F.lit(tasks - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))).alias("salt"))
+    rec = rec.withColumn("salt", salt(F.pmod(F.xxhash64("record_id"), F.lit(tasks)).cast("int")))
     return rec.join(to, ["key", "salt"], "left").select("record_id", "group_id", "split_name")
 
 
+def split_records(df: DataFrame, id_col: str, group_col: str, assigned: DataFrame) -> DataFrame:
+    """``record_id, group_id, split_name`` of every row."""
+    rec = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(group_col).alias("group_id"), F.coalesce(group_key(F.col(group_col)), F.lit(UNKNOWN)).alias("key"))
+    return _salted(rec, assigned)
+
+
+def split_connected(df: DataFrame, id_col: str, cols: tuple[str, ...], assigned: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``record_id, group_id, split_name`` of every row of a table with several keys; ``group_id`` is its first key.
+
+    Keys are given their splits first, and the records then joined to them as in ``split_records``.
+    """
+    comps, nodes = assigned
+    by_node = nodes.join(comps.withColumnRenamed("key", "component"), "component").select(F.col("node").alias("key"), "n_rows", "split_name")
+    by_node = by_node.unionByName(comps.where(F.col("key") == UNKNOWN).select("key", "n_rows", "split_name"))
+    own = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.coalesce(F.try_element_at(_nodes(df, cols), F.lit(1)), F.lit(UNKNOWN)).alias("key"))
+    size = own.groupBy("key").agg(F.count("*").alias("here"))  # hot keys, not the keys of hot components
+    by_node = materialize(by_node.join(size, "key").select("key", F.col("here").alias("n_rows"), "split_name"), "keys")
+    return _salted(own.withColumn("group_id", F.col("key")), by_node)
+
+
 def split_report(tables: list[tuple[DataFrame, str]], targets: DataFrame) -> DataFrame:
     """Per split: target and reached share, rows and components."""
     got = assign_splits(tables, targets).groupBy("split_name").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_groups"))
