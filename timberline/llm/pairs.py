@@ -97,7 +97,9 @@ def pairs(results: DataFrame, prompts: DataFrame) -> DataFrame:
     post = prompts.where("post_id is not null and post is not null and trim(post) <> ''").groupBy("post_id").agg(F.min_by("post", "row_id").alias("post"))
     sides = F.explode(F.array(F.struct(F.lit("zero_shot").alias("shot"), F.col("zero_shot_summary").alias("answer"), F.lit(True).alias("sent")), F.struct(F.lit("one_shot").alias("shot"), F.col("one_shot_summary").alias("answer"), F.col("retrieved_timeline").isNotNull().alias("sent"))))
     both = results.select(F.col("result_id").cast("bigint").alias("result_id"), "post_id", "zero_shot_summary", "one_shot_summary", "retrieved_timeline")
-    return both.join(post, "post_id", "left").select("result_id", "post", sides.alias("x")).where("x.sent").select("result_id", "x.shot", "x.answer", "post")
+    # answers to no post have no partner: each gets a key of its own, so that they do not meet in one task
+    both = both.withColumn("key", F.coalesce("post_id", F.concat(F.lit("\x00"), F.coalesce(F.col("result_id").cast("string"), F.lit("")))))
+    return both.join(post.withColumnRenamed("post_id", "key"), "key", "left").select("result_id", "post", sides.alias("x")).where("x.sent").select("result_id", "x.shot", "x.answer", "post")
 
 
 def flag_pairs(results: DataFrame, prompts: DataFrame) -> DataFrame:
