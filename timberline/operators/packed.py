@@ -18,6 +18,7 @@ are not read.
 from __future__ import annotations
 
 import ast
+import itertools
 import json
 import re
 import zlib
@@ -42,7 +43,7 @@ _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 def _pair(text: str) -> tuple[int, int]:
     """Hash buckets of the first two words and of the first one."""
-    words = _WORD.findall(text[:80])[:2]
+    words = [m.group() for m in itertools.islice(_WORD.finditer(text), 2)]
     two = " ".join(words).casefold()
     one = words[0].casefold() if words else ""
     return zlib.crc32(two.encode()) % BUCKETS, zlib.crc32(("1 " + one).encode()) % BUCKETS
