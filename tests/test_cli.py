@@ -69,7 +69,7 @@ def test_whole_command_line(spark, folder, tmp_path, capsys):
     assert docs[first["timeline_id"]]["post_level"][f"{first['timeline_id']}p{first['post_index']}"]["summary"] == "the last"
     by_id = tmp_path / "by_id.csv"
     by_id.write_text('post_id,mine\nt0p1,"one, two"\nt0p1,three\nt9p9,lost\n')
-    docs = json.load(open(cli.main(["submission", "--task", "B", "--alex_format", "yes", "--model_name", "mine", "--results", str(by_id), "--posts", po, "--output", str(tmp_path / "sub2.json")], spark)))
+    docs = json.load(open(cli.main(["submission", "--task", "B", "--csv_format", "yes", "--model_name", "mine", "--results", str(by_id), "--posts", po, "--output", str(tmp_path / "sub2.json")], spark)))
     assert {k: {p: v["summary"] for p, v in d["post_level"].items()} for k, d in docs.items()} == {"t0": {"t0p1": "three"}, "t1": {}, "t2": {}}
     pred = tmp_path / "c.json"
     pred.write_text(json.dumps([{"timeline_id": "t0", "predicted_summary": "whole"}, {"timeline_id": "t7", "predicted_summary": "alone"}]))

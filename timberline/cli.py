@@ -111,7 +111,7 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> str:
 def write_submission(spark: SparkSession, args: argparse.Namespace) -> str:
     """One nested document of all timelines. Of repeated posts and results the last one read counts.
 
-    With ``--alex_format yes`` results are a CSV with post ids, and posts without a result are left out.
+    With ``--csv_format yes`` results are a CSV with post ids, and posts without a result are left out.
     """
     keys = ["timeline_id", "post_index"]
     posts = _in_order(files.read_csv(spark, args.posts, S.POST_CSV)).select(*keys, "post_id", "load_ord")
@@ -120,9 +120,9 @@ def write_submission(spark: SparkSession, args: argparse.Namespace) -> str:
     blank = {"adaptive_evidence": F.array().cast("array<string>"), "maladaptive_evidence": F.array().cast("array<string>"), "wellbeing_score": F.lit(None).cast("double")}
     column = args.model_name or f"{args.mode}_summary"
     bare = posts.select("timeline_id").distinct().withColumn("summary", F.lit(""))
-    if args.task == "C" and args.alex_format == "yes":
+    if args.task == "C" and args.csv_format == "yes":
         raise NotImplementedError("timeline summaries have no CSV form")
-    if args.task == "B" and args.alex_format == "yes":
+    if args.task == "B" and args.csv_format == "yes":
         rows = _in_order(spark.read.options(**files.CSV_OPTIONS).csv(args.results))
         res = extract.latest(rows.select("post_id", F.col(column).alias("summary"), "load_ord"), ["post_id"], "load_ord").drop("load_ord")
         n = res.join(posts, "post_id", "left_anti").count()
@@ -199,7 +199,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--output", required=True)
     a.add_argument("--mode", choices=("zero_shot", "one_shot"), default="one_shot")
     a.add_argument("--model_name")
-    a.add_argument("--alex_format", choices=("yes", "no"), default="no")
+    a.add_argument("--csv_format", choices=("yes", "no"), default="no")
     a.set_defaults(run=write_submission)
     a = sub.add_parser("baselines")
     a.add_argument("--post_csv_location", required=True)
