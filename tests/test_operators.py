@@ -289,3 +289,20 @@ def test_pair_metrics_by_a_backend(spark):
     assert np.allclose([got[1]["cs"], got[1]["ct"], got[1]["ea"]], [0.775, 0.35, 0.65])
     assert (got[2]["cs"], got[2]["ct"], got[2]["ea"]) == (0.0, 1.0, 0.0)
     assert got[3]["ea"] is None and np.allclose([got[3]["cs"], got[3]["ct"]], [0.9, 0.1])
+
+
+def test_any_raw_wellbeing_annotates_a_post(spark):
+    span = {"adaptive-state": {"A": ("felt calm", "Calm")}}
+    rows = [("t", i, wb, summary, span) for i, (wb, summary) in enumerate([("n/a", None), (None, ""), (None, None), ("7", None)])]
+    raw = spark.createDataFrame(rows, "timeline_id string, i int, wb string, s string, ev map<string,map<string,struct<highlighted_evidence:string,Category:string>>>")
+    post = F.struct(F.col("i").alias("post_index"), F.lit("p").alias("post_id"), F.lit("x").alias("post"), F.lit("d").alias("date"), F.col("s").alias("Post Summary"), F.col("wb").alias("Well-being"), F.col("ev").alias("evidence"))
+    posts = extract.flatten_posts(raw.select("timeline_id", F.array(post).alias("posts")))
+    got = {r["post_index"]: (r["is_annotated"], r["wellbeing"]) for r in posts.collect()}
+    assert got == {0: (True, None), 1: (True, None), 2: (False, None), 3: (True, 7.0)}
+    assert sorted(r["post_index"] for r in extract.unpivot_spans(posts).collect()) == [0, 1, 3]
+
+
+def test_positions_around_a_post(spark):
+    posts = spark.createDataFrame([(i, "t", i * 2, f"p{i}") for i in range(4)], "row_id bigint, timeline_id string, post_index int, post string")
+    x = context.attach_context(posts, 1).select("row_id", context.positioned(F.col("before"), F.col("after")).alias("c")).collect()
+    assert {r["row_id"]: [tuple(c) for c in r["c"]] for r in x} == {0: [(2, "p1", "after")], 1: [(0, "p0", "before"), (4, "p2", "after")], 2: [(2, "p1", "before"), (6, "p3", "after")], 3: [(4, "p2", "before")]}
