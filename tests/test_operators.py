@@ -1,7 +1,10 @@
 import datetime
 import json
+import math
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +113,27 @@ def test_retrieval_against_brute_force(spark, mode, alpha, apart, room):
     assert set(ours) == {q[0] for q in ok if q[0] % 3 == 0}
 
 
+def test_a_sent_pool_is_scored_in_strips(spark, monkeypatch):
+    i = F.col("id")
+    df = spark.range(60_000).select("id", (i % 7).cast("string").alias("g"), F.array(*[F.sin(i % 5000 * (k + 1) + k) for k in range(14)]).alias("s"))  # each vector 12 times
+    seen, real = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, *more: seen.append((self, f)) or real(self, f, *more))
+    retrieval.retrieve(df, "id", "g", i % 100 == 0, i % 3 > 0, ("s", 14), None, "structural", k=3)
+    (asked, near), = seen
+    queries = asked.toPandas()
+    tracemalloc.start()
+    got = pd.concat(near(iter([queries])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(queries) == 600 and len(got) == 1800 and most < 250e6  # all scores of 512 queries: 164 MB, with their order more than twice
+    v = np.array([[math.sin(n % 5000 * (k + 1) + k) for k in range(14)] for n in range(60_000)])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for q in (0, 4900, 59_900):
+        s = np.round(v @ v[q], 9)
+        want = sorted((-s[c], c) for c in range(60_000) if c % 3 and c % 7 != q % 7)[:3]
+        assert [c for c in got[got["query_id"] == q]["candidate_id"]] == [c for _, c in want]
+
+
 def test_retrieval_guards(spark):
     _, df = vectors(spark, 30)
     for bad in ("cosine", ""):
