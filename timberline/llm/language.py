@@ -9,7 +9,8 @@ change of language, gives its segments.
 The classifiers are fitted on a bounded sample of labelled documents (``mixed_rows`` in their natural mix and
 up to ``per_language`` of each label, by id hash). Labels may be wrong and documents mixed: each document, then
 each sentence, is first judged by n-gram chances counted over the others, and only what agrees is fitted.
-Everything else covers every document.
+Everything else covers every document. ``count`` has no sample: it counts the n-grams of every labelled document
+on the executors, and its model reads by their chances.
 
 Defined results: null, empty and letterless texts have no language and are no case; a label that is null,
 blank or names no language is missing; other spellings, codes and regions of the right language are right.
@@ -29,6 +30,9 @@ LANGS = ("en", "es", "fr", "de", "pt", "it", "nl", "ru")
 BITS = 15
 SPACE = 1 << 16
 
+#: Of the counts over every document: parts that judge one another, n-grams of one row.
+FOLDS, ROW = 3, 4096
+
 #: Names and codes of the languages, and labels that name none.
 NAMES = {
     "en": ("en", "eng", "english", "inglés", "anglais", "englisch"),
@@ -110,15 +114,22 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams[real], np.concatenate([[0], np.cumsum(count)])
 
 
-def margins(w: np.ndarray, texts: list[str], chunk: int = 400_000) -> np.ndarray:
-    """One margin per text and bit; work is cut into chunks of n-grams, whole texts only."""
-    out = np.zeros((len(texts), w.shape[1]), np.float32)
+def chunks(texts: list[str], chunk: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about ``chunk`` n-grams together."""
     lo = 0
     while lo < len(texts):
         hi, n = lo, 0
         while hi < len(texts) and (hi == lo or n + len(texts[hi]) * 3 <= chunk):
             n += len(texts[hi]) * 3
             hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def margins(w: np.ndarray, texts: list[str], chunk: int = 400_000) -> np.ndarray:
+    """One margin per text and bit; work is cut into chunks of n-grams, whole texts only."""
+    out = np.zeros((len(texts), w.shape[1]), np.float32)
+    for lo, hi in chunks(texts, chunk):
         idx, at = features(texts[lo:hi])
         if len(idx):
             total = np.zeros((hi - lo, w.shape[1]), np.float32)
@@ -126,7 +137,6 @@ def margins(w: np.ndarray, texts: list[str], chunk: int = 400_000) -> np.ndarray
             sums = np.add.reduceat(w[idx], at[:-1][full], axis=0)
             total[full] = sums / np.sqrt((at[1:] - at[:-1])[full])[:, None]
             out[lo:hi] = total
-        lo = hi
     return out
 
 
@@ -170,10 +180,14 @@ class Model:
         self.w, self.code, self.change, self.shortest, self.soften = w, code, change, shortest, soften
         self.out = np.zeros(len(code), np.float32) if known is None or not known.any() else np.where(known, 0, 1e6).astype(np.float32)
 
+    def loss(self, texts: list[str]) -> np.ndarray:
+        """Loss of each language, texts x languages."""
+        return losses(margins(self.w, texts), self.code) + self.out
+
     def read(self, texts: list[str]) -> list[list[tuple[int, list[str], float, bool]]]:
         """Per text its segments in order: (language, sentences, confidence, ambiguous)."""
         parts = [sentences(t) for t in texts]
-        loss = losses(margins(self.w, [s for p in parts for s in p]), self.code) + self.out
+        loss = self.loss([s for p in parts for s in p])
         out, at = [], 0
         for p in parts:
             own = loss[at : at + len(p)]
@@ -211,11 +225,17 @@ class Model:
         return path
 
 
+def log_chances(count: np.ndarray, smooth: float = 0.5) -> np.ndarray:
+    """Log chances from counts (SPACE x languages)."""
+    n = count + smooth
+    return np.log(n / n.sum(0)).astype(np.float32)
+
+
 def word_chances(idx: np.ndarray, at: np.ndarray, lang: np.ndarray, use: np.ndarray, smooth: float = 0.5) -> np.ndarray:
     """Log chance of each n-gram in the texts ``use`` of each language (SPACE x languages)."""
     of = np.repeat(np.where(use, lang, len(LANGS)).astype(np.int32), np.diff(at))
-    n = np.bincount(idx * np.int32(len(LANGS) + 1) + of, minlength=SPACE * (len(LANGS) + 1)).reshape(SPACE, -1)[:, :-1] + smooth
-    return np.log(n / n.sum(0)).astype(np.float32)
+    n = np.bincount(idx * np.int32(len(LANGS) + 1) + of, minlength=SPACE * (len(LANGS) + 1)).reshape(SPACE, -1)[:, :-1]
+    return log_chances(n, smooth)
 
 
 def chances(table_: np.ndarray, idx: np.ndarray, at: np.ndarray, texts: np.ndarray, seen: np.ndarray, chunk: int = 256) -> np.ndarray:
@@ -287,14 +307,19 @@ def train(texts: list[str], labels: list[str], chars_per_language: int = 60_000,
     return Model(fit_bits([flat[i] for i in use], own[use], code, rounds=4), code, known)
 
 
+def _labelled(df: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``h, t, k``: id hash, text and language of the documents whose label names one."""
+    label = F.lower(F.regexp_replace(F.col(label_col), r"[\s\u200b]", ""))
+    code = F.coalesce(*[F.when(F.regexp_extract(label, r"^([^-_]*)", 1).isin(list(v)), F.lit(k)) for k, v in NAMES.items()])
+    return df.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), code.alias("k")).where("t is not null and length(t) > 20 and k is not null")
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", mixed_rows: int = 2000, per_language: int = 300, passage: int = 4000) -> Model:
     """A model from ``mixed_rows`` labelled documents and up to ``per_language`` of each label, by id hash.
 
     Of a longer document one passage of ``passage`` characters counts, from a place by id hash; all three bounds are parameters.
     """
-    label = F.lower(F.regexp_replace(F.col(label_col), r"[\s\u200b]", ""))
-    code = F.coalesce(*[F.when(F.regexp_extract(label, r"^([^-_]*)", 1).isin(list(v)), F.lit(k)) for k, v in NAMES.items()])
-    rows = df.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), code.alias("k")).where("t is not null and length(t) > 20 and k is not null")
+    rows = _labelled(df, id_col, text_col, label_col)
     begin = F.when(F.length("t") > passage, F.pmod(F.col("h"), F.length("t") - passage) + 1).otherwise(1).cast("int")
     rows = rows.select("h", "k", F.substring("t", begin, F.lit(passage)).alias("t"))
     first = rows.orderBy("h", "t").limit(mixed_rows).collect()
@@ -304,6 +329,72 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     return train([t for _, _, t in got], [k for _, k, _ in got])
 
 
+class Counted(Model):
+    """Reads by the chances of the n-grams as counted (SPACE x languages)."""
+
+    def __init__(self, n: np.ndarray) -> None:
+        super().__init__(np.zeros((0, BITS), np.float32), codewords(), n.sum(0) > 0)
+        self.table = log_chances(n)
+
+    def loss(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(LANGS)), np.float32)
+        for lo, hi in chunks(texts, 400_000):
+            out[lo:hi] = chances(self.table, *features(texts[lo:hi]), np.arange(hi - lo), np.ones(len(LANGS), bool))
+        return self.out - out / 3  # each letter counts in n-grams of three lengths
+
+
+def _grams(rows: DataFrame, judges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Counts (FOLDS x SPACE x languages) of the n-grams of all ``rows`` whose labels every judge bears out."""
+    cells = FOLDS * len(LANGS)
+    shared = rows.sparkSession.sparkContext.broadcast(judges)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros((cells + 1, SPACE), np.int64)
+        for pdf in batches:
+            texts, langs, folds = list(pdf["t"]), np.array([LANGS.index(k) for k in pdf["k"]], np.int64), pdf["fold"].to_numpy()
+            for lo, hi in chunks(texts, 2_000_000):
+                (idx, at), lang, fold = features(texts[lo:hi]), langs[lo:hi], folds[lo:hi]
+                kept = np.ones(hi - lo, bool)
+                for table_, seen in shared.value:
+                    for f in range(FOLDS):
+                        mine = np.flatnonzero(kept & (fold == f))
+                        kept[mine] = seen[f].any() & (chances(table_[f], idx, at, mine, seen[f]).argmax(1) == lang[mine])
+                own = np.where(kept, fold * len(LANGS) + lang, cells)
+                n += np.bincount(np.repeat(own, np.diff(at)) * SPACE + idx, minlength=n.size).reshape(n.shape)
+        parts = n[:-1].reshape(cells, -1, ROW)
+        cell, part = np.nonzero(parts.any(2))
+        yield pd.DataFrame({"cell": cell, "part": part, "n": [parts[i, j].tobytes() for i, j in zip(cell, part)]})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(ROW, np.int64)
+        for x in pdf["n"]:
+            n += np.frombuffer(x, np.int64)
+        return pdf.iloc[:1].assign(n=[n.tobytes()])
+
+    ddl = "cell int, part int, n binary"
+    out = np.zeros((cells, SPACE // ROW, ROW), np.int64)
+    for r in rows.mapInPandas(run, ddl).groupBy("cell", "part").applyInPandas(total, ddl).collect():  # 24 x 16 rows of 32 KB at most
+        out[r["cell"], r["part"]] = np.frombuffer(r["n"], np.int64)
+    shared.unpersist()
+    return out.reshape(FOLDS, len(LANGS), SPACE).transpose(0, 2, 1)
+
+
+def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Counted:
+    """A model counted over every labelled document and all of its text.
+
+    As in ``train``, a document counts only if chances counted over the documents of the other parts (by id hash)
+    bear its label out, twice: the second time without the labels that the first found wrong. Nothing but the
+    counts, whose size is fixed, is brought to the driver.
+    """
+    rows = _labelled(df, id_col, text_col, label_col).select("t", "k", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"))
+    judges: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(2):
+        n = _grams(rows, judges)
+        others = n.sum(0) - n
+        judges.append((np.stack([log_chances(x) for x in others]), others.sum(1) > 0))
+    return Counted(_grams(rows, judges).sum(0))
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", model: Model | None = None) -> DataFrame:
     """One row per document and segment: ``doc_id, seg_no, n_segments, lang, confidence, ambiguous, label, n_chars``.
 

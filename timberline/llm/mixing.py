@@ -2,9 +2,9 @@
 
 1. Tokens of each document (``tokens``), its language and its topic give cells source x language x topic;
    their token sums are the seed table. The language is the one most of the text is in, as ``language`` reads
-   it, whatever the label. Topics are clusters of the language's documents by the words they use (spherical
-   k-means of hashed, idf-weighted words), fitted on at most ``topic_rows`` documents of each language; every
-   document is assigned to one.
+   it by n-grams counted over every labelled document, whatever the label. Topics are clusters of the language's
+   documents by the words they use (spherical k-means of hashed, idf-weighted words), fitted on every document:
+   each pass sums on the executors, in whole multiples of 1 / UNIT, so that no sum hangs on the order of the rows.
 2. The total is the largest one at which no source must be repeated more often than it may.
 3. Raking: cell weights are scaled in turn to the language and topic shares of the corpus and to the
    target shares of the sources (last, so these hold exactly); no cell may exceed its source's cap, and
@@ -22,14 +22,14 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm import language, similar, tokens
+from timberline.llm import language, tokens
 from timberline.session import materialize
 
 BLOCK = 4000
@@ -37,38 +37,126 @@ BLOCK = 4000
 #: Hashed words of the topic vectors, topics of a language.
 WORDS, TOPICS = 2048, 5
 
+UNIT = float(1 << 20)
+
+#: Of one block of documents of a language (id hashes, words): topic, a number and a vector each.
+Step = Callable[[str, np.ndarray, list[np.ndarray]], list[tuple[int, float, np.ndarray]]]
+
 
 def _words(text: str) -> np.ndarray:
     """The distinct hashed content words of a text."""
     return np.unique(np.array([zlib.crc32(w.encode()) % WORDS for w in language.letters(text.lower()) if len(w) > 3], np.int64))
 
 
+def _sum(a: tuple[float, np.ndarray], b: tuple[float, np.ndarray]) -> tuple[float, np.ndarray]:
+    return a[0] + b[0], a[1] + b[1]
+
+
+def _least(a: tuple[float, np.ndarray], b: tuple[float, np.ndarray]) -> tuple[float, np.ndarray]:
+    return min(a, b, key=lambda x: (x[0], x[1].tobytes()))
+
+
+def _merged(rows: Iterable[tuple[str, int, float, np.ndarray]], merge: Callable) -> pd.DataFrame:
+    """One row per language and topic."""
+    of: dict[tuple[str, int], tuple[float, np.ndarray]] = {}
+    for lang, c, n, x in rows:
+        of[lang, c] = merge(of[lang, c], (n, x)) if (lang, c) in of else (n, x)
+    return pd.DataFrame([(*key, float(n), x.tobytes()) for key, (n, x) in of.items()], columns=["lang", "c", "n", "x"])
+
+
+class Documents:
+    """Documents (id hash, language, words) in passes: what a step gives for every block of them, merged."""
+
+    def __init__(self, rows: DataFrame | pd.DataFrame) -> None:
+        self.rows = rows
+
+    def over(self, step: Step, merge: Callable) -> dict[tuple[str, int], tuple[float, np.ndarray]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield _merged(((lang, *got) for pdf in batches for lang, part in pdf.groupby("lang") for got in step(lang, part["h"].to_numpy(), list(part["words"]))), merge)
+
+        def again(pdf: pd.DataFrame) -> pd.DataFrame:
+            return _merged(((r.lang, r.c, r.n, np.frombuffer(r.x)) for r in pdf.itertuples()), merge)
+
+        ddl = "lang string, c int, n double, x binary"
+        got = next(run(iter([self.rows]))) if isinstance(self.rows, pd.DataFrame) else self.rows.mapInPandas(run, ddl).groupBy("lang", "c").applyInPandas(again, ddl).toPandas()  # 8 languages x topics rows of 16 KB
+        return {(r.lang, int(r.c)): (r.n, np.frombuffer(r.x)) for r in got.itertuples()}
+
+
+def _unit(words: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all documents, the document of each, its weight there, and which documents have any weight."""
+    flat, own = np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words])
+    norm = np.sqrt(np.bincount(own, idf[flat] ** 2, len(words)))
+    return flat, own, np.round(idf[flat] / np.where(norm > 0, norm, 1.0)[own] * UNIT) / UNIT, norm > 0
+
+
 class Topics:
     """Clusters of the documents of each language by their words."""
 
     def __init__(self, texts: list[str], langs: list[str], k: int = TOPICS) -> None:
+        rows = pd.DataFrame({"h": np.arange(len(texts)), "lang": langs, "words": [_words(t) for t in texts]})
+        self.fit(Documents(rows[rows["words"].map(len) > 0]), k)
+
+    @classmethod
+    def of_all(cls, rows: DataFrame) -> Topics:
+        """Of every document of a table ``h, lang, words``."""
+        out = cls.__new__(cls)
+        out.fit(Documents(rows), TOPICS)
+        return out
+
+    def fit(self, docs: Documents, k: int, rounds: int = 12) -> None:
+        """Seeds are drawn one by one from all documents, by the square of their distance to the nearest seed so far."""
         self.idf: dict[str, np.ndarray] = {}
         self.cent: dict[str, np.ndarray] = {}
-        for lang in sorted(set(langs)):
-            words = [_words(t) for t, own in zip(texts, langs) if own == lang]
-            words = [w for w in words if len(w)]
-            if not words:
-                continue
-            n = np.bincount(np.concatenate(words), minlength=WORDS)
-            self.idf[lang] = np.where(n > 0, np.log((1 + len(words)) / (1 + n)), 0.0)
-            x = np.stack([self._vector(w, lang) for w in words])
-            x = x[np.linalg.norm(x, axis=1) > 0]
-            self.cent[lang] = similar.kmeans(x, min(k, max(1, len(x) // 8))) if len(x) else np.zeros((1, WORDS))
-
-    def _vector(self, words: np.ndarray, lang: str) -> np.ndarray:
-        v = np.zeros(WORDS)
-        v[words] = self.idf[lang][words]
-        n = np.linalg.norm(v)
-        return v / n if n > 0 else v
+        for (lang, _), (n, x) in docs.over(lambda _, h, words: [(0, len(words), np.bincount(np.concatenate(words), minlength=WORDS).astype(np.float64))], _sum).items():
+            self.idf[lang] = np.where(x > 0, np.log((1 + n) / (1 + x)), 0.0)
+            self.cent[lang] = np.zeros((0, WORDS))
+        idf, cent = self.idf, self.cent  # sent with each pass
+        weighed = docs.over(lambda lang, h, words: [(0, float(_unit(words, idf[lang])[3].sum()), np.zeros(0))], _sum)
+        room = {lang: min(k, max(1, int(n) // 8)) if n else 0 for (lang, _), (n, _) in weighed.items()}
+        for seed in range(max(room.values(), default=0)):
+
+            def draw(lang: str, h: np.ndarray, words: list[np.ndarray], seed: int = seed) -> list[tuple[int, float, np.ndarray]]:
+                if seed >= room[lang]:
+                    return []
+                flat, own, x, full = _unit(words, idf[lang])
+                gap = 1.0 - np.max([np.bincount(own, x * c[flat], len(words)) for c in cent[lang]], 0) if seed else np.ones(len(words))
+                gap = np.where(full, np.maximum(gap, 1e-9), 0.0)
+                with np.errstate(over="ignore", divide="ignore"):
+                    u = (h.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                    u = (u ^ (u >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    wait = -np.log(((u >> np.uint64(11)) + 0.5) / 2.0**53) / gap**2  # the least of these is a draw by gap squared
+                i = int(wait.argmin())
+                v = np.zeros(WORDS)
+                v[words[i]] = x[own == i]
+                return [(0, float(wait[i]), v)]
+
+            for (lang, _), (_, v) in docs.over(draw, _least).items():
+                cent[lang] = np.vstack([cent[lang], v])
+
+        def near(lang: str, h: np.ndarray, words: list[np.ndarray]) -> list[tuple[int, float, np.ndarray]]:
+            if not room[lang]:
+                return []
+            flat, own, x, full = _unit(words, idf[lang])
+            to = np.array([np.bincount(own, x * c[flat], len(words)) for c in cent[lang]]).argmax(0)
+            total = np.bincount(to[own] * WORDS + flat, x, len(cent[lang]) * WORDS).reshape(-1, WORDS)
+            return [(int(c), float((to[full] == c).sum()), total[c]) for c in np.unique(to[full])]
+
+        for _ in range(rounds):
+            moved = False
+            for (lang, c), (_, x) in docs.over(near, _sum).items():
+                new = x / np.linalg.norm(x)
+                moved |= not np.array_equal(new, cent[lang][c])
+                cent[lang][c] = new
+            if not moved:
+                break
+        for lang in cent:
+            cent[lang] = cent[lang] if len(cent[lang]) else np.zeros((1, WORDS))
 
     def of(self, text: str, lang: str) -> str:
         """The language's topic whose centre is nearest; 'none' for texts without words and languages without topics."""
-        words = _words(text)
+        return self.of_words(_words(text), lang)
+
+    def of_words(self, words: np.ndarray, lang: str) -> str:
         if lang not in self.cent or not len(words):
             return "none"
         weight = self.idf[lang][words]
@@ -86,10 +174,13 @@ def main_language(model: language.Model, texts: list[str]) -> list[str]:
     return out
 
 
-def read_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_rows: int) -> DataFrame:
-    """``doc_id, source, lang, topic, text`` of every document."""
-    model = language.fit(docs, id_col, text_col, lang_col)
-    own = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+def read_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_rows: int | None = None) -> DataFrame:
+    """``doc_id, source, lang, topic, text`` of every document.
+
+    Languages and topics are fitted on every document; ``topic_rows`` is for callers that ask for topics of so many of each language.
+    """
+    model = language.count(docs, id_col, text_col, lang_col)
+    own = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     spark = docs.sparkSession
     cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     read = spark.sparkContext.broadcast(model)
@@ -97,16 +188,19 @@ def read_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str,
     def speak(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf["lang"] = main_language(read.value, [t or "" for t in pdf["text"]])
-            yield pdf[["doc_id", "source", "lang", "text"]]
+            pdf["words"] = [_words(t or "") for t in pdf["text"]]
+            yield pdf[["doc_id", "source", "lang", "words", "text"]]
 
-    # the documents are read once: kept, with their language, in the shared folder
-    spoken = materialize(cols.mapInPandas(speak, "doc_id bigint, source string, lang string, text string"), "spoken")
-    sample = spoken.where("lang <> 'none'").withColumn("n", own).where(F.col("n") <= topic_rows).select("doc_id", "lang", "text").toPandas().sort_values("doc_id", kind="stable")
-    known = spark.sparkContext.broadcast(Topics(list(sample["text"]), list(sample["lang"])))
+    # the documents are read once: kept, with their language and words, in the shared folder
+    spoken = materialize(cols.mapInPandas(speak, "doc_id bigint, source string, lang string, words array<int>, text string"), "spoken")
+    worded = spoken.where("lang <> 'none' and size(words) > 0").select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", "words")
+    if topic_rows is not None:
+        worded = worded.withColumn("n", own).where(F.col("n") <= topic_rows)
+    known = spark.sparkContext.broadcast(Topics.of_all(worded.select("h", "lang", "words")))
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["topic"] = [known.value.of(t or "", k) for t, k in zip(pdf["text"], pdf["lang"])]
+            pdf["topic"] = [known.value.of_words(w, k) for w, k in zip(pdf["words"], pdf["lang"])]
             yield pdf[["doc_id", "source", "lang", "topic", "text"]]
 
     return spoken.mapInPandas(sort, "doc_id bigint, source string, lang string, topic string, text string")
@@ -147,7 +241,7 @@ def rake(sizes: np.ndarray, shares: np.ndarray, caps: np.ndarray, rounds: int =
     return np.minimum(w, limit)
 
 
-def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", path: str | None = None, topic_rows: int = 500) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", path: str | None = None, topic_rows: int | None = None) -> DataFrame:
     """``doc_id, source, n_tokens, copies`` of every document of a source with a target."""
     goal = targets.where("source is not null").select("source", F.coalesce("target_share", F.lit(0.0)).alias("s"), F.coalesce("max_repeats", F.lit(1)).alias("m")).orderBy("source").collect()
     names = [r["source"] for r in goal]
